@@ -102,15 +102,15 @@ WITH words AS (
   FROM words LEFT JOIN (SELECT doc_id, count(*) AS n, list(i) AS idx FROM gone GROUP BY doc_id) g USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(
-  CASE WHEN idx IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(idx, i)) END, ' '), '')) AS kept_sha256
+  CASE WHEN idx IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(idx, i)) END, ' '), '')) AS kept_sha256
 FROM kept
 """
 
 #: Integer inner products of every query with every other row, ranked.
 OP4_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0

@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept and grown on demand."""
     have = _powers.get(base)
     if have is None or len(have) < n:
@@ -94,11 +94,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span's bytes: a polynomial over byte codes, as differences of one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = _power(_BASE, len(data) + 1)
+    powers = power(_BASE, len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * powers[:-1], out=sums[1:])
-    inverse = _power(pow(_BASE, -1, 2**64), len(data) + 1)
+    inverse = power(pow(_BASE, -1, 2**64), len(data) + 1)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
