@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.piece_model import BPE, BYTE, NORMAL, SPACE, PieceModel
+from terrane.llm.piece_model import BPE, NORMAL, SPACE, PieceModel
 from terrane.llm.text import bytes_of
 
-#: Words whose tables a worker keeps; beyond it the tables are dropped and built anew. Bounds memory, changes no result.
-KEPT_WORDS = 400_000
+#: Words whose counts, and pairs of pieces whose fit, a worker keeps; beyond it they are dropped and found anew. Bounds memory, changes no result.
+KEPT_WORDS, KEPT_PAIRS = 1_000_000, 1_000_000
 _CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
@@ -34,50 +34,86 @@ class PrefixCounter:
         model.check_plain()
         if model.algorithm != BPE or not model.byte_fallback:
             raise ValueError("prefix counts are built for merge vocabularies with byte fallback")
-        self.rank = {p: -s for p, s, k in zip(model.pieces, model.scores, model.kinds, strict=True) if k == NORMAL}
+        normal = [p for p, k in zip(model.pieces, model.kinds, strict=True) if k == NORMAL]
+        scores = dict(zip(model.pieces, model.scores, strict=True))
+        self.rank = {p: i for i, p in enumerate(sorted(normal, key=lambda p: -scores[p]))}
         if any("\n" in p for p in self.rank):
             raise ValueError("pieces across line ends are not rebuilt")
-        self.bytes = sum(k == BYTE for k in model.kinds)
-        self.longest = max(map(len, self.rank))
+        # How each piece comes about: the two parts of its last merge. Pieces that merging never makes are left out.
+        self.parts = {p: self.merged(p)[1] for p in self.rank}
+        self.rank = {p: i for p, i in self.rank.items() if len(p) == 1 or self.parts[p]}
+        self.ends = {p[i:] for p in self.rank for i in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
         self.totals: dict[str, int] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by merging: best rank first, then leftmost."""
-        rank, parts = self.rank, list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The pieces of a short text by merging (best rank first, then leftmost), and the last merge if one is left."""
+        rank, pieces, last = self.rank, list(text), None
         while True:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
+            for i in range(len(pieces) - 1):
+                r = rank.get(pieces[i] + pieces[i + 1])
                 if r is not None and (best is None or r < best):
                     best, at = r, i
             if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def _follows(self, last: str, token: str) -> bool:
-        key = (last, token)
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= 4 * KEPT_WORDS:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(last + token) == [last, token]
-        return found
+                return pieces, last if len(pieces) == 1 else None
+            last = pieces[at], pieces[at + 1]
+            pieces[at : at + 2] = [last[0] + last[1]]
+
+    def _fit(self, left: str, right: str) -> bool:
+        """Whether two pieces side by side stay apart: no merge across comes before the merges that make them.
+
+        Merges are undone in reverse order, on the side made last, and the pair at the border is looked up each time. Of
+        equal merges the leftmost comes first, so a merge across beats an equal one on its right but not on its left.
+        """
+        rank, parts = self.rank, self.parts
+        if left not in rank or right not in rank:
+            return True
+        before = len(rank) * 2
+        while True:
+            across = rank.get(left + right)
+            if across is not None and across < before:
+                return False
+            undo_left, undo_right = parts[left], parts[right]
+            if undo_left and (not undo_right or rank[left] > rank[right]):
+                before, left = rank[left], undo_left[1]
+            elif undo_right:
+                before, right = rank[right] + 1, undo_right[0]
+            else:
+                return True
 
     def table(self, word: str) -> list[int]:
         """counts[i] = tokens of word[:i], for i from 0 to the word's length."""
-        rank, follows = self.rank, self._follows
+        rank, ends, fits = self.rank, self.ends, self.fits
         counts, lasts = [0], [""]
         for end in range(1, len(word) + 1):
-            char = word[end - 1]
-            for start in range(max(0, end - self.longest), end):
+            found, start = [], end - 1
+            token = word[start]
+            while token in ends:
+                if token in rank:
+                    found.append((start, token))
+                if not start:
+                    break
+                start -= 1
                 token = word[start:end]
-                if token in rank or start == end - 1:
-                    last = lasts[start]
-                    if not last or follows(last, token):
-                        break
+            for start, token in reversed(found):
+                if not start:
+                    break
+                key = (lasts[start], token)
+                fit = fits.get(key)
+                if fit is None:
+                    fit = fits[key] = self._fit(*key)
+                if fit:
+                    break
+            else:
+                # A character without a piece: as many tokens as it has bytes, and nothing merges with it.
+                lasts.append(word[end - 1])
+                counts.append(counts[-1] + len(word[end - 1].encode()))
+                continue
             lasts.append(token)
-            counts.append(counts[start] + (1 if token in rank else len(char.encode())))
+            counts.append(counts[start] + 1)
+        if len(fits) > KEPT_PAIRS:
+            fits.clear()
         return counts
 
     def total(self, word: str) -> int:
