@@ -114,18 +114,18 @@ def _by_cell(s, d):
 
 
 QUERIES = {
-    "correlation_subject_pearson": (_subject("pearson"), f"WITH {DENSE} SELECT a.kind, round(corr(a.v, b.v), 6) AS coefficient FROM dense a JOIN dense b ON a.cell = b.cell AND b.kind = '{SUBJECT}' GROUP BY a.kind"),
-    "correlation_subject_spearman": (_subject("spearman"), f"WITH {RANKS} SELECT a.kind, round(corr(a.v, b.v), 6) AS coefficient FROM ranked a JOIN ranked b ON a.cell = b.cell AND b.kind = '{SUBJECT}' GROUP BY a.kind"),
-    "correlation_subject_kendall": (_subject("kendall"), f"WITH {DENSE}, p AS (SELECT a.kind, sign(a.v - c.v) AS x, sign(b.v - e.v) AS y FROM dense a JOIN dense b ON a.cell = b.cell AND b.kind = '{SUBJECT}' JOIN dense c ON c.kind = a.kind AND c.cell > a.cell JOIN dense e ON e.cell = c.cell AND e.kind = '{SUBJECT}') SELECT kind, round(sum(x * y) / sqrt(CAST(sum(x * x) AS DOUBLE) * sum(y * y)), 6) AS coefficient FROM p GROUP BY kind"),
-    "correlation_matrix_pearson": (lambda s, d: rounded(_matrix(s, d), "r"), f"WITH {MATRIX} SELECT species_i, species_j, round(r, 6) AS r FROM matrix"),
-    "correlation_matrix_spearman": (lambda s, d: rounded(_matrix(s, d, "spearman"), "r"), f"WITH {MEANS}, ranked AS (SELECT cell, kind, rank() OVER (PARTITION BY kind ORDER BY v) + (count(*) OVER (PARTITION BY kind, v) - 1) / 2.0 AS v FROM dense) SELECT a.kind AS species_i, b.kind AS species_j, round(corr(a.v, b.v), 6) AS r FROM ranked a JOIN ranked b USING (cell) GROUP BY ALL"),
+    "correlation_subject_pearson": (_subject("pearson"), f"WITH {DENSE} SELECT a.kind, round(corr(a.v, b.v), 6) + 0.0 AS coefficient FROM dense a JOIN dense b ON a.cell = b.cell AND b.kind = '{SUBJECT}' GROUP BY a.kind"),
+    "correlation_subject_spearman": (_subject("spearman"), f"WITH {RANKS} SELECT a.kind, round(corr(a.v, b.v), 6) + 0.0 AS coefficient FROM ranked a JOIN ranked b ON a.cell = b.cell AND b.kind = '{SUBJECT}' GROUP BY a.kind"),
+    "correlation_subject_kendall": (_subject("kendall"), f"WITH {DENSE}, p AS (SELECT a.kind, sign(a.v - c.v) AS x, sign(b.v - e.v) AS y FROM dense a JOIN dense b ON a.cell = b.cell AND b.kind = '{SUBJECT}' JOIN dense c ON c.kind = a.kind AND c.cell > a.cell JOIN dense e ON e.cell = c.cell AND e.kind = '{SUBJECT}') SELECT kind, round(sum(x * y) / sqrt(CAST(sum(x * x) AS DOUBLE) * sum(y * y)), 6) + 0.0 AS coefficient FROM p GROUP BY kind"),
+    "correlation_matrix_pearson": (lambda s, d: rounded(_matrix(s, d), "r"), f"WITH {MATRIX} SELECT species_i, species_j, round(r, 6) + 0.0 AS r FROM matrix"),
+    "correlation_matrix_spearman": (lambda s, d: rounded(_matrix(s, d, "spearman"), "r"), f"WITH {MEANS}, ranked AS (SELECT cell, kind, rank() OVER (PARTITION BY kind ORDER BY v) + (count(*) OVER (PARTITION BY kind, v) - 1) / 2.0 AS v FROM dense) SELECT a.kind AS species_i, b.kind AS species_j, round(corr(a.v, b.v), 6) + 0.0 AS r FROM ranked a JOIN ranked b USING (cell) GROUP BY ALL"),
     "correlation_matrix_kendall": (lambda s, d: rounded(_matrix(s, d, "kendall"), "r"), None),
-    "predict_from_subject": (lambda s, d: rounded(_predicted(s, d), "n_obs_predicted", digits=4), f"WITH {PREDICTED} SELECT cell, round(p, 4) AS n_obs_predicted FROM pred"),
-    "predict": (_predict, f"WITH {MEANS.replace('avg(n_obs)', 'sum(n_obs)')}, {BRANDS}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), m AS (SELECT cell, species_i AS class, sum(r * n_obs) AS p FROM brands JOIN matrix ON species_j = class GROUP BY ALL) SELECT brands.*, round(coalesce(p, 0), 4) AS n_obs_predicted FROM brands LEFT JOIN m USING (cell, class)"),
-    "missing_species": (_missing, f"WITH {DENSE}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), l AS (SELECT cell, kind, CASE WHEN kind = 'Brand#33' THEN 0 ELSE v END AS v FROM dense WHERE cell <= 3), p AS (SELECT species_i AS class, sum(r * v) AS p FROM l JOIN matrix ON species_j = kind GROUP BY 1), t AS (SELECT kind AS class, CAST(sum(v) AS BIGINT) AS n_obs FROM l GROUP BY 1) SELECT class, n_obs, round(p, 4) AS n_obs_predicted FROM t JOIN p USING (class) WHERE n_obs = 0"),
+    "predict_from_subject": (lambda s, d: rounded(_predicted(s, d), "n_obs_predicted", digits=4), f"WITH {PREDICTED} SELECT cell, round(p, 4) + 0.0 AS n_obs_predicted FROM pred"),
+    "predict": (_predict, f"WITH {MEANS.replace('avg(n_obs)', 'sum(n_obs)')}, {BRANDS}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), m AS (SELECT cell, species_i AS class, sum(r * n_obs) AS p FROM brands JOIN matrix ON species_j = class GROUP BY ALL) SELECT brands.*, round(coalesce(p, 0), 4) + 0.0 AS n_obs_predicted FROM brands LEFT JOIN m USING (cell, class)"),
+    "missing_species": (_missing, f"WITH {DENSE}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), l AS (SELECT cell, kind, CASE WHEN kind = 'Brand#33' THEN 0 ELSE v END AS v FROM dense WHERE cell <= 3), p AS (SELECT species_i AS class, sum(r * v) AS p FROM l JOIN matrix ON species_j = kind GROUP BY 1), t AS (SELECT kind AS class, CAST(sum(v) AS BIGINT) AS n_obs FROM l GROUP BY 1) SELECT class, n_obs, round(p, 4) + 0.0 AS n_obs_predicted FROM t JOIN p USING (class) WHERE n_obs = 0"),
     "threshold": (_threshold(False), f"WITH {PREDICTED} SELECT round(avg(p) - 2 * stddev_samp(p), 4) AS threshold FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}')"),
     "quantile_threshold": (_threshold(True), f"WITH {PREDICTED} SELECT round(quantile_cont(p, 0.2), 4) AS threshold FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}')"),
-    "presence_zone": (_zone, f"WITH {PREDICTED} SELECT cell, round(p, 4) AS n_obs_predicted FROM pred WHERE p >= (SELECT avg(p) - stddev_samp(p) FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}'))"),
+    "presence_zone": (_zone, f"WITH {PREDICTED} SELECT cell, round(p, 4) + 0.0 AS n_obs_predicted FROM pred WHERE p >= (SELECT avg(p) - stddev_samp(p) FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}'))"),
     "fit_points": (lambda s, d: rounded(_points(s, d), "y"), f"WITH {POINTS} SELECT cell, x, round(y, 6) AS y FROM pts"),
     "fit_linear": (lambda s, d: rounded(fit.fit_linear(_points(s, d)), "a", "b"), f"WITH {POINTS} SELECT round(regr_slope(y, x), 6) AS a, round(regr_intercept(y, x), 6) AS b FROM pts"),
     "fit_power": (_law, None),
