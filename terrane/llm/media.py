@@ -79,7 +79,7 @@ def tiff_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media
                         if held >= BATCH_BYTES:
                             yield made(rows, batch)
                             rows, held = [], 0
-                except (ValueError, zlib.error, IndexError, KeyError) as e:
+                except ValueError as e:
                     rows.append((key, -1, None, None, None, None, None, None, None, str(e)))
             yield made(rows, batch)
 

@@ -153,12 +153,15 @@ def pack_lzw(data: bytes) -> bytes:
 def _unpack(data: bytes, compression: int) -> bytes:
     if compression == NONE:
         return data
-    if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    if compression == PACKBITS:
-        return unpack_bits(data)
-    if compression == LZW:
-        return unpack_lzw(data)
+    try:
+        if compression in (DEFLATE, OLD_DEFLATE):
+            return zlib.decompress(data)
+        if compression == PACKBITS:
+            return unpack_bits(data)
+        if compression == LZW:
+            return unpack_lzw(data)
+    except (zlib.error, IndexError) as e:
+        raise ValueError(f"broken data: {e}") from e
     raise ValueError(f"compression {compression} is not read")
 
 
@@ -172,6 +175,8 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             raise ValueError("broken chain of directories")
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
+        if at + 6 + 12 * n > len(data):
+            raise ValueError("a directory lies outside the file")
         tags: dict[int, list[int]] = {}
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
