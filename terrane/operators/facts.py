@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import integer, period
-
-#: Taxonomy columns that are kept where present, in this order (fixed names of the two vocabularies).
-TAXONOMY_COLUMNS = [
-    "kingdom", "phylum", "class", "order", "family", "genus", "species", "taxonRank", "occurrenceID", "verbatimScientificName",
-    "regne", "classe", "ordre", "famille", "genre", "nomScientifique", "nomVernaculaire", "especeProtegee", "rangTaxo", "cdNom",
-    "statutBiogeoEspeceTaxref", "habitatEspeceTaxref", "vernacularName_fr", "vernacularName_en", "all", "groupe",
-]
+from terrane.operators.fixed_values import TAXONOMY_COLUMNS
 
 
 def taxonomy(rows: DataFrame, species: str = "species_id", columns: list[str] | None = None) -> DataFrame:

@@ -7,26 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions.columns import any_of, truth
-
-#: Predefined categories: for each name the values of each column, of which any one is enough (fixed values).
-CATEGORIES: dict[str, dict[str, list[str]]] = {
-    "birds": {"class": ["Aves"]},
-    "mammals": {"class": ["Mammalia"]},
-    "reptiles": {"class": ["Reptilia", "Squamata", "Testudines", "Crocodylia"]},
-    "amphibians": {"class": ["Amphibia"]},
-    "fish": {"class": ["Actinopterygii", "Elasmobranchii", "Holocephali"], "order": ["Perciformes", "Cypriniformes", "Salmoniformes"]},
-    "insects": {"class": ["Insecta"]},
-    "butterflies": {"order": ["Lepidoptera"]},
-    "dragonflies": {"order": ["Odonata"]},
-    "beetles": {"order": ["Coleoptera"]},
-    "bees": {"family": ["Apidae", "Andrenidae", "Halictidae", "Megachilidae", "Colletidae", "Melittidae"]},
-    "spiders": {"class": ["Arachnida"]},
-    "molluscs": {"phylum": ["Mollusca"]},
-    "plants": {"kingdom": ["Plantae"]},
-    "orchids": {"family": ["Orchidaceae"]},
-    "mosses": {"phylum": ["Bryophyta"]},
-    "fungi": {"kingdom": ["Fungi"]},
-}
+from terrane.operators.fixed_values import CATEGORIES
 
 
 def in_category(rows: DataFrame, name: str, categories: dict[str, dict[str, list]] = CATEGORIES) -> DataFrame:
