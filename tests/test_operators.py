@@ -29,7 +29,8 @@ def test_counts_drop_unknown_keys(spark):
 
 def test_taxonomy_takes_the_fullest_row(spark):
     rows = spark.createDataFrame([(1, "P", None, "x"), (1, "P", "C", "y"), (1, "P", "C", "x"), (2, None, None, None)], "species_id int, kingdom string, class string, species string")
-    assert rows_of(facts.taxonomy(rows)) == [(1, "P", "C", "x"), (2, None, None, None)]
+    assert facts.taxonomy(rows).columns == ["species_id", "species", "class", "kingdom"]
+    assert rows_of(facts.taxonomy(rows)) == [(1, "x", "C", "P"), (2, None, None, None)]
 
 
 def test_indices_of_zero_cells(observed):
