@@ -11,9 +11,15 @@ at least spare + 1 parts give a shared signature; a set with at most ``spare`` p
 its thin signatures away, any other keeps them. Of a linked pair either one has few thin parts - then a full part is
 shared - or both keep theirs. No link is lost.
 
-Copies (equal sets) are one class. Classes of a shared signature are paired with its smallest class and checked exactly on
-their texts; links give components, and only pairs of classes that still lie in different components go on, again by a
-star for each group, until none is left untested. So a group of n near copies costs about n checks a round.
+The same argument takes out signatures that very many classes share: a class whose crowded signatures are at most
+``spare`` leaves them, for a link of it shows in another one. What stays in crowded groups are classes that are crowded
+nearly everywhere, such as a large group of near copies.
+
+Copies (equal sets) are one class. In crowded groups a lead is paired with the others (a star), what links is made one
+component, and new leads are taken for a few turns while stars find enough links: so a group of n near copies costs about n checks a
+round. Then all groups are searched for pairs of classes of different components: classes carry the parities of
+hashed buckets of their members, of which no more can differ than members do, and only pairs that this does not rule out
+leave the group, to be checked exactly on their texts. No pair that shares a signature is left untested.
 """
 
 from __future__ import annotations
@@ -27,15 +33,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.components import components
-from terrane.llm.tables import dropped, semi_join, written
-from terrane.llm.text import bytes_of, gram_hashes, lower_ascii, mix, slices, word_hashes, word_spans
+from terrane.llm.tables import dropped, salted_join, semi_join, written
+from terrane.llm.text import bytes_of, gram_hashes, lean, lower_ascii, mix, slices, word_hashes, word_spans
 
 #: Width of a band of sizes (largest over smallest), in hundredths; smaller parts of a part for large and small sets.
 BAND, FEW_PARTS, MORE_PARTS, MORE_BELOW = 140, 2, 3, 64
 #: Members that a signature needs to count as full, and parts to spare for each ten parts.
 FULL, SPARE_SHARE = 2, 8
-#: Classes that a task remembers having signed.
-SEEN = 500_000
+#: Classes that a task remembers having signed; classes of a group from which it counts as crowded.
+SEEN, CROWDED = 500_000, 8
+#: Turns of stars at most, leads of a group in each, and the share of links among the pairs whose texts are compared
+#: below which turns end early. What stars leave is searched whole, so they decide on cost alone.
+TURNS, LEADS, YIELD = 3, 4, 0.1
+#: Classes of a group that are compared in one task; larger groups are cut to pairs of blocks.
+BLOCK = 256
+#: Low bits of a signature that hold its band.
+BAND_BITS = 7
 _SALT = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64)
 
 
@@ -82,6 +95,9 @@ class Scheme:
         largest = bounds[band + 1] - 1
         return (self.den - self.num) * 2 * largest // (self.den + self.num)
 
+    def spare(self, band: int, bounds: list[int]) -> int:
+        return (self.differences(band, bounds) // 2 + 1) // SPARE_SHARE
+
     def bands(self, size: int, bounds: list[int]) -> list[int]:
         own = self.band_of(size, bounds)
         reaches = size * self.den >= self.num * bounds[own + 1]
@@ -96,9 +112,8 @@ def signatures(members: np.ndarray, scheme: Scheme, bounds: list[int]) -> np.nda
         if not k:
             continue
         n2 = MORE_PARTS if bounds[band] < MORE_BELOW else FEW_PARTS
-        base = k // 2 + 1
-        spare = base // SPARE_SHARE
-        n1 = base + spare
+        spare = scheme.spare(band, bounds)
+        n1 = k // 2 + 1 + spare
         # Part and smaller part of each member, from two ranges of the bits of one mixed hash.
         spread = mix(members + _SALT[2:3] * np.array([band + 1], np.uint64))
         part = ((spread >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
@@ -111,6 +126,7 @@ def signatures(members: np.ndarray, scheme: Scheme, bounds: list[int]) -> np.nda
         value = sums.sum(1, keepdims=True, dtype=np.uint64) - sums
         place = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + np.uint64(band << 40)
         value = mix(value ^ mix(place + held.astype(np.uint64) * _SALT[0]))
+        value = (value << np.uint64(BAND_BITS)) | np.uint64(band)
         full = held >= FULL
         out.append(value[full] if (~full.all(1)).sum() <= spare else value.reshape(-1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -123,6 +139,7 @@ def _kind(rows: DataFrame, column: str) -> str:
 def classes_of(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, class of every row."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), identity(s)) for _, _, part, at in slices(*bytes_of(batch.column(1))) for s in shingle_sets(part, at, words)]
@@ -135,6 +152,7 @@ def classes_of(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 def signed(docs: DataFrame, words: int, similarity: tuple[int, int], text_col: str) -> DataFrame:
     """signature, class of every text; a task signs a class that it has seen already only once, so copies are few here."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(*similarity)
         bounds = scheme.bounds()
@@ -157,11 +175,76 @@ def signed(docs: DataFrame, words: int, similarity: tuple[int, int], text_col: s
     return docs.select(text_col).mapInArrow(run, "signature long, class long")
 
 
+def parities(members: np.ndarray) -> bytes:
+    """One bit for each bucket of a mixed hash: whether an odd number of members lies in it; at least a bucket a member."""
+    bits = max(3, int(np.ceil(np.log2(max(1, len(members))))))
+    place = (mix(members ^ _SALT[2]) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=1 << bits) & 1).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """Parities of ``size`` bytes: those of neighbouring buckets put together."""
+    raw = np.frombuffer(bits, np.uint8)
+    if len(raw) == size:
+        return raw
+    return np.packbits(np.bitwise_xor.reduce(np.unpackbits(raw).reshape(8 * size, -1), axis=1))
+
+
+def near_pairs(bits: list[bytes], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Which pairs (left, right) sizes and parities do not rule out; all are folded to the shortest.
+
+    A bucket whose parities differ holds a member that the sets do not share, and linked sets have at most
+    (den - num) / (den + num) of both sizes of such members.
+    """
+    num, den = similarity
+    a, b = sizes[left], sizes[right]
+    keep = np.minimum(a, b) * den >= np.maximum(a, b) * num
+    least = min(map(len, bits))
+    table = np.stack([folded(x, least) for x in bits])
+    at = np.flatnonzero(keep)
+    step = max(1, (1 << 22) // least)
+    for k in range(0, len(at), step):
+        i, j = left[at[k : k + step]], right[at[k : k + step]]
+        miss = np.bitwise_count(table[i] ^ table[j]).sum(1, dtype=np.int64)
+        keep[at[k : k + step]] = miss * (den + num) <= (den - num) * (sizes[i] + sizes[j])
+    return keep
+
+
+def described(chosen: DataFrame, words: int) -> DataFrame:
+    """class, text, n, parities of (class, text)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), parities(s)) for _, _, part, at in slices(*bytes_of(batch.column(1))) for s in shingle_sets(part, at, words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([h for _, h in found], pa.binary())], names=["class", "text", "n", "parities"])
+
+    return chosen.mapInArrow(run, "class long, text string, n long, parities binary")
+
+
+def close(pairs: DataFrame, known: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that sizes and parities do not rule out."""
+    num, den = similarity
+    zero, one = np.array([0]), np.array([1])
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(k).to_pylist() for k in (2, 3, 4, 5)], strict=True)
+            keep = [bool(near_pairs([h, i], np.array([n, m]), zero, one, similarity)[0]) for n, h, m, i in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: known.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("parities").alias(f"h{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return both.select("a", "b", "na", "ha", "nb", "hb").mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of classes whose texts reach the similarity. texts: class, text. Rows of one a come together, so
     the set that many share is built once."""
     num, den = similarity
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -172,9 +255,8 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int
                 if names[i] != last:
                     data, offsets = bytes_of(batch.column(3).slice(i, 1))
                     last, kept = names[i], shingle_sets(data, offsets, words)[0]
-                if min(len(members), len(kept)) * den >= max(len(members), len(kept)) * num:
-                    both = len(np.intersect1d(kept, members, assume_unique=True))
-                    keep[i] = den * both >= num * (len(members) + len(kept) - both)
+                both = len(np.intersect1d(kept, members, assume_unique=True))
+                keep[i] = den * both >= num * (len(members) + len(kept) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     left = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
@@ -183,75 +265,121 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int
 
 
 def star(groups: DataFrame, turn: int) -> DataFrame:
-    """From (signature, class, root): pairs of each group's lead with the classes of other components. Each turn ranks
+    """From (signature, class, root): pairs of each group's leads with the classes of other components. Each turn ranks
     classes anew, and alike in all groups, so that few leads serve many groups."""
     group = Window.partitionBy("signature")
-    first = groups.withColumn("lead", F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("rank"), "class", "root")).over(group))
+    lead = lambda k: F.min(F.struct(F.xxhash64(F.lit(LEADS * turn + k), "class").alias("rank"), "class", "root")).over(group)
+    leads = groups.select("class", "root", *[lead(k).alias(f"lead{k}") for k in range(LEADS)])
+    first = leads.select("class", "root", F.explode(F.array(*[f"lead{k}" for k in range(LEADS)])).alias("lead"))
     return first.filter(F.col("root") != F.col("lead.root")).select(F.least("class", "lead.class").alias("a"), F.greatest("class", "lead.class").alias("b")).distinct()
 
 
-def crossing(groups: DataFrame) -> DataFrame:
-    """All pairs of classes of different components that share a signature; only for groups that stars have left small."""
-    other = groups.select("signature", F.col("class").alias("b"), F.col("root").alias("root_b"))
-    return groups.join(other, "signature").filter("class < b AND root <> root_b").select(F.col("class").alias("a"), "b").distinct()
-
-
-def class_links(docs: DataFrame, classes: DataFrame, words: int, similarity: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame | None, list[str]]:
-    """class, root of every class that is linked with another, and the tables to drop when it has been used."""
+def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a group and are not ruled out. groups: signature,
+    class, root, n (the group's size)."""
+    # Groups with one first class mostly hold the same pairs: they go to one task, which passes each pair on once.
+    lead = F.min(F.xxhash64("class")).over(Window.partitionBy("signature"))
+    rows = groups.withColumn("lead", lead).join(known.select("class", F.col("n").alias("size"), "parities"), "class")
+    # Groups of more than BLOCK classes are dealt to blocks; a class meets each block of its group, one pair of blocks a task.
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / BLOCK, F.lit(1.0))))).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = dealt.select("lead", "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "class", "root", "size", "parities")
+    sorted_ = keyed.repartition("lead", "i", "j").sortWithinPartitions("lead", "signature", "i", "j", "class").drop("lead")
+
+    def pairs_of(rows: list[tuple], seen: set) -> list[tuple[int, int]]:
+        i, j = rows[0][1:3]
+        names, roots, sides = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
+        left, right = np.triu_indices(len(rows), 1)
+        ok = (roots[left] != roots[right]) & (names[left] != names[right])
+        if i != j:
+            ok &= sides[left] != sides[right]
+        left, right = left[ok], right[ok]
+        if not len(left):
+            return []
+        keep = near_pairs([r[7] for r in rows], np.array([r[6] for r in rows]), left, right, similarity)
+        found = [(a, b) if a < b else (b, a) for a, b in zip(names[left[keep]].tolist(), names[right[keep]].tolist(), strict=True)]
+        fresh = [p for p in dict.fromkeys(found) if p not in seen]
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(fresh)
+        return fresh
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and row[:3] != held[0][:3]:
+                    if len(held) > 1:
+                        out += pairs_of(held, seen)
+                    held = []
+                # A class that several tasks signed is in its group once.
+                if not held or held[-1][4] != row[4]:
+                    held.append(row)
+            yield made()
+            out = []
+        if len(held) > 1:
+            out += pairs_of(held, seen)
+        yield made()
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def uncrowded(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """signature, class, n of groups, without the crowded signatures of classes that can spare them."""
+    scheme = Scheme(*similarity)
+    bounds = scheme.bounds()
+    spare = F.element_at(F.array(*[F.lit(scheme.spare(k, bounds)) for k in range(len(bounds) - 1)]), F.col("band") + 1)
+    crowd = groups.filter(F.col("n") > CROWDED).withColumn("band", F.col("signature").bitwiseAND((1 << BAND_BITS) - 1).cast("int"))
+    held = crowd.groupBy("class", "band").agg(F.count("*").alias("crowded")).filter(F.col("crowded") > spare).select("class", "band")
+    kept = crowd.join(held, ["class", "band"], "left_semi").select("signature", "class", "n")
+    return groups.filter(F.col("n") <= CROWDED).select("signature", "class", "n").unionAll(kept)
+
+
+def class_links(docs: DataFrame, classes: DataFrame, words: int, similarity: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """class, root of every class that is linked with another; None if there is no link."""
     spark = docs.sparkSession
     whole = Window.partitionBy("signature")
     signs = signed(docs, words, similarity, text_col)
-    spread = signs.withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole))
-    groups, groups_at = written(spread.filter("low < high").select("signature", "class").distinct())
-    wanted, wanted_at = written(groups.select("class").distinct().join(classes.groupBy("class").agg(F.min(id_col).alias(id_col), F.first("n_shingles").alias("n")), "class"))
+    spread = signs.withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole)).withColumn("n", F.count("*").over(whole))
+    first, first_at = written(spread.filter("low < high").select("signature", "class", "n"))
+    open_, open_at = written(uncrowded(first, similarity).distinct().withColumn("root", F.col("class")))
+    dropped(spark, first_at)
+    wanted, wanted_at = written(open_.select("class").distinct().join(classes.groupBy("class").agg(F.min(id_col).alias(id_col)), "class"))
     count = wanted.count()
-    if not count:
-        dropped(spark, groups_at, wanted_at)
-        return None, []
     chosen = semi_join(docs.select(id_col, F.col(text_col).alias("text")), wanted.select(id_col), id_col, count)
-    texts, texts_at = written(chosen.join(wanted, id_col).dropDuplicates(["class"]).select("class", "text"))
-    sizes = wanted.select("class", "n")
-    num, den = similarity
-    roots, roots_at, links, tested, spent, turn = None, None, None, None, [], 0
-    while True:
-        current = groups.withColumn("root", F.col("class")) if roots is None else groups.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        open_ = current.withColumn("low", F.min("root").over(whole)).withColumn("high", F.max("root").over(whole)).filter("low < high").select("signature", "class", "root")
-        left, left_at = written(open_)
-        rows = left.count()
-        spent.append(left_at)
-        if not rows:
-            break
-        per = left.groupBy("signature", "root").count().groupBy("signature").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        cross = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0]
-        everything, turn = cross <= 4 * rows, turn + 1
-        pairs = crossing(left) if everything else star(left, turn)
-        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = fresh.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-        fresh, fresh_at = written(fresh.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"))
-        good, good_at = written(linked(fresh, texts, words, similarity))
+    texts, texts_at = written(described(chosen.join(wanted, id_col).dropDuplicates(["class"]).select("class", "text"), words))
+    roots, links, tested, spent, turn = None, None, None, [wanted_at, texts_at], 0
+    crowd, share = open_.filter(F.col("n") > CROWDED), 1.0
+    while count and share >= YIELD and turn < TURNS:
+        turn += 1
+        pairs = star(crowd, turn)
+        fresh, fresh_at = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        near, near_at = written(close(fresh, texts, similarity))
+        good, good_at = written(linked(near, texts, words, similarity))
+        found = good.count()
+        spent += [fresh_at, near_at, good_at, open_at]
+        share = found / max(1, near.count())
+        if found:
+            links = good if links is None else links.unionAll(good)
+            tested = fresh if tested is None else tested.unionAll(fresh)
+            roots = components(links).select(F.col("node").alias("class"), "root")
+            # Groups whose classes are all of one component now are done.
+            again = open_.drop("root").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+            spread = again.withColumn("low", F.min("root").over(whole)).withColumn("high", F.max("root").over(whole))
+            open_, open_at = written(spread.filter("low < high").select("signature", "class", "n", "root"))
+            crowd = open_.filter(F.col("n") > CROWDED)
+    if count:
+        good, good_at = written(linked(crossing(open_, texts, similarity), texts, words, similarity))
+        spent += [good_at, open_at]
         links = good if links is None else links.unionAll(good)
-        tested = fresh if tested is None else tested.unionAll(fresh)
-        spent += [fresh_at, good_at]
-        nothing = good.isEmpty()
-        if not nothing:
-            again, at = written(components(links).select(F.col("node").alias("class"), "root"))
-            if roots_at:
-                spent.append(roots_at)
-            roots, roots_at = again, at
-        if everything:
-            break
-        if nothing:
-            # No star linked anything: what is left is tested pair by pair, in groups that hold no near copies of a lead.
-            pairs = crossing(left).join(tested, ["a", "b"], "left_anti")
-            pairs = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-            good, good_at = written(linked(pairs.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b"), texts, words, similarity))
-            links = links.unionAll(good)
-            spent.append(good_at)
-            again, at = written(components(links).select(F.col("node").alias("class"), "root"))
-            roots, roots_at = again, at
-            break
-    dropped(spark, groups_at, wanted_at, texts_at, *spent)
-    return roots, [roots_at] if roots_at else []
+        roots = components(links).select(F.col("node").alias("class"), "root")
+    dropped(spark, *dict.fromkeys([*spent, open_at]))
+    return roots
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,13 +389,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, similarity: tuple[int, i
     repeated rows are copies; rows without an id are components of their own class without id; other columns are not read.
     """
     classes, _ = written(classes_of(docs, words, id_col, text_col))
-    roots, _ = class_links(docs, classes, words, similarity, id_col, text_col)
-    named = classes if roots is None else classes.join(roots, "class", "left")
+    roots = class_links(docs, classes, words, similarity, id_col, text_col)
+    named = classes if roots is None else salted_join(classes, roots, "class", id_col)
     root = F.col("class") if roots is None else F.coalesce("root", "class")
     named = named.select(id_col, "n_shingles", "class", root.alias("root"))
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min(id_col).alias("component_id"))
-    found = named.join(least, "root", "left")
-    return found.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), "class")
+    # A component of one row is its own least id; the others may be very large, so their side is salted.
+    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min(id_col).alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    found = salted_join(named, least, "root", id_col)
+    return found.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", id_col)).otherwise(F.col(id_col)).alias("component_id"), "class")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), most: int = 1_000_000) -> DataFrame:
