@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.quality import bucket_of, sampled
-from terrane.llm.text import bytes_of, lower_ascii, slices
+from terrane.llm.text import bytes_of, lean, lower_ascii, slices
 
 #: Bytes of a window, and the most labelled rows of each language that a network is fitted on (SLICE characters of each).
 WINDOW, SAMPLE_PER_CLASS, SLICE = 256, 1500, 768
@@ -167,6 +167,7 @@ def predict_documents(docs: DataFrame, network: Network | None, id_col: str = "d
     """doc_id, lang_pred, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:
@@ -196,6 +197,7 @@ def keep_known(docs: DataFrame, network: Network | None, least: float = 0.3, tex
     sent = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:

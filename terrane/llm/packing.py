@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from terrane.llm.text import lean
+
 #: Remainders that wait before sequences are built, and how many are left waiting for later ones.
 WINDOW, KEEP = 2048, 512
 BLOCK_CHARS = 1 << 22
@@ -196,6 +198,7 @@ class Packer:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, base = encoder(tokenizer_path), TaskContext.get().partitionId() << 33
         out: list[tuple] = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.text import bytes_of, lower_ascii, mix, slices, word_hashes
+from terrane.llm.text import bytes_of, lean, lower_ascii, mix, slices, word_hashes
 
 #: Bits of the weight table (4 bytes a weight), and the most labelled rows of each class that a model is fitted on.
 TABLE_BITS, SAMPLE_PER_CLASS = 20, 3000
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = float(next(iter(totals), 0.5))
         return Model(np.zeros(1 << TABLE_BITS, np.float32), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytes_of(batch.column(1))
@@ -158,6 +159,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(sent.value.score(*bytes_of(batch.column(at))) >= threshold))
@@ -176,6 +178,7 @@ def score_ids(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """doc_id, score, predicted: the text does not leave the worker."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = sent.value.score(*bytes_of(batch.column(1)))

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.fm_index import FmIndex
-from terrane.llm.tables import dropped, semi_join, written
-from terrane.llm.text import bytes_of, gram_hashes, gram_owner, mix, power, slices, word_hashes, word_spans
+from terrane.llm.tables import dropped, salted_join, semi_join, written
+from terrane.llm.text import bytes_of, gram_hashes, gram_owner, lean, mix, power, slices, word_hashes, word_spans
 
 #: Words of a window, and of the n-grams of which a window's key is the least.
 WINDOW, GRAM = 13, 5
@@ -57,6 +57,7 @@ def _kind(rows: DataFrame, column: str) -> str:
 def keys_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc, key: the distinct keys of each text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -77,6 +78,7 @@ def segments_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """key, segment (words joined by one space), name (its hash), doc, at (first word): the runs of windows whose key
     is among the document's repeated ones. rows: doc, text, keys, hot (those of the keys that are cut to windows)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -159,7 +161,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     spark, docs = docs.sparkSession, docs.filter(F.col("doc").isNotNull())
     digests = docs.filter(F.col("text").isNotNull()).select("doc", F.unhex(F.md5("text")).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies, _ = written(digests.join(firsts, "digest").filter("doc > first").select("doc").distinct())
+    copies, _ = written(salted_join(digests, firsts, "digest", "doc", "inner").filter("doc > first").select("doc").distinct())
     single = semi_join_not(docs, copies)
     group = Window.partitionBy("key")
     counted = keys_of(single, window, gram).withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group)).withColumn("n", F.count("*").over(group))
@@ -232,6 +234,7 @@ def _starts(column: pa.Array, i: int) -> np.ndarray | None:
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, whole = batch.column(2), batch.column(3).to_pylist()
@@ -245,6 +248,7 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with their columns; texts that lose words hold the kept ones, joined by one space."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -39,3 +39,23 @@ def semi_join(rows: DataFrame, ids: DataFrame, column: str, count: int, most: in
     """Rows whose id is among ``ids``, which has ``count`` rows: sent to all tasks if there are at most ``most`` of them
     (8 MB of integers), by a shuffle of both sides otherwise."""
     return rows.join(F.broadcast(ids) if count <= most else ids, column, "left_semi")
+
+
+#: Parts that rows of one key are dealt to where a key may hold a large share of all rows.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
+    """Rows joined with a side of few rows a key; rows of one key are dealt to SALTS tasks by the hash of ``spread``, and
+    the side's rows are repeated for each."""
+    salt = F.pmod(F.xxhash64(F.lit("salt"), spread), F.lit(SALTS)).cast("int")
+    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of at most so many rows between Spark and Python: with whole texts they are what memory is spent on. A
+    session that asks for less keeps its setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

@@ -6,13 +6,15 @@ string column, so a batch costs a few passes of numpy over its bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of the kernels works on; bounds their temporary arrays (about 60 bytes a byte).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +29,28 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
 
 
+@functools.lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives freed memory back when its partition is done: workers live on, and what they
+    keep counts against the executor's next stages."""
+
+    @functools.wraps(run)
+    def over(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc(), "malloc_trim"):
+            _libc().malloc_trim(0)
+
+    return over
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit over the output (splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * _M1

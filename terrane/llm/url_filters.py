@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.tables import dropped, written
+from terrane.llm.tables import dropped, salted_join, written
 
 #: Share of the mass that follows links, rounds, whole of a seed, and how far distrust must exceed trust (shares of a seed).
 FOLLOW, ROUNDS, WHOLE, THRESHOLD = 0.85, 20, 10**12, 0.5
@@ -108,5 +108,5 @@ def judge_pages(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOL
     seeds = seen.filter(host != "").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     ranks = propagated(seeds, host_links(split))
     verdict = F.when(F.coalesce("distrust", F.lit(0)) - F.coalesce("trust", F.lit(0)) > F.lit(int(threshold * WHOLE)), "block").otherwise("allow")
-    judged = seen.join(ranks, "host", "left")
+    judged = salted_join(seen, ranks, "host", "page_id")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("action", verdict).alias("verdict"), F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
