@@ -44,7 +44,7 @@ FULL, SPARE_SHARE = 2, 8
 SEEN, CROWDED = 500_000, 8
 #: Turns of stars at most, leads of a group in each, and the share of links among the pairs whose texts are compared
 #: below which turns end early. What stars leave is searched whole, so they decide on cost alone.
-TURNS, LEADS, YIELD = 3, 4, 0.1
+TURNS, LEADS, YIELD = 2, 2, 0.1
 #: Classes of a group that are compared in one task; larger groups are cut to pairs of blocks.
 BLOCK = 256
 #: Low bits of a signature that hold its band.
