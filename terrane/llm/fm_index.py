@@ -100,18 +100,17 @@ class FmIndex:
             low, high = low + self.first[symbol], high + self.first[symbol]
         return low, high
 
-    def extended(self, at: int, limit: int = 1 << 30) -> int:
-        """The matching statistic of one position: words before text position ``at`` (and the run of ``depth`` there)
-        that occur elsewhere too, taken back as long as more than one occurrence is left."""
-        low, high = self.intervals(np.array([at]))
-        n = self.depth
-        while at > 0 and n < limit and self.text[at - 1] and high[0] - low[0] > 1:
-            symbol = self.text[at - 1 : at]
+    def statistic(self, end: int) -> int:
+        """The matching statistic of the words before text position ``end``: how many of them, at most ``depth``, occur
+        once more. Beyond that depth suffixes are not in order, so searches stop there."""
+        low, high, n = np.array([0]), np.array([len(self.text)]), 0
+        while n < self.depth and end - n > 0 and self.text[end - n - 1]:
+            symbol = self.text[end - n - 1 : end - n]
             down, up = self.matrix.ranks(symbol, low, high)
-            down, up = down + self.first[symbol], up + self.first[symbol]
-            if up[0] - down[0] < 2:
+            low, high = down + self.first[symbol], up + self.first[symbol]
+            if high[0] - low[0] < 2:
                 break
-            low, high, at, n = down, up, at - 1, n + 1
+            n += 1
         return n
 
     def least(self, at: np.ndarray, owners: np.ndarray) -> np.ndarray:

@@ -145,11 +145,11 @@ def test_fm_index(sequences):
     assert [int(n) for n in high - low] == [runs.count(r) for r in runs]
     owners = np.repeat(np.arange(len(sequences)), [len(s) + 1 for s in sequences])
     assert index.least(at, owners).tolist() == [min(k for (k, _), q in zip(where, runs, strict=True) if q == r) for r in runs]
-    for p, (k, i) in zip(at.tolist(), where, strict=True):
-        n = index.extended(p)
-        if runs.count(tuple(sequences[k][i : i + 5])) > 1:
-            longest = max(m for m in range(i + 1) if m == 0 or sum(tuple(s[j : j + 5 + m]) == tuple(sequences[k][i - m : i + 5]) for s in sequences for j in range(len(s))) > 1)
-            assert n == 5 + longest
+    found = lambda run: sum(tuple(s[j : j + len(run)]) == run for s in sequences for j in range(len(s) - len(run) + 1))
+    for k, s in enumerate(sequences):
+        for end in range(1, len(s) + 1):
+            want = max(n for n in range(min(5, end) + 1) if n == 0 or found(tuple(s[end - n : end])) > 1)
+            assert index.statistic(int(index.starts[k]) + end) == want
 
 
 def plain_removal(rows, window=13):
