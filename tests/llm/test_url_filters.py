@@ -89,5 +89,6 @@ def test_against_plain_propagation(spark, rows):
 
 
 def test_distrust_reaches_who_links_there(spark):
-    got = {r.page_id: r.verdict for r in U.judge_pages(spark.createDataFrame(ROWS, "page_id long, url string, html string"), U.RULES).collect()}
-    assert got[7] == "block" and got[6] == "block" and got[8] == "allow"
+    rows = [r for r in ROWS if 4 <= r[0] <= 9]
+    got = {r.page_id: r.verdict for r in U.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), U.RULES).collect()}
+    assert got[6] == "block" and got[7] == "block" and got[8] == "allow"
