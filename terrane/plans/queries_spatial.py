@@ -38,7 +38,7 @@ def _status(s, d):
     from terrane.operators.temporal import STATUS, status_map
 
     colours = {v: f"#{i:06d}" for i, v in enumerate(sorted(set(STATUS.values())))}
-    rows = status_map(X.facts_by_period(s, d), "cell", "species_id").filter("species_id % 50 = 1").select("cell", "species_id", "status")
+    rows = status_map(X.facts_by_period(s, d), "cell", "species_id").select("cell", "species_id", "status")
     return layers.status_layer(rows, X.supplier_grid(s, d), colours).select("cell", "species_id", "min_lon", "colour")
 
 
