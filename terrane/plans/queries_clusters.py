@@ -55,6 +55,14 @@ def _missing(s, d):
     return rounded(correlate.missing_species(found, "n_obs_predicted", species=CLADE), "n_obs_predicted", digits=4)
 
 
+def missing_in_cells(rows, clade):
+    """cell, clade, n_obs_predicted: the clades that each cell lacks. rows: cell, clade, n_obs, one row a pair."""
+    from terrane.operators.facts import completed
+
+    found = correlate.predict(completed(rows, rows, species=clade), correlate.correlation_matrix(rows, clade=clade), species=clade)
+    return rounded(found.filter("n_obs = 0").select("cell", clade, "n_obs_predicted"), "n_obs_predicted", digits=4)
+
+
 def _threshold(quantile):
     def run(s, d):
         rows, predictions = _brands(s, d), _predicted(s, d)
@@ -123,6 +131,7 @@ QUERIES = {
     "predict_from_subject": (lambda s, d: rounded(_predicted(s, d), "n_obs_predicted", digits=4), f"WITH {PREDICTED} SELECT cell, round(p, 4) + 0.0 AS n_obs_predicted FROM pred"),
     "predict": (_predict, f"WITH {MEANS.replace('avg(n_obs)', 'sum(n_obs)')}, {BRANDS}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), m AS (SELECT cell, species_i AS class, sum(r * n_obs) AS p FROM brands JOIN matrix ON species_j = class GROUP BY ALL) SELECT brands.*, round(coalesce(p, 0), 4) + 0.0 AS n_obs_predicted FROM brands LEFT JOIN m USING (cell, class)"),
     "missing_species": (_missing, f"WITH {DENSE}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), l AS (SELECT cell, kind, CASE WHEN kind = 'Brand#33' THEN 0 ELSE v END AS v FROM dense WHERE cell <= 3), p AS (SELECT species_i AS class, sum(r * v) AS p FROM l JOIN matrix ON species_j = kind GROUP BY 1), t AS (SELECT kind AS class, CAST(sum(v) AS BIGINT) AS n_obs FROM l GROUP BY 1) SELECT class, n_obs, round(p, 4) + 0.0 AS n_obs_predicted FROM t JOIN p USING (class) WHERE n_obs = 0"),
+    "missing_in_cells": (lambda s, d: missing_in_cells(X.named_facts(s, d).groupBy("cell", F.concat_ws(" ", "kingdom", "class").alias("clade")).agg(F.sum("n_obs").alias("n_obs")), "clade"), f"WITH {NAMED}, dense AS (SELECT cell, kind, coalesce(sum(n_obs), 0) AS v FROM (SELECT DISTINCT cell FROM named) CROSS JOIN (SELECT DISTINCT concat(kingdom, ' ', class) AS kind FROM named) LEFT JOIN (SELECT cell, concat(kingdom, ' ', class) AS kind, n_obs FROM named) USING (cell, kind) GROUP BY ALL), matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), p AS (SELECT cell, species_i AS kind, sum(r * v) AS p FROM dense JOIN matrix ON species_j = kind WHERE v > 0 GROUP BY ALL) SELECT dense.cell, dense.kind AS clade, round(coalesce(p, 0), 4) + 0.0 AS n_obs_predicted FROM dense LEFT JOIN p USING (cell, kind) WHERE v = 0"),
     "threshold": (_threshold(False), f"WITH {PREDICTED} SELECT round(avg(p) - 2 * stddev_samp(p), 4) AS threshold FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}')"),
     "quantile_threshold": (_threshold(True), f"WITH {PREDICTED} SELECT round(quantile_cont(p, 0.2), 4) AS threshold FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}')"),
     "presence_zone": (_zone, f"WITH {PREDICTED} SELECT cell, round(p, 4) + 0.0 AS n_obs_predicted FROM pred WHERE p >= (SELECT avg(p) - stddev_samp(p) FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}'))"),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
 
 from terrane.operators.temporal import STATUS
-from terrane.plans import registry
+from terrane.plans import queries_clusters, registry
 
 #: Supplier, part and year of each line item; years of the three periods are up to 1996, 1998 and 2001.
 LINES = [(c, p, y) for c in range(1, 8) for p in range(1, 13) for y in (1995, 1997, 1999) if (c * 31 + p * 17 + y * 7) % 5 < 2]
@@ -32,3 +33,33 @@ def test_status_layer_has_every_cell_and_species(spark, small):
         want[c, p] = (float(c % 50), colours[STATUS[tuple(int(y in seen) for y in (1995, 1997, 1999))]])
     got = registry.queries()["status_layer"](spark, small).collect()
     assert len(got) == len(want) and {(r.cell, r.species_id): (r.min_lon, r.colour) for r in got} == want
+
+
+def observed():
+    counts = {}
+    for c, p, _ in LINES:
+        counts[c, p] = counts.get((c, p), 0) + 1
+    return counts
+
+
+def test_every_cell_is_completed(spark, small):
+    counts = observed()
+    cells, kinds = {c for c, _ in counts}, {p for _, p in counts}
+    want = {(c, p): counts.get((c, p), 0) for c in cells for p in kinds}
+    got = registry.queries()["completed_all"](spark, small).collect()
+    assert len(got) == len(want) and {(r.cell, r.species_id): r.n_obs for r in got} == want
+
+
+def test_missing_clades_of_every_cell(spark, small):
+    table = np.zeros((7, 4))
+    for (c, p), n in observed().items():
+        table[c - 1, p % 4] += n
+    table[:, 3] = 0
+    table[2, 3] = 5
+    table[4, 1] = 0
+    rows = spark.createDataFrame([(c + 1, f"Brand#{k}", int(table[c, k])) for c in range(7) for k in range(4) if table[c, k]], "cell long, class string, n_obs long")
+    found = queries_clusters.missing_in_cells(rows, "class").collect()
+    predicted = table @ np.corrcoef(table.T)
+    want = {(c + 1, f"Brand#{k}"): round(predicted[c, k], 4) for c in range(7) for k in range(4) if not table[c, k]}
+    assert len(want) > 6 and {(r.cell, r["class"]) for r in found} == set(want)
+    assert all(abs(r.n_obs_predicted - want[r.cell, r["class"]]) < 1e-3 for r in found)
