@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import truth
+from terrane.operators.bioregion import _kept
 
 
 def species_quantile(rows: DataFrame, q: float, value: str = "n_obs", species: str = "species_id") -> DataFrame:
@@ -72,22 +73,64 @@ def _path(n: int) -> float:
     return 0.0 if n < 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
+def score_bounds(scored: DataFrame, n_forests: int, q: float, buckets: int = 4096) -> list[float]:
+    """The exact quantile of each forest's scores, over all rows. scored: s (a score in 0 .. 1 for each forest), n (rows).
+
+    Counts by bucket show where the two values beside the quantile lie; only the distinct scores of those buckets are
+    looked at one by one.
+    """
+    at = scored.select(F.posexplode("s").alias("k", "s"), "n").withColumn("b", F.floor(F.col("s") * buckets).cast("int"))
+    tables = [{} for _ in range(n_forests)]
+    for k, b, n in at.groupBy("k", "b").agg(F.sum("n")).collect():
+        tables[k][b] = n
+    place = q * (sum(tables[0].values()) - 1)
+    ends = [int(np.floor(place)), int(np.ceil(place))]
+    found: list[dict[int, tuple[int, int]]] = []
+    for table in tables:
+        names = sorted(table)
+        upto = np.cumsum([table[b] for b in names])
+        found.append({e: (names[i := int(np.searchsorted(upto, e, "right"))], int(upto[i]) - table[names[i]]) for e in ends})
+    wanted = scored.sparkSession.createDataFrame(sorted({(k, b) for k, f in enumerate(found) for b, _ in f.values()}), "k int, b int")
+    values: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for k, b, v, n in at.join(F.broadcast(wanted), ["k", "b"]).groupBy("k", "b", "s").agg(F.sum("n")).collect():
+        values.setdefault((k, b), []).append((v, n))
+    bounds = []
+    for k, f in enumerate(found):
+        pair = []
+        for e in ends:
+            b, before = f[e]
+            held = sorted(values[k, b])
+            pair.append(held[int(np.searchsorted(before + np.cumsum([n for _, n in held]), e, "right"))][0])
+        bounds.append(float(np.quantile(pair, place - ends[0])))
+    return bounds
+
+
 def forest_vote(rows: DataFrame, value: str = "n_obs", species: str = "species_id", rounds: int = 30, share: float = 0.8, contamination: float = 0.002, trees: int = 50, sample: int = 20_000, seed: int = 0) -> DataFrame:
     """Adds ``outlier``: whether at least ``share`` of the forests put the row among the ``contamination`` strangest.
 
-    Forests are fitted on a sample of at most about ``sample`` rows, which also sets the bounds; every row is scored.
-    A species enters as the rank of its mean value, so one axis orders all of them.
+    Trees are drawn from the at most ``sample`` rows of least hash, so from the same ones however rows are dealt; each
+    bound is the quantile of the scores of all rows. A species enters as the rank of its mean value, so one axis orders
+    all of them.
     """
     means = rows.filter(F.col(species).isNotNull() & F.col(value).isNotNull()).groupBy(species).agg(F.avg(value).alias("species_mean"))
     points = rows.join(means, species, "left")
-    total = rows.count()
-    fraction = min(1.0, sample / max(total, 1))
-    drawn = points.select("species_mean", F.col(value).cast("double").alias("v")).dropna().sample(fraction, seed=seed).limit(2 * sample).toPandas().sort_values(["species_mean", "v"]).to_numpy()
+    known = points.select("species_mean", F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), *rows.columns).alias("hash")).dropna()
+    drawn = known.orderBy("hash", "species_mean", "v").limit(sample).select("species_mean", "v").toPandas().sort_values(["species_mean", "v"]).to_numpy()
     if len(drawn) < 2:
         return rows.withColumn("outlier", F.lit(False))
     rng = np.random.default_rng(seed)
     forests = [IsolationForest(drawn, trees, 256, rng) for _ in range(rounds)]
-    bounds = [float(np.quantile(f.score(drawn), 1 - contamination)) for f in forests]
+    planted = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([np.asarray(batch.column(k)) for k in (0, 1)], 1)
+            flat = np.stack([f.score(at) for f in planted.value], 1).reshape(-1)
+            offsets = pa.array(np.arange(len(at) + 1) * len(planted.value), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat)), batch.column(2)], names=["s", "n"])
+
+    scored, _ = _kept(known.groupBy("species_mean", "v").agg(F.count("*").alias("n")).mapInArrow(scores, "s array<double>, n long"))
+    bounds = score_bounds(scored, rounds, 1 - contamination)
     sent = rows.sparkSession.sparkContext.broadcast((forests, bounds))
     names = points.columns
 

@@ -7,6 +7,7 @@ import datetime
 import numpy as np
 import pytest
 
+from terrane.operators import outliers
 from terrane.operators.temporal import STATUS
 from terrane.plans import queries_clusters, registry
 
@@ -63,3 +64,21 @@ def test_missing_clades_of_every_cell(spark, small):
     want = {(c + 1, f"Brand#{k}"): round(predicted[c, k], 4) for c in range(7) for k in range(4) if not table[c, k]}
     assert len(want) > 6 and {(r.cell, r["class"]) for r in found} == set(want)
     assert all(abs(r.n_obs_predicted - want[r.cell, r["class"]]) < 1e-3 for r in found)
+
+
+def test_bounds_of_forests_come_from_all_rows(spark):
+    rng = np.random.default_rng(3)
+    s, n = np.round(rng.random((300, 2)), 3), rng.integers(1, 9, 300)
+    scored = spark.createDataFrame([(a.tolist(), int(k)) for a, k in zip(s, n, strict=True)], "s array<double>, n long")
+    for q in (0.0, 0.5, 0.937, 0.99, 1.0):
+        assert outliers.score_bounds(scored, 2, q) == [float(np.quantile(np.repeat(s[:, k], n), q)) for k in (0, 1)]
+
+
+def test_forest_vote_is_the_same_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(int(c), int(c) % 7, int(v)) for c, v in enumerate(rng.lognormal(3, 1, 3000))], "cell int, species_id int, n_obs long")
+    found = []
+    for parts in (1, 7):
+        got = outliers.forest_vote(rows.repartition(parts), rounds=5, contamination=0.02, trees=20, sample=300)
+        found.append({r.cell for r in got.filter("outlier").collect()})
+    assert found[0] == found[1] and 0 < len(found[0]) <= 2 * 0.02 * 3000
