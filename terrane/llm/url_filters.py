@@ -1,9 +1,10 @@
 """URL filters: rules on hosts and paths, and for the rest trust and distrust carried over links between hosts.
 
 A host whose pages the rules allow or block is a seed, weighted by the share of its pages. Trust is a personalised
-PageRank along the links from trusted seeds; distrust runs the same way along reversed links from blocked seeds, for who
-links to blocked hosts is suspect. Pages without a rule are blocked if their host's distrust exceeds its trust by a
-threshold. Masses are integers (a seed's whole is 10**12), so sums do not depend on the order of rows.
+PageRank along the links from trusted seeds; distrust then runs along reversed links from blocked seeds, for who links to
+blocked hosts is suspect. A linker takes over what the hosts that it links to have of distrust beyond their trust, by the
+share of its own links, so its verdict does not depend on how many others link there; hosts trusted on balance pass no
+distrust on. Pages without a rule are blocked if their host's distrust exceeds its trust by a threshold. Masses are integers (a seed's whole is 10**12), so sums do not depend on the order of rows.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; the empty host is never a
 seed or an end of a link, so such pages are allowed; null html has no links; repeated pages count as often as they occur.
@@ -70,12 +71,9 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def flows(links: DataFrame) -> DataFrame:
-    """origin, goal, trust, distrust: the share of the origin's mass that goes to the goal in a round."""
+    """source, target, share: the share of the source's links that go to the target."""
     out = links.groupBy("source").agg(F.sum("n").alias("all_out"))
-    into = links.groupBy("target").agg(F.sum("n").alias("all_in"))
-    forward = links.join(out, "source").select(F.col("source").alias("origin"), F.col("target").alias("goal"), (F.col("n") / F.col("all_out")).alias("trust"), F.lit(0.0).alias("distrust"))
-    backward = links.join(into, "target").select(F.col("target").alias("origin"), F.col("source").alias("goal"), F.lit(0.0).alias("trust"), (F.col("n") / F.col("all_in")).alias("distrust"))
-    return forward.unionAll(backward)
+    return links.join(out, "source").select("source", "target", (F.col("n") / F.col("all_out")).alias("share"))
 
 
 def propagated(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, follow: float = FOLLOW) -> DataFrame:
@@ -86,17 +84,32 @@ def propagated(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, follow:
     moved, moved_at = written(flows(links))
     if moved.isEmpty():
         return start
+    trust, trust_at = _rounds(start.select("host", F.col("trust").alias("mass")), start.limit(0).select("host", F.col("trust").alias("against")), moved.select(F.col("source").alias("origin"), F.col("target").alias("goal"), "share"), rounds, follow)
+    distrust, distrust_at = _rounds(start.select("host", F.col("distrust").alias("mass")), trust.select("host", F.col("mass").alias("against")), moved.select(F.col("target").alias("origin"), F.col("source").alias("goal"), "share"), rounds, follow)
+    both = trust.select("host", F.col("mass").alias("trust"), F.lit(0).cast("long").alias("distrust")).unionAll(distrust.select("host", F.lit(0).cast("long").alias("trust"), F.col("mass").alias("distrust")))
+    ranks, _ = written(both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    dropped(spark, start_at, moved_at, trust_at, distrust_at)
+    return ranks
+
+
+def _rounds(start: DataFrame, against: DataFrame, moves: DataFrame, rounds: int, follow: float) -> tuple[DataFrame, str]:
+    """host, mass after some rounds, and its table: in each, what a host's mass exceeds ``against`` by goes from origins to goals."""
+    spark = start.sparkSession
+    # What a host keeps back does not change, so it is joined to the moves once.
+    held = moves.join(against.withColumnRenamed("host", "origin"), "origin", "left").withColumn("against", F.coalesce("against", F.lit(0)))
+    fixed, fixed_at = written(held)
     ranks, last = start, None
     for k in range(1, rounds + 1):
-        part = lambda c: F.floor(F.col(f"r.{c}") * F.col(f"f.{c}") * follow).cast("long")
-        sent = moved.alias("f").join(ranks.alias("r"), F.col("f.origin") == F.col("r.host")).select(F.col("f.goal").alias("host"), part("trust").alias("trust"), part("distrust").alias("distrust"))
-        ranks = start.unionAll(sent.filter("trust > 0 OR distrust > 0")).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % CUT_EVERY == 0 and k < rounds:
+        part = F.floor((F.col("r.mass") - F.col("f.against")) * F.col("f.share") * follow).cast("long")
+        sent = fixed.alias("f").join(ranks.alias("r"), F.col("f.origin") == F.col("r.host")).select(F.col("f.goal").alias("host"), part.alias("mass"))
+        ranks = start.unionAll(sent.filter("mass > 0")).groupBy("host").agg(F.sum("mass").alias("mass"))
+        if k % CUT_EVERY == 0 or k == rounds:
             ranks, at = written(ranks)
             if last:
                 dropped(spark, last)
             last = at
-    return ranks
+    dropped(spark, fixed_at)
+    return ranks, last
 
 
 def judge_pages(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD) -> DataFrame:
