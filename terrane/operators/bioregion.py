@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
-from terrane.operators.linkage import cut_into, linkage
+from terrane.operators.linkage import cut_into, linkage, ward_by_sums
 
-#: Rows that linkage methods take on the driver (their distance table grows with the square).
+#: Rows of which linkage methods make a table of distances on the driver (it grows with the square); ward takes more.
 MOST_LINKED = 5000
 
 
@@ -71,10 +71,12 @@ def cluster_cells(vectors: DataFrame, method: str, k: int, seeds: int = 5, cell:
         found = BisectingKMeans(k=k, seed=0).fit(vectors).transform(vectors)
         return relabelled(found.select(cell, F.col("prediction").alias("cluster")), cell)
     if method in ("ward", "complete", "average", "single"):
-        rows = vectors.orderBy(cell).limit(MOST_LINKED + 1).select(cell, vector_to_array("features").alias("f")).toPandas()
-        if len(rows) > MOST_LINKED:
-            raise ValueError(f"linkage methods take at most {MOST_LINKED} cells; use bisecting for more")
-        labels = cut_into(linkage(np.stack(rows["f"]), method), k)
+        sorted_ = vectors.orderBy(cell) if method == "ward" else vectors.orderBy(cell).limit(MOST_LINKED + 1)
+        rows = sorted_.select(cell, vector_to_array("features").alias("f")).toPandas()
+        if len(rows) > MOST_LINKED and method != "ward":
+            raise ValueError(f"{method} takes at most {MOST_LINKED} cells; use ward or bisecting for more")
+        points = np.stack(rows["f"])
+        labels = cut_into(linkage(points, method) if len(rows) <= MOST_LINKED else ward_by_sums(points), k)
         out = vectors.sparkSession.createDataFrame(pd.DataFrame({cell: rows[cell], "cluster": labels}))
         return relabelled(out, cell)
     if method == "spectral":

@@ -7,7 +7,7 @@ import datetime
 import numpy as np
 import pytest
 
-from terrane.operators import outliers
+from terrane.operators import bioregion, linkage, outliers
 from terrane.operators.temporal import STATUS
 from terrane.plans import queries_clusters, registry
 
@@ -82,3 +82,20 @@ def test_forest_vote_is_the_same_however_rows_are_dealt(spark):
         got = outliers.forest_vote(rows.repartition(parts), rounds=5, contamination=0.02, trees=20, sample=300)
         found.append({r.cell for r in got.filter("outlier").collect()})
     assert found[0] == found[1] and 0 < len(found[0]) <= 2 * 0.02 * 3000
+
+
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_ward_by_sums_is_the_tree_of_linkage(n):
+    points = np.random.default_rng(6).normal(size=(n, 4))
+    want, got = linkage.linkage(points), linkage.ward_by_sums(points)
+    assert np.allclose(got, want)
+
+
+def test_ward_takes_more_cells_than_a_table_holds(spark, monkeypatch):
+    monkeypatch.setattr(bioregion, "MOST_LINKED", 10)
+    rows = [(c, float(c % 3) * 100 + c * 0.01, float(c % 2)) for c in range(40)]
+    vectors = bioregion.packed(spark.createDataFrame(rows, "cell int, a double, b double"), ["a", "b"])
+    got = {r.cell: r.cluster for r in bioregion.cluster_cells(vectors, "ward", 3).collect()}
+    assert len(got) == 40 and len({(got[c], c % 3) for c in got}) == 3
+    with pytest.raises(ValueError):
+        bioregion.cluster_cells(vectors, "average", 3)
