@@ -11,8 +11,9 @@ at least spare + 1 parts give a shared signature; a set with at most ``spare`` p
 its thin signatures away, any other keeps them. Of a linked pair either one has few thin parts - then a full part is
 shared - or both keep theirs. No link is lost.
 
-The same argument takes out signatures that very many classes share: a class whose crowded signatures are at most
-``spare`` leaves them, for a link of it shows in another one. What stays in crowded groups are classes that are crowded
+The same argument takes out signatures that very many classes share: a class whose thin parts and crowded signatures are
+together at most ``spare`` leaves them, for a link of it shows in a part that is neither. Both are traits of the signature,
+so its partner has it too; a class with more thin parts leaves no crowded signature, as its partner may lack the thin ones. What stays in crowded groups are classes that are crowded
 nearly everywhere, such as a large group of near copies.
 
 Copies (equal sets) are one class. In crowded groups a lead is paired with the others (a star), what links is made one
@@ -106,7 +107,12 @@ class Scheme:
 
 def signatures(members: np.ndarray, scheme: Scheme, bounds: list[int]) -> np.ndarray:
     """The signatures of one set. A band whose sets can only be linked if equal gives none: equal sets are one class."""
-    out = []
+    return thin_signatures(members, scheme, bounds)[0]
+
+
+def thin_signatures(members: np.ndarray, scheme: Scheme, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, and beside each the number of thin parts that the set has in its band."""
+    out, thin = [], []
     for band in scheme.bands(len(members), bounds):
         k = scheme.differences(band, bounds)
         if not k:
@@ -128,8 +134,10 @@ def signatures(members: np.ndarray, scheme: Scheme, bounds: list[int]) -> np.nda
         value = mix(value ^ mix(place + held.astype(np.uint64) * _SALT[0]))
         value = (value << np.uint64(BAND_BITS)) | np.uint64(band)
         full = held >= FULL
-        out.append(value[full] if (~full.all(1)).sum() <= spare else value.reshape(-1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        few = int((~full.all(1)).sum())
+        out.append(value[full] if few <= spare else value.reshape(-1))
+        thin.append(np.full(len(out[-1]), few, np.int16))
+    return (np.concatenate(out), np.concatenate(thin)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int16))
 
 
 def _kind(rows: DataFrame, column: str) -> str:
@@ -150,7 +158,7 @@ def classes_of(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def signed(docs: DataFrame, words: int, similarity: tuple[int, int], text_col: str) -> DataFrame:
-    """signature, class of every text; a task signs a class that it has seen already only once, so copies are few here."""
+    """signature, class, thin (parts of the class in the band) of every text; a task signs a class that it has seen already only once, so copies are few here."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +167,7 @@ def signed(docs: DataFrame, words: int, similarity: tuple[int, int], text_col: s
         seen: set[int] = set()
         for batch in batches:
             for _, _, part, at in slices(*bytes_of(batch.column(0))):
-                names, found = [], []
+                names, found, thin = [], [], []
                 for members in shingle_sets(part, at, words):
                     name = identity(members)
                     if not len(members) or name in seen:
@@ -167,12 +175,14 @@ def signed(docs: DataFrame, words: int, similarity: tuple[int, int], text_col: s
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    found.append(signatures(members, scheme, bounds))
+                    values, few = thin_signatures(members, scheme, bounds)
+                    found.append(values)
+                    thin.append(few)
                     names.append(np.full(len(found[-1]), name))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], names=["signature", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(thin))], names=["signature", "class", "thin"])
 
-    return docs.select(text_col).mapInArrow(run, "signature long, class long")
+    return docs.select(text_col).mapInArrow(run, "signature long, class long, thin short")
 
 
 def parities(members: np.ndarray) -> bytes:
@@ -330,12 +340,13 @@ def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int]) -
 
 
 def uncrowded(groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """signature, class, n of groups, without the crowded signatures of classes that can spare them."""
+    """signature, class, n of groups (with thin), without the crowded signatures of classes that can spare them beside
+    their thin parts."""
     scheme = Scheme(*similarity)
     bounds = scheme.bounds()
     spare = F.element_at(F.array(*[F.lit(scheme.spare(k, bounds)) for k in range(len(bounds) - 1)]), F.col("band") + 1)
     crowd = groups.filter(F.col("n") > CROWDED).withColumn("band", F.col("signature").bitwiseAND((1 << BAND_BITS) - 1).cast("int"))
-    held = crowd.groupBy("class", "band").agg(F.count("*").alias("crowded")).filter(F.col("crowded") > spare).select("class", "band")
+    held = crowd.groupBy("class", "band").agg(F.count("*").alias("crowded"), F.max("thin").alias("thin")).filter(F.col("crowded") + F.col("thin") > spare).select("class", "band")
     kept = crowd.join(held, ["class", "band"], "left_semi").select("signature", "class", "n")
     return groups.filter(F.col("n") <= CROWDED).select("signature", "class", "n").unionAll(kept)
 
@@ -346,7 +357,7 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, similarity: tup
     whole = Window.partitionBy("signature")
     signs = signed(docs, words, similarity, text_col)
     spread = signs.withColumn("low", F.min("class").over(whole)).withColumn("high", F.max("class").over(whole)).withColumn("n", F.count("*").over(whole))
-    first, first_at = written(spread.filter("low < high").select("signature", "class", "n"))
+    first, first_at = written(spread.filter("low < high").select("signature", "class", "n", "thin"))
     open_, open_at = written(uncrowded(first, similarity).distinct().withColumn("root", F.col("class")))
     dropped(spark, first_at)
     wanted, wanted_at = written(open_.select("class").distinct().join(classes.groupBy("class").agg(F.min(id_col).alias(id_col)), "class"))
