@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
 from terrane.functions.laws import COEFFICIENTS, LAWS, inverse_law
+from terrane.operators.bioregion import _kept
 
-#: Distinct (x, y) points that a curve is fitted on; more are averaged in as many quantile groups of x.
+#: Distinct values of x that a curve is fitted on in the driver; with more, the fit's sums are taken in Spark.
 MOST_POINTS, STEPS = 20_000, 10_000
 
 
@@ -18,28 +22,58 @@ def fit_linear(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return points.agg(F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("a"), F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("b"))
 
 
-def least_squares(x: np.ndarray, y: np.ndarray, weight: np.ndarray, law: str, steps: int = STEPS) -> list[float]:
-    """Levenberg-Marquardt from ones, with differences for derivatives; raises if it ends without finite coefficients."""
-    f, n = LAWS[law], COEFFICIENTS[law]
-    p, damp, root = np.ones(n), 1e-3, np.sqrt(weight)
+#: For coefficients: the sums J'J and J'r of misses and their differences, and the sum of squared misses.
+Terms = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, float]]
+
+
+def terms_of(x: np.ndarray, y: np.ndarray, weight: np.ndarray, law: str) -> Terms:
+    f, n, root = LAWS[law], COEFFICIENTS[law], np.sqrt(weight)
 
     def misses(q: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
             return (f(x, *q) - y) * root
 
-    r = misses(p)
-    cost = float(r @ r)
+    def terms(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        r = misses(q)
+        h = 1e-7 * np.maximum(1, np.abs(q))
+        with np.errstate(all="ignore"):
+            jacobian = np.stack([(misses(q + h[k] * (np.arange(n) == k)) - r) / h[k] for k in range(n)], 1)
+            return jacobian.T @ jacobian, jacobian.T @ r, float(r @ r)
+
+    return terms
+
+
+def terms_in_spark(groups: DataFrame, law: str) -> Terms:
+    """The same sums over all of (x, y, n), in parts; only their sums reach the driver."""
+    n = COEFFICIENTS[law]
+
+    def terms(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y, weight = (np.asarray(batch.column(k), np.float64) for k in range(3))
+                a, g, cost = terms_of(x, y, weight, law)(q)
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*a.ravel().tolist(), *g.tolist(), cost)], names=names)
+
+        names = [f"s{k}" for k in range(n * n + n + 1)]
+        sums = groups.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+        sums = np.array([float("nan") if v is None else v for v in sums])
+        return sums[: n * n].reshape(n, n), sums[n * n : -1], float(sums[-1])
+
+    return terms
+
+
+def least_squares(terms: Terms, law: str, steps: int = STEPS) -> list[float]:
+    """Levenberg-Marquardt from ones, with differences for derivatives; raises if it ends without finite coefficients."""
+    p, damp = np.ones(COEFFICIENTS[law]), 1e-3
+    a, g, cost = terms(p)
     for _ in range(steps):
-        h = 1e-7 * np.maximum(1, np.abs(p))
-        jacobian = np.stack([(misses(p + h[k] * (np.arange(n) == k)) - r) / h[k] for k in range(n)], 1)
-        a, g = jacobian.T @ jacobian, jacobian.T @ r
         if not (np.isfinite(a).all() and np.isfinite(g).all()):
             break
         step = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), -g, rcond=None)[0]
-        tried = misses(p + step)
-        if np.isfinite(tried).all() and tried @ tried < cost:
-            gain, p, r, damp = cost - float(tried @ tried), p + step, tried, damp / 3
-            cost = float(r @ r)
+        tried = terms(p + step)
+        if np.isfinite(tried[2]) and tried[2] < cost:
+            gain, p, damp = cost - tried[2], p + step, damp / 3
+            a, g, cost = tried
             if gain <= 1e-14 * max(cost, 1e-300) or np.abs(step).max() < 1e-12:
                 break
         else:
@@ -52,18 +86,16 @@ def least_squares(x: np.ndarray, y: np.ndarray, weight: np.ndarray, law: str, st
 
 
 def fit_law(points: DataFrame, law: str, x: str = "x", y: str = "y") -> list[float]:
-    """Coefficients of a law. The points are put together by value, or by quantile group of x if there are very many, so
-    what reaches the driver is bounded."""
+    """Coefficients of a law. Points of one x count as often at their mean y, which leaves the fit as it is; where even
+    the values of x are very many, every step sums its terms over all of them in Spark."""
     if law not in LAWS:
         raise ValueError(f"law must be one of {', '.join(LAWS)}")
     known = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    distinct = known.groupBy("x", "y").agg(F.count("*").alias("n"))
-    if distinct.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        edges = known.approxQuantile("x", [k / MOST_POINTS for k in range(1, MOST_POINTS)], 1 / MOST_POINTS)
-        group = F.array_size(F.filter(F.lit(sorted(set(edges))), lambda e: e < F.col("x")))
-        distinct = known.groupBy(group.alias("g")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).select("x", "y", "n")
-    rows = np.array([tuple(r) for r in distinct.orderBy("x", "y").collect()], np.float64).reshape(-1, 3)
-    return least_squares(rows[:, 0], rows[:, 1], rows[:, 2], law)
+    groups = known.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    if groups.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        return least_squares(terms_in_spark(_kept(groups)[0], law), law)
+    rows = np.array([tuple(r) for r in groups.orderBy("x").collect()], np.float64).reshape(-1, 3)
+    return least_squares(terms_of(rows[:, 0], rows[:, 1], rows[:, 2], law), law)
 
 
 def residuals(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -7,7 +7,7 @@ import datetime
 import numpy as np
 import pytest
 
-from terrane.operators import bioregion, linkage, outliers
+from terrane.operators import bioregion, fit, linkage, outliers
 from terrane.operators.temporal import STATUS
 from terrane.plans import queries_clusters, registry
 
@@ -99,3 +99,13 @@ def test_ward_takes_more_cells_than_a_table_holds(spark, monkeypatch):
     assert len(got) == 40 and len({(got[c], c % 3) for c in got}) == 3
     with pytest.raises(ValueError):
         bioregion.cluster_cells(vectors, "average", 3)
+
+
+def test_power_law_over_many_points_is_that_of_all_points(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.arange(1, 60), rng.lognormal(1, 1.5, 200), [900.0, 4000.0]])
+    y = 0.8 * x**0.6 + rng.normal(0, 0.3, len(x))
+    points = spark.createDataFrame(list(zip(np.tile(x, 2).tolist(), np.concatenate([y, y + 0.5]).tolist(), strict=True)), "x double, y double")
+    want = fit.fit_law(points, "power")
+    monkeypatch.setattr(fit, "MOST_POINTS", 40)
+    assert np.allclose(fit.fit_law(points, "power"), want, rtol=1e-6)
