@@ -1,7 +1,9 @@
 """A compressed index of word sequences: the Burrows-Wheeler transform in a wavelet matrix of packed bits.
 
-Backward search finds how often, and where, a run of words occurs. Suffixes are sorted as deep as the runs that are
-looked up, which is all that searches of that depth need.
+Backward search over the matrix gives the matching statistics of streamed sequences: how many of the words before each
+place, at most ``depth``, occur in a row in the index. Suffixes are sorted as deep as that and no suffix array is kept:
+rows that begin with the same ``depth`` words stand together, ordered by owner, so a bit vector marks where such a run
+begins and one number a run tells its smallest owner.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ class Bits:
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.before.nbytes
+
 
 class WaveletMatrix:
     """Symbols 0 .. size - 1 as one bit vector for each of their bits, highest first."""
@@ -33,96 +39,121 @@ class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, size: int):
         self.levels: list[Bits] = []
         self.depth = max(1, int(size - 1).bit_length())
+        # Where each symbol's places begin once all levels have parted them.
+        starts, every = np.zeros(size, np.int64), np.arange(size)
         for shift in range(self.depth - 1, -1, -1):
             bits = (symbols >> shift) & 1
-            self.levels.append(Bits(bits.astype(np.uint8)))
+            level = Bits(bits.astype(np.uint8))
+            self.levels.append(level)
+            ones = level.ones(starts)
+            starts = np.where((every >> shift) & 1, level.zeros + ones, starts - ones)
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
+        self.starts = starts.astype(np.int32)
 
     def ranks(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol occurs among the first ``low`` and the first ``high`` ones."""
-        start = np.zeros(len(symbols), np.int64)
+        both = np.concatenate([low, high])
+        twice = np.concatenate([symbols, symbols])
         for level, bits in enumerate(self.levels):
-            one = ((symbols >> (self.depth - 1 - level)) & 1).astype(bool)
-            a, b, c = bits.ones(start), bits.ones(low), bits.ones(high)
-            start = np.where(one, bits.zeros + a, start - a)
-            low = np.where(one, bits.zeros + b, low - b)
-            high = np.where(one, bits.zeros + c, high - c)
-        return low - start, high - start
+            ones = bits.ones(both)
+            both = np.where((twice >> (self.depth - 1 - level)) & 1, bits.zeros + ones, both - ones)
+        start = self.starts[symbols]
+        return both[: len(low)] - start, both[len(low) :] - start
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the keys (equal keys share one), and the order that sorts them."""
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of the keys; equal keys share one."""
     order = np.argsort(keys, kind="stable")
-    sorted_ = keys[order]
+    ranked = keys[order]
     rank = np.empty(len(keys), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-    return rank, order
+    rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+    return rank
+
+
+class Names:
+    """Numbers from 1 for words, told apart by two hashes; 0 for words that are not among them."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.known, at = np.unique(first, return_index=True)
+        self.second = second[at]
+        # Words that share the first hash are named by the second one.
+        odd = self.second[np.searchsorted(self.known, first)] != second if len(first) else np.zeros(0, bool)
+        self.odd = {pair: len(self.known) + 1 + k for k, pair in enumerate(dict.fromkeys(zip(first[odd].tolist(), second[odd].tolist(), strict=True)))}
+
+    def __len__(self) -> int:
+        return len(self.known) + len(self.odd)
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(first), np.int32)
+        at = np.minimum(np.searchsorted(self.known, first), len(self.known) - 1)
+        found = np.where((self.known[at] == first) & (self.second[at] == second), at + 1, 0).astype(np.int32)
+        if self.odd:
+            for k in np.flatnonzero(found == 0).tolist():
+                found[k] = self.odd.get((int(first[k]), int(second[k])), 0)
+        return found
 
 
 class FmIndex:
-    """Index of sequences of words (64-bit hashes), each followed by an end mark, for runs of ``depth`` words.
+    """Index of sequences of words, each followed by an end mark, for runs of up to ``depth`` words.
 
-    The lookup table holds the intervals of all runs of ``table`` words that occur, as ranks of positions; searches
-    start from it.
+    words: two hashes of every word; offsets: those of the sequences in words; owners: one of each sequence.
     """
 
-    def __init__(self, words: np.ndarray, offsets: np.ndarray, depth: int = 13, table: int = 8):
-        if not table < depth <= 2 * table:
-            raise ValueError("the table's runs must be shorter than the index is deep, and at least half as long")
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, owners: np.ndarray, depth: int = 13):
         counts = np.diff(offsets)
-        self.depth, self.table = depth, table
-        #: Position in the text of each sequence's first word.
-        self.starts = offsets[:-1] + np.arange(len(counts))
-        n = int(counts.sum()) + len(counts)
-        self.names, ids = np.unique(words, return_inverse=True)
-        text = np.zeros(n, np.int64)
-        inside = np.ones(n, bool)
-        inside[self.starts + counts] = False
-        text[inside] = ids.reshape(-1) + 1
-        self.text, self.size = text, len(self.names) + 1
-        rank, length = _dense(text)[0], 1
-        while length < table:
-            step = min(length, table - length)
-            rank, length = _dense(rank * (n + 1) + np.roll(rank, -step))[0], length + step
-        rows = np.sort(rank)
-        self.low, self.high = np.searchsorted(rows, rank, "left"), np.searchsorted(rows, rank, "right")
-        _, self.suffixes = _dense(rank * (n + 1) + np.roll(rank, table - depth))
-        self.matrix = WaveletMatrix(text[self.suffixes - 1], self.size)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.size))])
-
-    def intervals(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of all occurrences of the runs of ``depth`` words that start at text positions ``at``."""
-        tail = at + self.depth - self.table
-        low, high = self.low[tail].astype(np.int64), self.high[tail].astype(np.int64)
-        for back in range(1, self.depth - self.table + 1):
-            symbol = self.text[tail - back]
-            low, high = self.matrix.ranks(symbol, low, high)
-            low, high = low + self.first[symbol], high + self.first[symbol]
-        return low, high
-
-    def statistic(self, end: int) -> int:
-        """The matching statistic of the words before text position ``end``: how many of them, at most ``depth``, occur
-        once more. Beyond that depth suffixes are not in order, so searches stop there."""
-        low, high, n = np.array([0]), np.array([len(self.text)]), 0
-        while n < self.depth and end - n > 0 and self.text[end - n - 1]:
-            symbol = self.text[end - n - 1 : end - n]
-            down, up = self.matrix.ranks(symbol, low, high)
-            low, high = down + self.first[symbol], up + self.first[symbol]
-            if high[0] - low[0] < 2:
+        n = len(words[0]) + len(counts)
+        self.depth, self.rows, self.names = depth, n, Names(*words)
+        size = len(self.names) + 1
+        text, inside = np.zeros(n, np.int32), np.ones(n, bool)
+        inside[offsets[1:] + np.arange(len(counts))] = False
+        text[inside] = self.names.of(*words)
+        rank, length = _dense(text), 1
+        while length < depth:
+            step = min(length, depth - length)
+            rank, length = _dense(rank * (n + 1) + np.roll(rank, -step)), length + step
+        self.owners, whose = np.unique(owners, return_inverse=True)
+        whose = np.repeat(whose.astype(np.int32), counts + 1)
+        order = np.lexsort((whose, rank))
+        heads = np.append(True, rank[order[1:]] != rank[order[:-1]])[:n]
+        self.matrix = WaveletMatrix(text[order - 1], size)
+        self.heads, self.least = Bits(heads), whose[order[np.flatnonzero(heads)]]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
+
+    @property
+    def nbytes(self) -> int:
+        parts = (self.heads, self.least, self.first, self.owners, self.names.known, self.names.second, self.matrix.starts, *self.matrix.levels)
+        return sum(p.nbytes for p in parts)
+
+    def statistics(self, words: tuple[np.ndarray, np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the place after every word of streamed sequences its matching statistic, at most ``depth``, and the first
+        row of the suffixes that begin with the words that match."""
+        symbols = self.names.of(*words)
+        inside = np.arange(len(symbols)) - np.repeat(offsets[:-1], np.diff(offsets))
+        length, row = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int64)
+        live = np.flatnonzero(symbols > 0)
+        low, high = self.first[symbols[live]], self.first[symbols[live] + 1]
+        for step in range(1, self.depth + 1):
+            length[live], row[live] = step, low
+            if step == self.depth:
                 break
-            n += 1
-        return n
-
-    def least(self, at: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """The smallest owner (one for each text position) among all occurrences of the runs that start at ``at``."""
-        if not len(at):
-            return np.zeros(0, owners.dtype)
-        low, high = self.intervals(at)
-        # Runs of one depth occupy disjoint intervals: one pass over the distinct ones.
-        lows, where = np.unique(low, return_inverse=True)
-        highs = np.empty(len(lows), np.int64)
-        highs[where] = high
-        rows = owners[self.suffixes]
-        cuts = np.stack([lows, highs], 1).reshape(-1)
-        found = np.minimum.reduceat(np.append(rows, rows[-1:]), cuts)[::2]
-        return found[where]
+            on = inside[live] >= step
+            symbol = symbols[live - step * on] * on
+            on &= symbol > 0
+            live, low, high, symbol = live[on], low[on], high[on], symbol[on]
+            low, high = self.matrix.ranks(symbol, low, high)
+            found = high > low
+            start = self.first[symbol[found]]
+            live, low, high = live[found], low[found] + start, high[found] + start
+        return length, row
+
+    def least_owner(self, rows: np.ndarray) -> np.ndarray:
+        """The smallest owner of the runs of ``depth`` words whose suffixes begin at the given rows."""
+        return self.owners[self.least[self.heads.ones(rows + 1) - 1]]
+
+    def covered(self, words: tuple[np.ndarray, np.ndarray], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places (words from the start of the stream) where runs of ``depth`` words that occur in the index end, and
+        the smallest owner of each."""
+        length, row = self.statistics(words, offsets)
+        ends = np.flatnonzero(length >= self.depth)
+        return ends, self.least_owner(row[ends])

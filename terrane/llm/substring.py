@@ -2,17 +2,21 @@
 
 Exact copies are found by digest; each copy but the first is covered whole. The others are cut at content-defined
 anchors: a window's key is the least hash of its word n-grams, so equal windows have equal keys wherever they stand.
-Keys that one document alone holds cannot repeat and go no further. Runs of windows with one key are segments. Distinct
-segments are dealt to shards by key, each shard builds a compressed FM-index of its segments, and backward search over
-its wavelet matrix finds for each window all its occurrences and the smallest document among them. The outcome is joined
-to the segments' occurrences, gathered by document, and taken out of its text.
+Keys that one document alone holds cannot repeat and go no further. Runs of windows with one key are segments. They are
+dealt to shards by key; each shard builds a compressed FM-index of its distinct segments, and streams the pieces of
+documents dealt to it through backward search over its wavelet matrix: places whose matching statistic reaches a window
+are reported with the smallest document that holds the run. The outcome is joined to the segments' occurrences,
+gathered by document, and taken out of its text.
 
-Keys of more than HOT documents are cut into single windows, dealt by the window's hash, so that a passage that very many
-documents share does not gather in one shard; equal segments are put together before they are shuffled.
+Keys of more than HOT documents, or that many documents of one task share, are cut into single windows, dealt by the
+window's digest, so that a passage that very many documents share does not gather in one shard; equal segments are put
+together before they are shuffled, and a task sends one row of a key that it found crowded to where keys meet.
+
+Segments are joined by a digest of 128 bits, words in an index are told apart by two hashes of 64 bits each.
 
 Defined results: null, empty and short texts (fewer words than a window) lose nothing; of equal texts only the smallest
-id keeps its windows; equal ids count as one document for the comparison of ids (none is smaller); blank runs between
-kept words become single spaces in documents that lose words.
+id keeps its windows; equal ids count as one document for the comparison of ids (none is smaller), and each of their
+texts loses its own windows; blank runs between kept words become single spaces in documents that lose words.
 """
 
 from __future__ import annotations
@@ -26,15 +30,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.fm_index import FmIndex
-from terrane.llm.tables import dropped, salted_join, semi_join, written
-from terrane.llm.text import bytes_of, gram_hashes, gram_owner, lean, mix, power, slices, word_hashes, word_spans
+from terrane.llm.tables import apart, dropped, salted_join, settled, written
+from terrane.llm.text import bytes_of, crowded, gram_hashes, gram_owner, lean, slices, word_hashes, word_spans
 
 #: Words of a window, and of the n-grams of which a window's key is the least.
 WINDOW, GRAM = 13, 5
-#: Documents that share a key before its segments are cut to windows; words of a shard.
-HOT, SHARD_WORDS = 1000, 1_000_000
-#: Ids up to which a side is sent to all tasks (8 bytes each).
+#: Documents that share a key before its segments are cut to windows, those of one task alone; words of a shard.
+HOT, HOT_HERE, SHARD_WORDS = 1000, 256, 1_000_000
+#: Ids up to which a side is sent to all tasks (16 bytes each).
 MOST_IDS = 1_000_000
+#: Keys that a task holds before they go on; words of documents that are streamed at once.
+HELD, STREAMED = 1 << 20, 1 << 17
 
 
 def window_keys(hashes: np.ndarray, words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,10 +61,17 @@ def _kind(rows: DataFrame, column: str) -> str:
 
 
 def keys_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc, key: the distinct keys of each text."""
+    """doc, key, weight: the distinct keys of each text; weight is that of ``crowded``."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def passed() -> pa.RecordBatch:
+            ids, keys = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys.view(np.int64)), pa.array(crowded(keys, HOT_HERE))], names=["doc", "key", "weight"])
+
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, data, at in slices(*bytes_of(batch.column(1))):
@@ -69,20 +82,34 @@ def keys_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order]
                 once = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])) if len(key) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + row[once]], pa.int64()), pa.array(key[once].view(np.int64))], names=["doc", "key"])
+                held.append((ids[first + row[once]], key[once]))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield passed()
+                    held, size = [], 0
+        if held:
+            yield passed()
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, key long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, key long, weight int")
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """doc, key, hot of the keys that several documents share."""
+    group = Window.partitionBy(*apart("key", "doc"))
+    counted = keys.withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group)).withColumn("n", F.sum("weight").over(group)).withColumn("most", F.max("weight").over(group))
+    crowd = (F.col("weight") == 0) | (F.col("most") > 1)
+    return counted.filter(crowd | (F.col("low") < F.col("high"))).select("doc", "key", (crowd | (F.col("n") > HOT)).alias("hot"))
 
 
 def segments_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """key, segment (words joined by one space), name (its hash), doc, at (first word): the runs of windows whose key
-    is among the document's repeated ones. rows: doc, text, keys, hot (those of the keys that are cut to windows)."""
+    """key, segment (words joined by one space), name (its digest), doc, mark, at (first word): the runs of windows whose
+    key is among the document's repeated ones. rows: doc, mark, text, keys, hot (those of the keys that are cut to windows)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, hot = batch.column(2), batch.column(3)
+            marks, keys, hot = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3), batch.column(4)
             for first, end, data, at in slices(*bytes_of(batch.column(1)), 1 << 20):
                 starts, ends, words = word_spans(data, at)
                 hashes = word_hashes(data, starts, ends)
@@ -114,22 +141,15 @@ def segments_of(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 place = np.concatenate([[0], np.cumsum(keep)])
                 plain = plain[keep].tobytes()
                 left, right = place[starts[low]].tolist(), place[ends[high - 1]].tolist()
-                # Names: windows that are cut single are dealt by their own hash.
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power(_STEP, len(hashes)), dtype=np.uint64)])
-                name = _named(sums, low, high)
-                shard_key = np.where(single[begin], name, key[begin])
-                yield pa.RecordBatch.from_arrays([pa.array(shard_key.view(np.int64)), pa.array([plain[a:b] for a, b in zip(left, right, strict=True)], pa.binary()), pa.array(name.view(np.int64)), pa.array(ids[first + row[begin]], pa.int64()), pa.array(low - words[row[begin]], pa.int32())], names=["key", "segment", "name", "doc", "at"])
-
-    return rows.select("doc", "text", "keys", "hot").mapInArrow(run, "key long, segment binary, name long, doc long, at int")
+                # Windows that are cut single are dealt by their own digest.
+                segments = [plain[x:y] for x, y in zip(left, right, strict=True)]
+                name = [hashlib.blake2b(x, digest_size=16).digest() for x in segments]
+                own = np.frombuffer(b"".join(name), np.int64)[::2]
+                shard_key = np.where(single[begin], own, key[begin].view(np.int64))
+                columns = [pa.array(shard_key), pa.array(segments, pa.binary()), pa.array(name, pa.binary()), pa.array(ids[first + row[begin]], pa.int64()), pa.array(marks[first + row[begin]], pa.int64()), pa.array(low - words[row[begin]], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "segment", "name", "doc", "mark", "at"])
 
-
-_STEP = 0x9E3779B97F4A7C15 | 1
-
-
-def _named(sums: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of words low .. high - 1, from the running sum of word hashes times powers of _STEP."""
-    inverse = power(pow(_STEP, -1, 2**64), int(high.max(initial=0)) + 1)
-    return mix((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64))
+    return rows.select("doc", "text", "mark", "keys", "hot").mapInArrow(run, "key long, segment binary, name binary, doc long, mark long, at int")
 
 
 def searched(distinct: DataFrame, shards: int, window: int) -> DataFrame:
@@ -139,50 +159,63 @@ def searched(distinct: DataFrame, shards: int, window: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         data, offsets = bytes_of(group.column("segment"))
         starts, ends, words = word_spans(data, offsets)
-        index = FmIndex(word_hashes(data, starts, ends), words, window)
-        counts = np.diff(words)
-        windows = counts - window + 1
-        row = np.repeat(np.arange(len(counts)), windows)
-        at = index.starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        owners = np.repeat(group.column("low").to_numpy(), counts + 1)
-        least = index.least(at, owners)
+        hashes = word_hashes(data, starts, ends), word_hashes(data, starts, ends, 1)
+        index = FmIndex(hashes, words, group.column("low").to_numpy(), window)
         high = group.column("high").to_numpy()
-        useful = np.flatnonzero(np.minimum.reduceat(least, np.cumsum(windows) - windows) < high) if len(least) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows[useful])]), pa.int32()), pa.array(least[np.isin(row, useful)]))
-        return pa.table({"key": group.column("key").take(pa.array(useful)), "name": group.column("name").take(pa.array(useful)), "least": lists})
+        useful, least, sizes = [], [], []
+        # Pieces of documents are streamed through the index a part at a time.
+        for first, end, _, _ in slices(data, words, STREAMED):
+            a, b = words[first], words[end]
+            place, owner = index.covered((hashes[0][a:b], hashes[1][a:b]), words[first : end + 1] - a)
+            row = np.searchsorted(words[first : end + 1] - a, place, "right") - 1
+            cuts = np.searchsorted(row, np.arange(end - first))
+            smaller = np.flatnonzero(np.minimum.reduceat(owner, cuts) < high[first:end]) if len(owner) else np.zeros(0, np.int64)
+            useful.append(first + smaller)
+            least.append(owner[np.isin(row, smaller)])
+            sizes.append(np.bincount(row, minlength=end - first)[smaller])
+        chosen = np.concatenate([*useful, np.zeros(0, np.int64)]).astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], *sizes])), pa.int32()), pa.array(np.concatenate([*least, np.zeros(0, np.int64)]), pa.int64()))
+        return pa.table({"key": group.column("key").take(pa.array(chosen)), "name": group.column("name").take(pa.array(chosen)), "least": lists})
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(run, "key long, name long, least array<bigint>")
+    return dealt.groupBy("shard").applyInArrow(run, "key long, name binary, least array<bigint>")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(doc, starts): first words of the windows that a smaller document holds, for documents that have any and are not
-    copies; and (doc): the copies, which are covered whole. docs: doc (long), text."""
-    spark, docs = docs.sparkSession, docs.filter(F.col("doc").isNotNull())
-    digests = docs.filter(F.col("text").isNotNull()).select("doc", F.unhex(F.md5("text")).alias("digest"))
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[tuple[DataFrame, str], tuple[DataFrame, str]]:
+    """The tables (doc, mark, starts): first words of the windows that a smaller document holds, for texts that have any
+    and are not copies; and (doc, mark): the copies, which are covered whole. docs: doc (long), mark, text."""
+    spark, docs = docs.sparkSession, docs.filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    digests = docs.select("doc", "mark", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies, _ = written(salted_join(digests, firsts, "digest", "doc", "inner").filter("doc > first").select("doc").distinct())
-    single = semi_join_not(docs, copies)
-    group = Window.partitionBy("key")
-    counted = keys_of(single, window, gram).withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group)).withColumn("n", F.count("*").over(group))
-    per_doc = counted.filter("low < high").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("n") > HOT, F.col("key"))).alias("hot"))
-    wanted, wanted_at = written(per_doc)
-    chosen = semi_join(single, wanted.select("doc"), "doc", wanted.count(), MOST_IDS)
+    copies = written(salted_join(digests, firsts, "digest", "doc", "inner").filter("doc > first").select("doc", "mark").distinct())
+    single = _without(docs, copies[0], copies[0].count())
+    shared, shared_at = written(shared_keys(keys_of(single, window, gram)))
+    settled(spark)
+    wanted, wanted_at = written(shared.groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot")))
+    dropped(spark, shared_at)
+    n = wanted.count()
+    chosen = single.join(F.broadcast(wanted.select("doc")) if n <= MOST_IDS else wanted.select("doc"), "doc", "left_semi")
     found, found_at = written(segments_of(chosen.join(wanted, "doc"), window, gram))
+    dropped(spark, wanted_at)
+    settled(spark)
     distinct = found.groupBy("key", "name", "segment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     size = found.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     least = searched(distinct, max(1, -(-size // (6 * SHARD_WORDS))), window)
-    covered = found.select("key", "name", "doc", "at").join(least, ["key", "name"])
+    covered = found.select("key", "name", "doc", "mark", "at").join(least, ["key", "name"])
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc"), F.col("at") + i)), lambda x: x.isNotNull())
-    out, _ = written(covered.select("doc", starts.alias("starts")).filter(F.size("starts") > 0).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    dropped(spark, wanted_at, found_at)
+    out = written(covered.select("doc", "mark", starts.alias("starts")).filter(F.size("starts") > 0).groupBy("doc", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    dropped(spark, found_at)
+    settled(spark)
     return out, copies
 
 
-def semi_join_not(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents that are not among the ids, which go to all tasks if there are few."""
-    n = ids.count()
-    return docs if not n else docs.join(F.broadcast(ids) if n <= MOST_IDS else ids, "doc", "left_anti")
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= MOST_IDS else rows
+
+
+def _without(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Documents that are not among the (doc, mark) of ``ids``, which go to all tasks if they are few."""
+    return docs.join(_small(ids, n), ["doc", "mark"], "left_anti") if n else docs
 
 
 def kept_words(text: str, starts: np.ndarray | None, whole: bool, window: int) -> tuple[int, int, bytes]:
@@ -203,27 +236,27 @@ def kept_words(text: str, starts: np.ndarray | None, whole: bool, window: int) -
 
 
 def with_marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> list[DataFrame]:
-    """The documents in up to three parts, each with columns starts and whole: those that lose windows, copies, the rest."""
-    marks, copies = repeated_windows(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), window, gram)
+    """row (the document, its columns as they are), doc, starts, whole of the documents, in up to three parts: those that
+    lose windows, copies, the rest."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("mark"))
+    (marks, _), (copies, _) = repeated_windows(rows.select("doc", "mark", F.col("row.text").alias("text")), window, gram)
     none, yes, no = F.lit(None).cast("array<int>"), F.lit(True), F.lit(False)
-    rows = docs.withColumn("doc", F.col("doc_id").cast("long"))
     n, m = marks.count(), copies.count()
     parts, rest = [], rows
-    small = lambda ids, k: F.broadcast(ids) if k <= MOST_IDS else ids
     if n:
-        touched = rows.join(small(marks.select("doc"), n), "doc", "left_semi")
-        parts.append(touched.join(marks, "doc").withColumn("whole", no))
-        rest = rest.join(small(marks.select("doc"), n), "doc", "left_anti")
+        touched = rows.join(_small(marks.select("doc", "mark"), n), ["doc", "mark"], "left_semi")
+        parts.append(touched.join(marks, ["doc", "mark"]).withColumn("whole", no))
+        rest = _without(rest, marks.select("doc", "mark"), n)
     if m:
-        parts.append(rows.join(small(copies, m), "doc", "left_semi").withColumn("starts", none).withColumn("whole", yes))
-        rest = rest.join(small(copies, m), "doc", "left_anti")
-    return [p.drop("doc") for p in [*parts, rest.withColumn("starts", none).withColumn("whole", no)]]
+        parts.append(rows.join(_small(copies, m), ["doc", "mark"], "left_semi").withColumn("starts", none).withColumn("whole", yes))
+        rest = _without(rest, copies, m)
+    return [*parts, rest.withColumn("starts", none).withColumn("whole", no)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionAll(p)
     return out
 
 
@@ -242,26 +275,27 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select("doc_id", "text")
-    return _union([p.select("doc_id", "text", "starts", "whole").mapInArrow(run, f"doc_id {_kind(rows, 'doc_id')}, n_words long, n_removed long, kept_sha256 string") for p in with_marks(rows, window)])
+    kind = f"doc_id {_kind(rows, 'doc_id')}, n_words long, n_removed long, kept_sha256 string"
+    return _union([p.select("row.doc_id", "row.text", "starts", "whole").mapInArrow(run, kind) for p in with_marks(rows, window)])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with their columns; texts that lose words hold the kept ones, joined by one space."""
+    """The documents with their columns, whatever they are called; texts that lose words hold the kept ones, joined by
+    one space."""
+    place = docs.columns.index("text")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            starts, whole = batch.column("starts"), batch.column("whole").to_pylist()
-            texts = []
-            for i in range(batch.num_rows):
-                text = batch.column(at)[i].as_py()
+            columns = batch.column(0).flatten()
+            starts, whole = batch.column(1), batch.column(2).to_pylist()
+            texts = columns[place].to_pylist()
+            for i, text in enumerate(texts):
                 if text is not None and (whole[i] or starts[i].is_valid):
-                    n, removed, kept = kept_words(text, _starts(starts, i), whole[i], window)
-                    text = kept.decode() if removed else text
-                texts.append(text)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).select(names)
+                    _, removed, kept = kept_words(text, _starts(starts, i), whole[i], window)
+                    texts[i] = kept.decode() if removed else text
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = docs.columns
-    return _union([p.select(*names, "starts", "whole").mapInArrow(run, docs.schema) for p in with_marks(docs, window)])
+    return _union([p.select("row", "starts", "whole").mapInArrow(run, docs.schema) for p in with_marks(docs, window)])

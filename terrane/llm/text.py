@@ -22,11 +22,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 _rng = np.random.default_rng(20240611)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(2**61, 2**63)) * 2 + 1
+_SEEDS = _rng.integers(1, 2**63, 2, dtype=np.uint64)
 _GRAM = int(_rng.integers(2**61, 2**63)) * 2 + 1
+#: Bytes of a word whose codes are looked up in a table; those further on are computed alike.
+_TABLED = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: dict[int, np.ndarray] = {}
 
 
 @functools.lru_cache(maxsize=1)
@@ -58,15 +58,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown on demand."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1024)
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
-    return have[:n]
+@functools.cache
+def _codes(which: int) -> np.ndarray:
+    """The codes of the bytes 0 .. 255 at the first places of a word, a row for each place."""
+    return _code(np.arange(_TABLED << 8, dtype=np.uint64), which).reshape(_TABLED, 256)
+
+
+def _code(place_and_byte: np.ndarray, which: int) -> np.ndarray:
+    return mix(mix(place_and_byte + _SEEDS[which]) ^ _SEEDS[1 - which])
 
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,16 +113,34 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial over byte codes, as differences of one running sum."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``which`` (0 or 1) chooses one of two that are independent of one another.
+
+    Every (place, byte) has a code of its own from a mixing function, and a word's codes are summed. No power of a base
+    is in it, so words built from one another (such as complementary Thue-Morse words) are as far apart as any.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = power(_BASE, len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * powers[:-1], out=sums[1:])
-    inverse = power(pow(_BASE, -1, 2**64), len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    lengths = ends - starts
+    codes, sums = _codes(which), lengths.astype(np.uint64)
+    # Place by place over the words that reach it; what long words hold beyond the table, byte by byte.
+    left, at, total = np.arange(len(starts)), starts, sums.copy()
+    for place in range(_TABLED):
+        total += codes[place][data[at]]
+        more = np.flatnonzero(lengths[left] > place + 1)
+        if len(more) < len(left):
+            sums[left] = total
+            left, at, total = left[more], at[more], total[more]
+        if not len(left):
+            return mix(sums)
+        at = at + 1
+    rest = lengths[left] - _TABLED
+    first = np.cumsum(rest) - rest
+    place = np.arange(int(rest.sum())) - np.repeat(first, rest)
+    byte = data[place + np.repeat(at, rest)]
+    far = _code(((place + _TABLED) << 8 | byte).astype(np.uint64), which)
+    sums[left] = total + np.add.reduceat(far, first)
+    return mix(sums)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -144,3 +161,17 @@ def gram_owner(word_offsets: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     first, last = owner[: len(owner) - n + 1], owner[n - 1 :]
     return np.where(first == last, first, -1)
+
+
+def crowded(keys: np.ndarray, most: int) -> np.ndarray:
+    """A weight for each row of a task by its key: 1, but of a key with more than ``most`` rows one row has their number
+    and the others 0. So a key that very many rows share sends one row a task to the place where its rows meet."""
+    weight = np.ones(len(keys), np.int32)
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    for at, n in zip(first[size > most].tolist(), size[size > most].tolist(), strict=True):
+        weight[order[at : at + n]] = 0
+        weight[order[at]] = n
+    return weight

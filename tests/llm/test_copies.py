@@ -89,6 +89,81 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == plain_components(rows, 4, 85, 100)
 
 
+def thue_morse(first, second, size):
+    return "".join(second if bin(i).count("1") % 2 else first for i in range(size))
+
+
+@pytest.mark.parametrize("size", [1024])
+def test_words_that_complement_one_another(spark, size):
+    """Complementary Thue-Morse words fool any polynomial modulo a power of two."""
+    long, other = thue_morse("a", "b", size), thue_morse("b", "a", size)
+    rows = [(1, " ".join([*WORDS[:5], long, *WORDS[5:10]])), (2, " ".join([*WORDS[:5], other, *WORDS[5:10]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 4, (85, 100)).collect())
+    assert got == plain_components(rows, 4, 85, 100) and got[1][2] == 2
+    rows = [(1, " ".join([*WORDS[:12], long])), (2, " ".join([*WORDS[:12], other])), (3, thue_morse("u ", "v ", 2 * size)), (4, thue_morse("v ", "u ", 2 * size))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in substring.removal_digest(docs).collect()) == plain_removal(rows)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 1, 2, 0)])
+def test_ids_that_repeat_with_other_texts(spark, order):
+    a, b = WORDS[:40], WORDS[100:140]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (1000, " ".join([*b[:-1], "y"]))]
+    docs = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, 4, (85, 100)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (1000, 1)]
+    kept = sorted(r.text for r in jaccard.one_of_each(docs, 4, (85, 100)).collect())
+    assert kept == sorted([rows[0][1], rows[1][1]])
+    lost = {(r.doc_id, r.n_words): r.n_removed for r in substring.removal_digest(docs).collect()}
+    assert lost[2, 40] == lost[1000, 40] == 39 and lost[1, 40] == 0
+
+
+def test_repeated_ids_lose_their_own_windows(spark):
+    a, b, c = WORDS[:30], WORDS[50:80], WORDS[100:130]
+    rows = [(1, " ".join(a)), (5, " ".join([*b, *a])), (5, " ".join([*c, *b])), (7, " ".join(["z", *c]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.kept_sha256) for r in substring.removal_digest(docs).collect()}
+    kept = [(1, a), (5, b), (5, [*c, *b]), (7, ["z"])]
+    assert got == {(i, hashlib.sha256(" ".join(w).encode()).hexdigest()) for i, w in kept}
+
+
+@pytest.mark.parametrize("names", [("doc", "starts", "whole"), ("class", "its_id", "mark")])
+def test_columns_of_any_name_stay(spark, names):
+    long = " ".join(WORDS[:20])
+    rows = [(1, long, 7, "p", None), (2, long + " x", 8, "q", 1.5), (3, long, 9, None, 2.5), (4, "other", 1, "r", 0.0)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} long, {names[1]} string, {names[2]} double")
+    out = substring.without_repeats(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {rows[0], (2, "x", 8, "q", 1.5), (3, "", 9, None, 2.5), rows[3]}
+    one = jaccard.one_of_each(docs, 4, (85, 100))
+    assert one.columns == docs.columns and {tuple(r) for r in one.collect()} == {rows[0], rows[3]}
+
+
+def test_shared_first_names_are_told_apart(spark, monkeypatch):
+    """With first names of two bits nearly all sets share theirs; the second names tell them apart."""
+    rows = list(enumerate(corpus(5, 40)))
+    plain = jaccard._name
+    shorter = lambda members, which: plain(members, which) & 3 if which == 1 and len(members) else plain(members, which)
+    sets = [s for _, t in rows for s in jaccard.shingle_sets(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), 4) if len(s)]
+    monkeypatch.setattr(jaccard, "_name", shorter)
+    first = [jaccard.identity(s) for s in sets]
+    shared = frozenset(a for a, b in first if any(a == c and b != d for c, d in first))
+    named = [jaccard.identity(s, shared)[0] for s in sets]
+    assert len(shared) == 4 and len(set(named)) == len({s.tobytes() for s in sets})
+
+
+@pytest.mark.parametrize(("local", "here"), [(1, 1), (3, 2)])
+def test_crowded_keys_of_a_task(spark, monkeypatch, local, here):
+    """Keys that a task finds crowded go their own way; results stay."""
+    monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(substring, "HOT_HERE", here)
+    rows = list(enumerate(corpus(7)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 4, (85, 100)).collect())
+    assert got == plain_components(rows, 4, 85, 100)
+    assert sorted(tuple(r) for r in substring.removal_digest(docs).collect()) == plain_removal(rows)
+
+
 def test_edges_of_copies(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, None), (3, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 4, (85, 100)).collect()), key=str)
@@ -110,7 +185,14 @@ def test_linked_sets_share_a_signature(seed, similarity):
     b = np.unique(np.concatenate([changed, rng.integers(0, 2**63, int(rng.integers(0, max(1, len(a) // 10))), dtype=np.uint64)]))
     common = len(np.intersect1d(a, b))
     if common * scheme.den >= scheme.num * (len(a) + len(b) - common) and not np.array_equal(a, b):
-        assert set(jaccard.signatures(a, scheme, bounds).tolist()) & set(jaccard.signatures(b, scheme, bounds).tolist())
+        (x, slack_x), (y, slack_y) = jaccard.signatures(a, scheme, bounds), jaccard.signatures(b, scheme, bounds)
+        both = set(x.tolist()) & set(y.tolist())
+        assert both
+        # In some band they agree in more signatures than either has slack.
+        of = lambda band, values: np.flatnonzero((values & np.uint64((1 << jaccard.BAND_BITS) - 1)) == band)
+        bands = {v & ((1 << jaccard.BAND_BITS) - 1) for v in both}
+        agree = {k: sum(v & ((1 << jaccard.BAND_BITS) - 1) == k for v in both) for k in bands}
+        assert any(agree[k] > max(slack_x[of(k, x)[0]], slack_y[of(k, y)[0]]) for k in bands)
         pair = jaccard.near_pairs([jaccard.parities(a), jaccard.parities(b)], np.array([len(a), len(b)]), np.array([0]), np.array([1]), similarity)
         assert pair.all()
 
@@ -132,24 +214,42 @@ def test_components_of_links(spark, links):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.lists(st.lists(st.integers(0, 5), min_size=5, max_size=30), min_size=1, max_size=6))
-def test_fm_index(sequences):
-    words = np.array([w for s in sequences for w in s], np.uint64) * np.uint64(977)
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-    index = fm_index.FmIndex(words, offsets, depth=5, table=3)
-    where = [(k, i) for k, s in enumerate(sequences) for i in range(len(s) - 4)]
-    at = np.array([index.starts[k] + i for k, i in where])
-    low, high = index.intervals(at)
-    runs = [tuple(sequences[k][i : i + 5]) for k, i in where]
-    assert [int(n) for n in high - low] == [runs.count(r) for r in runs]
-    owners = np.repeat(np.arange(len(sequences)), [len(s) + 1 for s in sequences])
-    assert index.least(at, owners).tolist() == [min(k for (k, _), q in zip(where, runs, strict=True) if q == r) for r in runs]
-    found = lambda run: sum(tuple(s[j : j + len(run)]) == run for s in sequences for j in range(len(s) - len(run) + 1))
-    for k, s in enumerate(sequences):
-        for end in range(1, len(s) + 1):
-            want = max(n for n in range(min(5, end) + 1) if n == 0 or found(tuple(s[end - n : end])) > 1)
-            assert index.statistic(int(index.starts[k]) + end) == want
+def pair_of(words):
+    """Two hashes of each word, of which every third word shares the first one with another."""
+    words = np.array(words, np.uint64)
+    return (words // np.uint64(2) if COLLIDE else words) * np.uint64(977), words * np.uint64(31)
+
+
+COLLIDE = True
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=5, max_size=30), min_size=1, max_size=6), st.lists(st.lists(st.integers(0, 7), max_size=25), max_size=4))
+def test_fm_index(sequences, streamed):
+    cuts = lambda rows: np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    owners = np.array([(k * 7) % 5 for k in range(len(sequences))])
+    index = fm_index.FmIndex(pair_of([w for s in sequences for w in s]), cuts(sequences), owners, depth=5)
+    runs = {}
+    for s, owner in zip(sequences, owners.tolist(), strict=True):
+        for n in range(1, 6):
+            for i in range(len(s) - n + 1):
+                runs[tuple(s[i : i + n])] = min(owner, runs.get(tuple(s[i : i + n]), 99))
+    for rows in (sequences, streamed):
+        flat = pair_of([w for s in rows for w in s])
+        length, _ = index.statistics(flat, cuts(rows))
+        want = [max(n for n in range(min(5, end) + 1) if not n or tuple(s[end - n : end]) in runs) for s in rows for end in range(1, len(s) + 1)]
+        assert length.tolist() == want
+        place, owner = index.covered(flat, cuts(rows))
+        ends = [(s, end) for s in rows for end in range(1, len(s) + 1)]
+        assert place.tolist() == [k for k, n in enumerate(want) if n == 5]
+        assert owner.tolist() == [runs[tuple(ends[k][0][ends[k][1] - 5 : ends[k][1]])] for k in place.tolist()]
+
+
+def test_the_index_is_smaller_than_its_words():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2000, 60_000, dtype=np.uint64)
+    index = fm_index.FmIndex(pair_of(words), np.array([0, *range(30, 60_001, 30)]), np.arange(2000) // 4)
+    assert index.nbytes < 8 * len(words)
 
 
 def plain_removal(rows, window=13):

@@ -1,4 +1,4 @@
-"""Spare parts are spent once: on thin and on crowded signatures together."""
+"""Slack is spent on shared signatures, then on crowded ones, and tables of groups keep what may be linked."""
 
 from __future__ import annotations
 
@@ -6,23 +6,38 @@ import numpy as np
 
 from terrane.llm import jaccard as J
 
+KIND = "signature long, class long, slack int, root long, band int, n long"
 
-def test_thin_parts_and_crowded_signatures_share_the_spare(spark):
+
+def test_slack_of_a_set_is_what_agreements_leave():
     scheme = J.Scheme(80, 100)
     bounds = scheme.bounds()
-    band = next(k for k in range(len(bounds) - 1) if scheme.spare(k, bounds) == 2)
-    sign = lambda k: (k << J.BAND_BITS) | band
-    # By class: thin parts and crowded signatures in the band.
-    cases = {1: (0, 2), 2: (0, 3), 3: (1, 1), 4: (1, 2), 5: (2, 1), 6: (9, 1)}
-    rows = [(sign(k), c, J.CROWDED + 1, thin) for c, (thin, crowded) in cases.items() for k in range(crowded)]
-    rows += [(sign(100), c, 2, thin) for c, (thin, _) in cases.items()]
-    got = J.uncrowded(spark.createDataFrame(rows, "signature long, class long, n long, thin short"), (80, 100)).collect()
-    kept = {c: sum(r["class"] == c and r.n > J.CROWDED for r in got) for c in cases}
-    assert kept == {1: 0, 2: 3, 3: 0, 4: 2, 5: 1, 6: 1}
+    for size in (9, 40, 90, 300, 2000):
+        for band in scheme.bands(size, bounds):
+            k = min(scheme.differences(band, bounds), size // 4)
+            assert scheme.slack(size, band, bounds) == 2 * scheme.parts(band, bounds) - k - 1 >= 0
+    values, slack = J.signatures(np.random.default_rng(1).integers(1, 2**63, 90, dtype=np.uint64), scheme, bounds)
+    assert len(values) == len(slack)
+
+
+def test_classes_that_share_no_more_than_their_slack_leave(spark):
+    # By class: slack, shared signatures.
+    cases = {1: (0, 1), 2: (1, 1), 3: (2, 2), 4: (2, 3), 5: (-1, 1)}
+    rows = [(s, c, slack, c, 9, 2) for c, (slack, shared) in cases.items() for s in range(shared)]
+    got = J.staying(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted({r["class"] for r in got}) == [1, 4, 5]
+
+
+def test_crowded_signatures_are_left_for_slack_only(spark):
+    cases = {1: (0, 1), 2: (1, 1), 3: (2, 2), 4: (2, 3), 5: (-1, 1)}
+    rows = [(s, c, slack, c, 9, J.CROWDED + 1) for c, (slack, crowded) in cases.items() for s in range(crowded)]
+    rows += [(100, c, slack, c, 9, 2) for c, (slack, _) in cases.items()]
+    got = J.uncrowded(spark.createDataFrame(rows, KIND)).collect()
+    assert {c: sum(r["class"] == c and r.n > J.CROWDED for r in got) for c in cases} == {1: 1, 2: 0, 3: 0, 4: 3, 5: 1}
     assert sum(r.n == 2 for r in got) == len(cases)
 
 
-def test_thin_parts_are_counted_by_band():
-    scheme = J.Scheme(80, 100)
-    values, thin = J.thin_signatures(np.random.default_rng(1).integers(1, 2**63, 90, dtype=np.uint64), scheme, scheme.bounds())
-    assert len(values) == len(thin) and np.array_equal(values, J.signatures(np.random.default_rng(1).integers(1, 2**63, 90, dtype=np.uint64), scheme, scheme.bounds()))
+def test_groups_of_one_component_go(spark):
+    rows = [(1, 10, 0, 5, 9, 0), (1, 11, 0, 5, 9, 0), (2, 10, 0, 5, 9, 0), (2, 12, 0, 6, 9, 0), (3, 12, 0, 6, 9, 0)]
+    got = J.several(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted((r.signature, r["class"], r.n) for r in got) == [(2, 10, 2), (2, 12, 2)]
