@@ -95,8 +95,7 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Batches of at most so many bytes (one row at least) between Spark and Python: with whole texts they are what memory
     is spent on. A session that asks for less keeps its setting."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark._jsparkSession.sessionState().conf().getConfString(name, "0").rstrip("bB") or 0)
-    if not 0 < now <= size:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > size:
         spark.conf.set(name, size)
 
 
