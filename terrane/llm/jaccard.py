@@ -56,7 +56,7 @@ SPARE_SHARE = 8
 ROUNDS, YIELD = 4, 0.1
 #: Classes that a task remembers having signed; classes of a group from which it counts as crowded; signatures that a
 #: task holds before they go on.
-SEEN, CROWDED, HELD = 500_000, 8, 1 << 20
+SEEN, CROWDED, HELD = 500_000, 8, 1 << 18
 #: Ranges of the hashes whose least members give a class its leads.
 RANGES = 8
 #: Classes of a group that are compared in one task, and pairs of one class; larger ones are cut to blocks.

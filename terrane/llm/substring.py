@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 
 from terrane.llm.fm_index import FmIndex
 from terrane.llm.tables import apart, dropped, salted_join, settled, written
-from terrane.llm.text import bytes_of, crowded, gram_hashes, gram_owner, lean, slices, word_hashes, word_spans
+from terrane.llm.text import bytes_of, crowded, gram_hashes, gram_owner, lean, slices, trimmed, word_hashes, word_spans
 
 #: Words of a window, and of the n-grams of which a window's key is the least.
 WINDOW, GRAM = 13, 5
 #: Documents that share a key before its segments are cut to windows, those of one task alone; words of a shard.
-HOT, HOT_HERE, SHARD_WORDS = 1000, 256, 1_000_000
+HOT, HOT_HERE, SHARD_WORDS = 1000, 256, 400_000
 #: Ids up to which a side is sent to all tasks (16 bytes each).
 MOST_IDS = 1_000_000
 #: Keys that a task holds before they go on; words of documents that are streamed at once.
-HELD, STREAMED = 1 << 20, 1 << 17
+HELD, STREAMED = 1 << 18, 1 << 16
 
 
 def window_keys(hashes: np.ndarray, words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,6 +175,8 @@ def searched(distinct: DataFrame, shards: int, window: int) -> DataFrame:
             sizes.append(np.bincount(row, minlength=end - first)[smaller])
         chosen = np.concatenate([*useful, np.zeros(0, np.int64)]).astype(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], *sizes])), pa.int32()), pa.array(np.concatenate([*least, np.zeros(0, np.int64)]), pa.int64()))
+        del index, hashes, starts, ends, data
+        trimmed()
         return pa.table({"key": group.column("key").take(pa.array(chosen)), "name": group.column("name").take(pa.array(chosen)), "least": lists})
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))

@@ -37,16 +37,20 @@ def _libc() -> ctypes.CDLL | None:
         return None
 
 
+def trimmed() -> None:
+    """Gives freed memory back: workers live on, and what they keep counts against the executor's next stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives freed memory back when its partition is done: workers live on, and what they
-    keep counts against the executor's next stages."""
+    """A function over batches that gives freed memory back when its partition is done."""
 
     @functools.wraps(run)
     def over(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(_libc(), "malloc_trim"):
-            _libc().malloc_trim(0)
+        trimmed()
 
     return over
 
