@@ -95,8 +95,10 @@ def keys_of(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def shared_keys(keys: DataFrame) -> DataFrame:
     """doc, key, hot of the keys that several documents share."""
-    group = Window.partitionBy(*apart("key", "doc"))
-    counted = keys.withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group)).withColumn("n", F.sum("weight").over(group)).withColumn("most", F.max("weight").over(group))
+    # One exchange for all four: the part is a column before the windows see it.
+    key, part = apart("key", "doc")
+    group = Window.partitionBy("key", "part")
+    counted = keys.withColumn("part", part).select("doc", key, "weight", "part", F.min("doc").over(group).alias("low"), F.max("doc").over(group).alias("high"), F.sum("weight").over(group).alias("n"), F.max("weight").over(group).alias("most"))
     crowd = (F.col("weight") == 0) | (F.col("most") > 1)
     return counted.filter(crowd | (F.col("low") < F.col("high"))).select("doc", "key", (crowd | (F.col("n") > HOT)).alias("hot"))
 
