@@ -62,7 +62,7 @@ RANGES = 8
 #: Classes of a group that are compared in one task, and pairs of one class; larger ones are cut to blocks.
 BLOCK = 256
 #: Parts that the crowded groups of one lead are dealt to.
-DEALT = 8
+DEALT = 4
 #: Low bits of a signature that hold its band.
 BAND_BITS = 7
 #: Rows up to which a side is sent to all tasks (some 30 bytes each).
@@ -251,8 +251,9 @@ def signed(texts: DataFrame, words: int, similarity: tuple[int, int], shared: fr
 
 
 def parities(members: np.ndarray) -> bytes:
-    """One bit for each bucket of a mixed hash: whether an odd number of members lies in it; at least a bucket a member."""
-    bits = max(3, int(np.ceil(np.log2(max(1, len(members))))))
+    """One bit for each bucket of a mixed hash: whether an odd number of members lies in it; four buckets a member or more,
+    so that few differences fall together and pairs just short of the similarity are ruled out, too."""
+    bits = max(3, 2 + int(np.ceil(np.log2(max(1, len(members))))))
     place = (mix(members ^ _SALT[2]) >> np.uint64(64 - bits)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=1 << bits) & 1).tobytes()
 
