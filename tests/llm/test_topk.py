@@ -24,7 +24,7 @@ def brute(ids, vectors, queries, k):
 @given(st.integers(1, 400), st.integers(1, 6), st.integers(0, 99), st.integers(1, 9))
 def test_index_is_exact(n, width, seed, top):
     rng = np.random.default_rng(seed)
-    vectors = rng.integers(-top, top + 1, (n, width)).astype(float)
+    vectors = rng.integers(-top, top + 1, (n, width))
     ids = rng.permutation(n).astype(np.int64)
     found = topk.ImpactIndex(ids, vectors).search(ids[:7], vectors[:7], 5)
     got = sorted((q, r + 1, int(d), int(s)) for q, who, score in found for r, (d, s) in enumerate(zip(who, score, strict=True)))
@@ -34,24 +34,40 @@ def test_index_is_exact(n, width, seed, top):
 def test_the_search_stops_early():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 32))
-    vectors = np.floor(64 * (centres[rng.integers(0, 40, 3000)] / 6 + rng.normal(size=(3000, 32)) / 60))
+    vectors = np.floor(64 * (centres[rng.integers(0, 40, 3000)] / 6 + rng.normal(size=(3000, 32)) / 60)).astype(np.int64)
     index = topk.ImpactIndex(np.arange(3000), vectors)
-    taken = []
-    index.levels = [Counting(level, taken) for level in index.levels]
+    taken, plain = [], index.add
+    index.add = lambda scores, queries, segment: (taken.append(segment), plain(scores, queries, segment))
     got = list(index.search(np.arange(20), vectors[:20], 5))
-    assert len(taken) < len(index.levels)
+    assert taken == list(range(len(taken))) and 0 < len(taken) < len(index.segments)
     want = brute(list(range(3000)), vectors, list(range(20)), 5)
     assert sorted((q, r + 1, int(d), int(s)) for q, who, score in got for r, (d, s) in enumerate(zip(who, score, strict=True))) == want
 
 
-class Counting:
-    def __init__(self, level, taken):
-        self.level, self.taken = level, taken
-
-    @property
-    def T(self):  # noqa: N802
-        self.taken.append(1)
-        return self.level.T
+def test_postings_hold_every_value_once_by_descending_impact():
+    vectors = np.random.default_rng(3).integers(-40, 41, (50, 7))
+    index = topk.ImpactIndex(np.arange(50), vectors)
+    found, least = np.zeros_like(vectors), np.inf
+    for rows, values, cuts in index.segments:
+        assert np.abs(values).max() < 2 * np.abs(values).min() and np.abs(values).max() < least
+        least = np.abs(values).min()
+        for d in range(7):
+            found[rows[cuts[d] : cuts[d + 1]], d] += values[cuts[d] : cuts[d + 1]]
+    assert np.array_equal(found, vectors)
+
+
+@pytest.mark.parametrize("deviation", [5e3, 5e5, 4e6])
+def test_long_sums_of_large_values_are_exact(spark, deviation):
+    """Sums of 64 products beyond 2**53: a double would be off."""
+    vectors = np.random.default_rng(9).normal(scale=deviation, size=(60, 64))
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search_embeddings(frame, every=20, k=5).collect())
+    whole = [[int(np.floor(64 * x)) for x in v] for v in vectors]
+    want = []
+    for q in (0, 20, 40):
+        ranked = sorted((-sum(a * b for a, b in zip(whole[q], whole[d], strict=True)), d) for d in range(60) if d != q)[:5]
+        want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(ranked)]
+    assert got == sorted(want)
 
 
 def test_many_shards_and_blocks(spark, monkeypatch):
