@@ -216,9 +216,10 @@ def presence_zone(predictions: DataFrame, bound: DataFrame, predicted: str) -> D
     return predictions.join(F.broadcast(bound)).filter(F.col(predicted) >= F.col("threshold")).drop("threshold")
 
 
-def fit_points(rows: DataFrame, predictions: DataFrame, subject, predicted: str, value: str = "n_obs", cell: str = "cell", species: str = "species_id") -> DataFrame:
-    """cell, x (the subject's count, at least 1) and y (the prediction's share of the largest)."""
-    own = rows.filter(F.col(species) == subject).groupBy(cell).agg(F.sum(value).cast("double").alias("x"))
-    both = predictions.join(own, cell, "full").fillna(0.0, ["x", predicted])
-    top = F.broadcast(predictions.agg(F.max(predicted).alias("top")))
-    return both.join(top).filter("x >= 1").select(cell, "x", ratio(predicted, "top").alias("y"))
+def fit_points(rows: DataFrame, predictions: DataFrame, subject, predicted: str, value: str = "n_obs", cell: str = "cell", species: str = "species_id", observations: str = "n_obs") -> DataFrame:
+    """cell, x (the subject's value) and y (the prediction's share of the largest one) of the cells with at least one
+    observation of the subject; the largest prediction is that of these cells."""
+    own = rows.filter(F.col(species) == subject).groupBy(cell).agg(F.sum(observations).alias("seen"), F.sum(value).cast("double").alias("x")).filter("seen >= 1")
+    both = own.join(predictions.select(cell, predicted), cell, "left").fillna(0.0, ["x", predicted])
+    top = F.broadcast(both.agg(F.max(predicted).alias("top")))  # one row
+    return both.join(top).select(cell, "x", ratio(predicted, "top").alias("y"))

@@ -59,15 +59,20 @@ def _spread(column: str) -> list[Column]:
     return [whole(F.avg(column)).alias(f"{column}_mean"), *[whole(F.percentile(column, F.lit(p))).alias(f"{column}_{n}") for n, p in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]]
 
 
-def grid_summary(rows: DataFrame, value: str = "n_obs", cell: str = "cell", species: str = "species_id") -> DataFrame:
-    """One row: mean, median, 10th and 90th percentile of the cells' observations and species, cut to whole numbers."""
-    cells = rows.filter(F.col(cell).isNotNull()).groupBy(cell).agg(F.sum(value).alias("observations"), F.count_distinct(species).alias("species"))
+def _present(value: str) -> Column:
+    """Rows with a value above 0: species that a cell merely lists, as after completing it, do not count."""
+    return F.count(F.when(F.col(value) > 0, 1))
+
+
+def grid_summary(rows: DataFrame, value: str = "n_obs", cell: str = "cell") -> DataFrame:
+    """One row: mean, median, 10th and 90th percentile of the cells' observations and present species, cut to whole numbers."""
+    cells = rows.filter(F.col(cell).isNotNull()).groupBy(cell).agg(F.sum(value).alias("observations"), _present(value).alias("species"))
     return cells.agg(*_spread("observations"), *_spread("species"))
 
 
-def cluster_summary(rows: DataFrame, labels: DataFrame, value: str = "n_obs", cell: str = "cell", species: str = "species_id", cluster: str = "cluster") -> DataFrame:
+def cluster_summary(rows: DataFrame, labels: DataFrame, value: str = "n_obs", cell: str = "cell", cluster: str = "cluster") -> DataFrame:
     """grid_summary by cluster."""
-    cells = rows.join(labels.select(cell, cluster), cell).groupBy(cell, cluster).agg(F.sum(value).alias("observations"), F.count_distinct(species).alias("species"))
+    cells = rows.join(labels.select(cell, cluster), cell).groupBy(cell, cluster).agg(F.sum(value).alias("observations"), _present(value).alias("species"))
     return cells.groupBy(cluster).agg(*_spread("observations"), *_spread("species"))
 
 

@@ -60,8 +60,24 @@ def logarithm(rows: DataFrame, value: str = "n_obs", least: float = 0.0) -> Data
 
 
 def all_in_one(rows: DataFrame, value: str = "n_obs", cell: str = "cell", species: str = "species_id", clades: tuple[str, ...] = ("kingdom", "class", "species")) -> DataFrame:
-    """Presence, share of the species, share of cell and clade for each clade, and two logarithms."""
-    out = per_species(presence(rows, value), value, species)
-    for clade in [c for c in clades if c in rows.columns]:
-        out = per_cell_and_clade(out, clade, value, cell)
-    return logarithm(logarithm(out, value), f"{value}_per_species")
+    """Presence, share of the species, share of cell and clade for each clade, and the logarithms of the value and of its
+    share of cell and first clade.
+
+    All totals come from the rows themselves, each aggregated once, and all that is one number from one row; chaining the
+    functions above would plan the rows anew for every use of them. A share's smallest value above 0 is that of its
+    group's smallest value.
+    """
+    found = [c for c in clades if c in rows.columns]
+    sets = [([species], f"{value}_per_species", 10000.0), *[([cell, c], f"{value}_per_cell_and_{c}", None) for c in found]]
+    positive = F.min(F.when(truth(F.col(value) > 0), F.col(value)))
+    out, ones, columns = presence(rows, value), rows.agg(positive.alias("_least")), []
+    for k, (keys, name, scale) in enumerate(sets):
+        totals = rows.dropna(subset=keys).groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.coalesce(F.sum(value), F.lit(0)).alias(f"_total{k}"), positive.alias("_first"))
+        out = out.join(totals.drop("_first"), keys, "left")
+        if scale is None:
+            ones = ones.join(totals.agg(F.avg(f"_total{k}").alias(f"_mean{k}"), F.min(ratio("_first", f"_total{k}")).alias(f"_low{k}")))
+        columns.append((ratio(value, f"_total{k}") * (F.col(f"_mean{k}") if scale is None else F.lit(scale))).alias(name))
+    logs = [(value, F.col("_least"))] + [(sets[1][1], F.col("_low1") * F.col("_mean1"))] * bool(found)
+    joined = out.join(F.broadcast(ones)).select("*", *columns)  # one row
+    named = [F.when(truth(ratio(c, least) > 0), F.log10(ratio(c, least))).otherwise(F.lit(0.0)).alias(f"{c}_log") for c, least in logs]
+    return joined.select(*[F.col(f"`{c}`") for c in [*rows.columns, f"{value}_unique", *[name for _, name, _ in sets]]], *named)

@@ -52,19 +52,25 @@ def species_in_cluster(rows: DataFrame, clusters: DataFrame, number, dimension:
     return (out.join(dimension, species) if dimension is not None else out).orderBy(F.desc(value), species)
 
 
-def clusters_of_cell(rows: DataFrame, clusters: DataFrame, value: str = "n_obs", name: str | None = None, cell: str = "cell", species: str = "species_id") -> DataFrame:
-    """By cell and cluster: each measure's sum divided once by the cluster's number of species, and the species' names in
-    descending order of their values."""
+def names_of_clusters(rows: DataFrame, clusters: DataFrame, names: list[str], value: str = "n_obs", species: str = "species_id") -> DataFrame:
+    """By cluster, for each column of names: the distinct names of its species, by descending value over the whole table
+    (ties by species). A species has its least name."""
+    sums = rows.join(clusters.select(species, "cluster_corr"), species).groupBy("cluster_corr", species).agg(F.sum(value).alias("total"), *[F.min(F.col(f"`{n}`")).alias(n) for n in names])
+    listed = lambda n: F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct((-F.col("total")).alias("k"), F.col(species), F.col(n).alias("w")))))
+    return sums.groupBy("cluster_corr").agg(*[F.array_join(F.array_distinct(F.transform(listed(n), lambda s: s.w)), ", ").alias(n) for n in names])
+
+
+def clusters_of_cell(rows: DataFrame, clusters: DataFrame, value: str = "n_obs", names: list[str] | None = None, cell: str = "cell", species: str = "species_id") -> DataFrame:
+    """By cell and cluster: the sums of all measures (``n_obs``, ``n_obs_per_species`` and ``value`` divided once by the
+    cluster's number of species) and the names of the cluster's species, the same in every cell."""
     labels = clusters.select(species, "cluster_corr")
     measures = list(dict.fromkeys([value, *[c for c in rows.columns if c.startswith("n_obs")]]))
     sizes = labels.groupBy("cluster_corr").agg(F.count_distinct(species).alias("n_species"))
-    joined = rows.join(labels, species)
-    folds = [F.sum(c).alias(c) for c in measures]
-    if name:
-        listed = F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct((-F.col(value)).alias("k"), F.col(name).alias("w"))))), lambda s: s.w)
-        folds.append(F.array_join(F.array_distinct(listed), ", ").alias("names"))
-    out = joined.groupBy(cell, "cluster_corr").agg(*folds).join(sizes, "cluster_corr")
-    return out.withColumns({c: F.try_divide(F.col(c).cast("double"), "n_species") for c in measures}).orderBy(cell, F.desc(value), "cluster_corr")
+    out = rows.join(labels, species).groupBy(cell, "cluster_corr").agg(*[F.sum(c).alias(c) for c in measures]).join(sizes, "cluster_corr")
+    out = out.withColumns({c: F.try_divide(F.col(c).cast("double"), "n_species") for c in measures if c in ("n_obs", "n_obs_per_species", value)})
+    if names:
+        out = out.join(names_of_clusters(rows, clusters, names, value, species), "cluster_corr")
+    return out.orderBy(cell, F.desc(value), "cluster_corr")
 
 
 def cluster_names(rows: DataFrame, clusters: DataFrame, cells: DataFrame | list, name: str, value: str = "n_obs", cell: str = "cell", species: str = "species_id") -> DataFrame:

@@ -82,7 +82,7 @@ def _points(s, d):
     return correlate.fit_points(_brands(s, d), _predicted(s, d), SUBJECT, "n_obs_predicted", species=CLADE)
 
 
-POINTS = f"{PREDICTED}, {BRANDS}, pts AS (SELECT pred.cell, CAST(n_obs AS DOUBLE) AS x, p / (SELECT max(p) FROM pred) AS y FROM pred JOIN brands ON brands.cell = pred.cell AND class = '{SUBJECT}' WHERE n_obs >= 1)"
+POINTS = f"{PREDICTED}, {BRANDS}, seen AS (SELECT brands.cell, CAST(n_obs AS DOUBLE) AS x, coalesce(p, 0) AS p FROM brands LEFT JOIN pred USING (cell) WHERE class = '{SUBJECT}' AND n_obs >= 1), pts AS (SELECT cell, x, p / (SELECT max(p) FROM seen) AS y FROM seen)"
 
 
 def _law(s, d):
@@ -118,7 +118,17 @@ def _elbow(s, d):
 
 
 def _by_cell(s, d):
-    return species_clusters.clusters_of_cell(X.named_facts(s, d), X.species_labels(s, d), name="species")
+    return species_clusters.clusters_of_cell(X.named_facts(s, d), X.species_labels(s, d), names=["species", "class"])
+
+
+#: Names in the order of their species' sums over the whole table, each once, as a digest of the joined list.
+_LISTED = "SELECT cluster_corr, md5(string_agg({n}, ', ' ORDER BY place)) AS {n} FROM (SELECT cluster_corr, {n}, min(place) AS place FROM ranked GROUP BY ALL) GROUP BY cluster_corr"
+CLUSTER_NAMES = 'sums AS (SELECT cluster_corr, species_id, sum(n_obs) AS total, min(species) AS species, min(class) AS class FROM named JOIN clusters USING (species_id) GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_corr ORDER BY total DESC, species_id) AS place FROM sums), listed AS (SELECT * FROM (' + _LISTED.format(n="species") + ") JOIN (" + _LISTED.format(n="class") + ") USING (cluster_corr))"
+
+
+def _digested(by_cell):
+    """The lists of names are long and the same in every cell: their digests are compared."""
+    return rounded(by_cell.withColumns({c: F.md5(c) for c in ("species", "class")}), "n_obs")
 
 
 QUERIES = {
@@ -140,7 +150,7 @@ QUERIES = {
     "fit_power": (_law, None),
     "residuals": (lambda s, d: fit.residuals(_points(s, d)).select((F.round("mean", 6) + 0.0).alias("mean"), F.round("deviation", 6).alias("deviation")), f"WITH {POINTS}, l AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM pts) SELECT round(avg(y - (a * x + b)), 6) + 0.0 AS mean, round(stddev_pop(y - (a * x + b)), 6) AS deviation FROM pts, l"),
     "transformed": (_transformed, f"WITH {PREDICTED} SELECT cell, round((p / (SELECT max(p) FROM pred) - 0.1) / 0.01, 4) AS n_obs_predicted_linear FROM pred"),
-    "cluster_summary": (lambda s, d: explore.cluster_summary(X.facts(s, d), X.cell_labels(s, d)), f"WITH {FACTS}, {LABELS}, c AS (SELECT cell, cluster, sum(n_obs) AS o, count(DISTINCT species_id) AS s FROM facts JOIN labels USING (cell) GROUP BY ALL) SELECT cluster, " + ", ".join(f"CAST(trunc({e}) AS BIGINT) AS {n}_{k}" for n, v in (("observations", "o"), ("species", "s")) for k, e in (("mean", f"avg({v})"), ("median", f"quantile_cont({v}, 0.5)"), ("p10", f"quantile_cont({v}, 0.1)"), ("p90", f"quantile_cont({v}, 0.9)"))) + " FROM c GROUP BY cluster"),
+    "cluster_summary": (lambda s, d: explore.cluster_summary(X.facts(s, d), X.cell_labels(s, d)), f"WITH {FACTS}, {LABELS}, c AS (SELECT cell, cluster, sum(n_obs) AS o, count(*) FILTER (n_obs > 0) AS s FROM facts JOIN labels USING (cell) GROUP BY ALL) SELECT cluster, " + ", ".join(f"CAST(trunc({e}) AS BIGINT) AS {n}_{k}" for n, v in (("observations", "o"), ("species", "s")) for k, e in (("mean", f"avg({v})"), ("median", f"quantile_cont({v}, 0.5)"), ("p10", f"quantile_cont({v}, 0.1)"), ("p90", f"quantile_cont({v}, 0.9)"))) + " FROM c GROUP BY cluster"),
     "composition": (lambda s, d: bioregion.composition(X.facts(s, d), X.cell_labels(s, d)), f"WITH {FACTS}, {LABELS}, c AS (SELECT cluster, species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM facts JOIN labels USING (cell) GROUP BY ALL), t AS (SELECT *, CAST(sum(n_obs) OVER (PARTITION BY cluster) AS BIGINT) AS total FROM c) SELECT *, CAST(1 AS INTEGER) AS present, round_even(n_obs * 100 / total, 1) AS percent FROM t"),
     "relabelled": (lambda s, d: bioregion.relabelled(X.cell_labels(s, d)), f"WITH {LABELS}, z AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) AS INTEGER) AS k FROM labels GROUP BY cluster) SELECT cell, k AS cluster FROM labels JOIN z USING (cluster)"),
     "inertia": (lambda s, d: rounded(bioregion.inertia(_flat(s, d).drop("cluster"), _flat(s, d).select("cell", "cluster"), [f"PC{i}" for i in range(1, 9)]), "inertia"), "WITH e AS (SELECT label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(1, 9)) + " FROM embeddings) SELECT round(sum(v), 6) AS inertia FROM (SELECT " + " + ".join(f"var_pop(c{i}) * count(c{i})" for i in range(1, 9)) + " AS v FROM e GROUP BY label)"),
@@ -154,10 +164,10 @@ QUERIES = {
     "dendrogram": (lambda s, d: rounded(species_clusters.tree_rows(_matrix(s, d)), "height"), None),
     "cluster_species": (lambda s, d: species_clusters.cluster_species(_matrix(s, d), 5, "maxclust", species=CLADE), None),
     "species_in_cluster": (lambda s, d: species_clusters.species_in_cluster(X.facts(s, d), X.species_labels(s, d), " 3 "), f"WITH {FACTS}, {CLUSTERS} SELECT species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM facts JOIN clusters USING (species_id) WHERE cluster_corr = 3 GROUP BY species_id"),
-    "clusters_of_cell": (lambda s, d: rounded(_by_cell(s, d).drop("names"), "n_obs"), f"WITH {FACTS}, {CLUSTERS}, k AS (SELECT cluster_corr, count(DISTINCT species_id) AS n_species FROM clusters GROUP BY 1) SELECT cell, cluster_corr, round(sum(n_obs) / any_value(n_species), 6) AS n_obs, any_value(n_species) AS n_species FROM facts JOIN clusters USING (species_id) JOIN k USING (cluster_corr) GROUP BY cell, cluster_corr"),
+    "clusters_of_cell": (lambda s, d: _digested(_by_cell(s, d)), f"WITH {NAMED}, {CLUSTERS}, {CLUSTER_NAMES}, k AS (SELECT cluster_corr, count(DISTINCT species_id) AS n_species FROM clusters GROUP BY 1) SELECT cell, cluster_corr, round(sum(n_obs) / any_value(n_species), 6) AS n_obs, any_value(n_species) AS n_species, any_value(species) AS species, any_value(class) AS class FROM facts JOIN clusters USING (species_id) JOIN k USING (cluster_corr) JOIN listed USING (cluster_corr) GROUP BY cell, cluster_corr"),
     "cluster_names": (lambda s, d: species_clusters.cluster_names(X.named_facts(s, d), X.species_labels(s, d), CELLS, "species"), f"WITH {NAMED}, {CLUSTERS} SELECT cluster_corr, array_to_string(list_sort(list(DISTINCT species)), ', ') AS names, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM named JOIN clusters USING (species_id) WHERE cell BETWEEN 1 AND 10 GROUP BY cluster_corr"),
     "local_cluster": (lambda s, d: species_clusters.local_cluster(X.facts(s, d), X.species_labels(s, d), 2, CELLS), f"WITH {FACTS}, {CLUSTERS} SELECT species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs_total, CAST(coalesce(sum(n_obs) FILTER (WHERE cell BETWEEN 1 AND 10), 0) AS BIGINT) AS n_obs FROM facts JOIN clusters USING (species_id) WHERE cluster_corr = 2 GROUP BY species_id"),
     "absent_species": (lambda s, d: species_clusters.absent_species(X.facts(s, d), X.species_labels(s, d), [1, 2], 4), f"WITH {FACTS}, {CLUSTERS}, h AS (SELECT species_id, sum(n_obs) FILTER (WHERE cell IN (1, 2)) AS here, CAST(sum(n_obs) AS BIGINT) AS n_obs_total FROM facts GROUP BY 1), c AS (SELECT cluster_corr, CAST(sum(here) AS BIGINT) AS cluster_here FROM h JOIN clusters USING (species_id) WHERE here > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4) SELECT cluster_corr, cluster_here, species_id, n_obs_total FROM c JOIN clusters USING (cluster_corr) JOIN h USING (species_id) WHERE coalesce(here, 0) = 0"),
-    "zones_of_cluster": (lambda s, d: rounded(species_clusters.zones_of_cluster(_by_cell(s, d), X.species_labels(s, d), 7).drop("names"), "n_obs"), f"WITH {FACTS}, {CLUSTERS}, k AS (SELECT cluster_corr, count(DISTINCT species_id) AS n_species FROM clusters GROUP BY 1) SELECT cell, cluster_corr, round(sum(n_obs) / any_value(n_species), 6) AS n_obs, any_value(n_species) AS n_species FROM facts JOIN clusters USING (species_id) JOIN k USING (cluster_corr) WHERE cluster_corr = (SELECT cluster_corr FROM clusters WHERE species_id = 7) GROUP BY cell, cluster_corr"),
+    "zones_of_cluster": (lambda s, d: _digested(species_clusters.zones_of_cluster(_by_cell(s, d), X.species_labels(s, d), 7)), f"WITH {NAMED}, {CLUSTERS}, {CLUSTER_NAMES}, k AS (SELECT cluster_corr, count(DISTINCT species_id) AS n_species FROM clusters GROUP BY 1) SELECT cell, cluster_corr, round(sum(n_obs) / any_value(n_species), 6) AS n_obs, any_value(n_species) AS n_species, any_value(species) AS species, any_value(class) AS class FROM facts JOIN clusters USING (species_id) JOIN k USING (cluster_corr) JOIN listed USING (cluster_corr) WHERE cluster_corr = (SELECT cluster_corr FROM clusters WHERE species_id = 7) GROUP BY cell, cluster_corr"),
     "best_of_cluster": (lambda s, d: species_clusters.best_of_each(species_clusters.species_in_cluster(X.facts(s, d), X.species_labels(s, d), 1).withColumn("cluster_corr", F.lit(1)), "n_obs"), f"WITH {RECORDS}, {CLUSTERS}, t AS (SELECT species_id, count(*) AS n_obs FROM records JOIN clusters USING (species_id) WHERE cluster_corr = 1 GROUP BY 1) SELECT species_id, n_obs, CAST(1 AS INTEGER) AS cluster_corr, CAST(row_number() OVER (ORDER BY n_obs DESC, species_id) AS INTEGER) AS rank FROM t ORDER BY rank LIMIT 5"),
 }

@@ -131,7 +131,7 @@ QUERIES = {
     "per_period": (lambda s, d: rounded(normalise.per_period(X.facts_by_period(s, d)), "n_obs_per_period"), f"WITH {PERIODS} SELECT *, {_share('n_obs', 'period', 'periods')} AS n_obs_per_period FROM periods"),
     "presence": (lambda s, d: normalise.presence(X.facts(s, d)), f"WITH {FACTS} SELECT *, CAST(CASE WHEN n_obs > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_obs_unique FROM facts"),
     "logarithm": (lambda s, d: rounded(normalise.logarithm(X.measured(s, d), "n_obs_quantity").select("cell", "species_id", "n_obs_quantity_log"), "n_obs_quantity_log"), f"WITH {RECORDS}, m AS (SELECT cell, species_id, sum(quantity) AS q FROM records GROUP BY ALL) SELECT cell, species_id, round(log10(q / (SELECT min(q) FROM m WHERE q > 0)), 6) AS n_obs_quantity_log FROM m"),
-    "normalise_all": (lambda s, d: rounded(normalise.all_in_one(X.named_facts(s, d)).drop("order"), "n_obs_per_species", "n_obs_per_cell_and_kingdom", "n_obs_per_cell_and_class", "n_obs_per_cell_and_species", "n_obs_log", "n_obs_per_species_log"), f"WITH {NAMED}, a AS (SELECT *, n_obs / sum(n_obs) OVER (PARTITION BY species_id) * 10000 AS p FROM named) SELECT cell, species_id, n_obs, kingdom, class, species, CAST(1 AS INTEGER) AS n_obs_unique, round(p, 6) AS n_obs_per_species, {_share('n_obs', 'cell, kingdom', 'named')} AS n_obs_per_cell_and_kingdom, {_share('n_obs', 'cell, class', 'named')} AS n_obs_per_cell_and_class, {_share('n_obs', 'cell, species', 'named')} AS n_obs_per_cell_and_species, round(log10(n_obs / (SELECT min(n_obs) FROM named)), 6) AS n_obs_log, round(log10(p / (SELECT min(p) FROM a)), 6) AS n_obs_per_species_log FROM a"),
+    "normalise_all": (lambda s, d: rounded(normalise.all_in_one(X.named_facts(s, d)).drop("order"), "n_obs_per_species", "n_obs_per_cell_and_kingdom", "n_obs_per_cell_and_class", "n_obs_per_cell_and_species", "n_obs_log", "n_obs_per_cell_and_kingdom_log"), f"WITH {NAMED}, a AS (SELECT *, n_obs / sum(n_obs) OVER (PARTITION BY species_id) * 10000 AS p, n_obs / sum(n_obs) OVER (PARTITION BY cell, kingdom) AS c FROM named) SELECT cell, species_id, n_obs, kingdom, class, species, CAST(1 AS INTEGER) AS n_obs_unique, round(p, 6) AS n_obs_per_species, {_share('n_obs', 'cell, kingdom', 'named')} AS n_obs_per_cell_and_kingdom, {_share('n_obs', 'cell, class', 'named')} AS n_obs_per_cell_and_class, {_share('n_obs', 'cell, species', 'named')} AS n_obs_per_cell_and_species, round(log10(n_obs / (SELECT min(n_obs) FROM named)), 6) AS n_obs_log, round(log10(c / (SELECT min(c) FROM a)), 6) AS n_obs_per_cell_and_kingdom_log FROM a"),
     "richness": (lambda s, d: indices.richness(X.facts(s, d)), f"WITH {FACTS} SELECT cell, count(DISTINCT species_id) AS n_species FROM facts WHERE n_obs > 0 GROUP BY cell"),
     "effort": (lambda s, d: indices.effort(X.facts(s, d)), f"WITH {FACTS} SELECT cell, CAST(sum(n_obs) AS BIGINT) AS n_observations FROM facts GROUP BY cell"),
     "shannon": (lambda s, d: rounded(indices.shannon_index(X.facts(s, d)), "shannon"), f"WITH {SUMMED} SELECT cell, round(-sum(n_obs / s * log10(n_obs / s)), 6) AS shannon FROM facts JOIN totals USING (cell) GROUP BY cell"),
@@ -143,7 +143,7 @@ QUERIES = {
     "explore_clade": (lambda s, d: explore.explore_clade(X.named_facts(s, d), "kingdom", "PROMO"), f"WITH {NAMED} SELECT class, count(DISTINCT species_id) AS n_species, CAST(sum(n_obs) AS BIGINT) AS n_obs, round_even(sum(n_obs) / count(DISTINCT species_id), 1) AS obs_per_species FROM named WHERE kingdom = 'PROMO' GROUP BY class"),
     "protected_species": (_protected, f"WITH {RECORDS} SELECT species_id, count(*) AS n_obs FROM records WHERE cell BETWEEN 1 AND 20 AND discount > 0.05 GROUP BY ALL"),
     "cell_profile": (lambda s, d: explore.cell_profile(X.facts(s, d), [3, 5, 8], X.dimension(s, d).select("species_id", "species")), f"WITH {NAMED} SELECT species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs, species FROM named WHERE cell IN (3, 5, 8) GROUP BY ALL"),
-    "grid_summary": (lambda s, d: explore.grid_summary(X.facts(s, d)), f"WITH {FACTS}, c AS (SELECT cell, sum(n_obs) AS o, count(DISTINCT species_id) AS s FROM facts GROUP BY cell) SELECT " + ", ".join(f"CAST(trunc({e}) AS BIGINT) AS {n}_{k}" for n, v in (("observations", "o"), ("species", "s")) for k, e in (("mean", f"avg({v})"), ("median", f"quantile_cont({v}, 0.5)"), ("p10", f"quantile_cont({v}, 0.1)"), ("p90", f"quantile_cont({v}, 0.9)"))) + " FROM c"),
+    "grid_summary": (lambda s, d: explore.grid_summary(X.facts(s, d)), f"WITH {FACTS}, c AS (SELECT cell, sum(n_obs) AS o, count(*) FILTER (n_obs > 0) AS s FROM facts GROUP BY cell) SELECT " + ", ".join(f"CAST(trunc({e}) AS BIGINT) AS {n}_{k}" for n, v in (("observations", "o"), ("species", "s")) for k, e in (("mean", f"avg({v})"), ("median", f"quantile_cont({v}, 0.5)"), ("p10", f"quantile_cont({v}, 0.1)"), ("p90", f"quantile_cont({v}, 0.9)"))) + " FROM c"),
     "site_means": (lambda s, d: rounded(explore.site_means(indices.effort(X.facts(s, d)).join(X.cell_labels(s, d), "cell"), "cluster", ["n_observations"]), "n_observations"), f"WITH {FACTS}, e AS (SELECT cell, sum(n_obs) AS n FROM facts GROUP BY cell) SELECT CAST(s_nationkey % 5 AS INTEGER) AS cluster, round(avg(n), 6) AS n_observations FROM e JOIN supplier ON s_suppkey = cell GROUP BY ALL"),
     "sums_by": (lambda s, d: explore.sums_by(X.named_facts(s, d), [1, 2, 3, 4, 5], "class", ["n_obs"]), f"WITH {NAMED} SELECT class, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM named WHERE cell IN (1, 2, 3, 4, 5) GROUP BY class"),
     "top_of_each": (lambda s, d: explore.top_of_each(X.facts(s, d), "cell", "n_obs", 5, ["species_id"]), f"WITH {FACTS} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cell ORDER BY n_obs DESC, species_id) AS INTEGER) AS rank FROM facts) WHERE rank <= 5"),
