@@ -77,6 +77,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_sentencepiece_codec, op3_quality_classifier, op4_exact_top_k, op5_substring_dedup, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_media_columns, op10_language_id, pipeline]
+    found = [op1_token_counts, op2_sentencepiece_codec, op3_quality_classifier, op4_exact_top_k, op5_substring_dedup, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_media_columns, op10_language_id, op11_hash_tree_sharding, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -124,5 +130,34 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+#: Draws of the two regions, the two racks of the chosen one and its four shards, and of a third region of weight 1; the
+#: checksum byte by byte from a table of 256 entries made of the polynomial.
+OP11_SQL = r"""
+WITH ids AS (
+  SELECT doc_id, text, coalesce(CAST(doc_id AS VARCHAR), '') || '|' AS k FROM documents
+), regions AS (
+  SELECT *, ln((CAST('0x' || substr(md5(k || '0'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / 8 AS d0,
+    ln((CAST('0x' || substr(md5(k || '1'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / 8 AS d1,
+    ln((CAST('0x' || substr(md5(k || '2'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / 1 AS d2 FROM ids
+), racks AS (
+  SELECT *, CASE WHEN d0 >= d1 THEN 0 ELSE 1 END AS region FROM regions
+), chosen AS (
+  SELECT *, CASE WHEN substr(md5(k || region || '/0'), 1, 13) >= substr(md5(k || region || '/1'), 1, 13) THEN 0 ELSE 1 END AS rack FROM racks
+), leaves AS (
+  SELECT *, list_transform(range(8 * region + 4 * rack, 8 * region + 4 * rack + 4), lambda s: substr(md5(k || region || '/' || rack || '/' || s), 1, 13)) AS l FROM chosen
+), placed AS (
+  SELECT doc_id, text, greatest(d0, d1) < d2 AS grows, CAST(8 * region + 4 * rack + list_position(l, list_aggregate(l, 'max')) - 1 AS INTEGER) AS shard FROM leaves
+), polynomial AS (
+  SELECT list(list_reduce(list_prepend(i, CAST(range(8) AS BIGINT[])), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+)
+SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1])), 4294967295) AS text_crc32,
+  'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot,
+  CAST(CASE WHEN grows THEN 16 ELSE shard END AS INTEGER) AS grown_shard
+FROM placed, polynomial
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op11_hash_tree_sharding": OP11_SQL}
