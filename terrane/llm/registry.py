@@ -83,6 +83,12 @@ def op11_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_sentencepiece_codec, op3_quality_classifier, op4_exact_top_k, op5_substring_dedup, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_media_columns, op10_language_id, op11_hash_tree_sharding, pipeline]
+    found = [op1_token_counts, op2_sentencepiece_codec, op3_quality_classifier, op4_exact_top_k, op5_substring_dedup, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_media_columns, op10_language_id, op11_hash_tree_sharding, op12_tokenizer_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
