@@ -89,6 +89,12 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_weighted_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.codebooks import compress_embeddings
+
+    return compress_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_token_counts, op2_sentencepiece_codec, op3_quality_classifier, op4_exact_top_k, op5_substring_dedup, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_media_columns, op10_language_id, op11_hash_tree_sharding, op12_tokenizer_alignment, pipeline]
+    found = [op1_token_counts, op2_sentencepiece_codec, op3_quality_classifier, op4_exact_top_k, op5_substring_dedup, op6_ngram_jaccard_join, op7_url_filters, op8_packing, op9_media_columns, op10_language_id, op11_hash_tree_sharding, op12_tokenizer_alignment, op13_weighted_codebooks, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -165,5 +171,28 @@ FROM placed, polynomial
 """
 
 
+_NEAR = "list_sum(list_transform(list_zip(p.part, c.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_ASSIGN = "SELECT vec_id, p.pos, any_value(p.label) AS label, any_value(p.part) AS part, arg_min(k, {d} * 256 + k) AS k, CAST(min({d}) AS BIGINT) AS d FROM p JOIN {b} c ON c.pos = p.pos GROUP BY vec_id, p.pos".replace("{d}", _NEAR)
+_MEANS = "SELECT {b}.pos, {b}.k, coalesce(m.part, {b}.part) AS part FROM {b} LEFT JOIN (SELECT pos, k, list(v ORDER BY i) AS part FROM (SELECT pos, k, i, CAST(floor(CAST(sum(part[i]) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM {a}, range(1, 257) r(i) WHERE i <= len(part) GROUP BY ALL) GROUP BY ALL) m USING (pos, k)"
+#: All parts of all vectors against the codebooks, two rounds and the last assignment; ids are distinct in the tables.
+OP13_SQL = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, label, pos, e[pos * (len(e) // 16) + 1 : (pos + 1) * (len(e) // 16)] AS part FROM v, range(16) r(pos)
+), b0 AS (
+  SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS k, part FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+), a0 AS ({_ASSIGN.format(b="b0")}), b1 AS ({_MEANS.format(a="a0", b="b0")}),
+a1 AS ({_ASSIGN.format(b="b1")}), b2 AS ({_MEANS.format(a="a1", b="b1")}),
+a2 AS ({_ASSIGN.format(b="b2")}), coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', k), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, k)) FROM b2) AS codebooks_sha256
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op11_hash_tree_sharding": OP11_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op11_hash_tree_sharding": OP11_SQL, "op13_weighted_codebooks": OP13_SQL}
