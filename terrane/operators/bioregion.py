@@ -3,7 +3,6 @@ constraint, and what clusters are made of."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
 from terrane.operators.linkage import cut_into, linkage, ward_by_sums
+from terrane.operators.stored import stored
 
 #: Rows of which linkage methods make a table of distances on the driver (it grows with the square); ward takes more.
 MOST_LINKED = 5000
@@ -121,16 +121,6 @@ def restarts(vectors: DataFrame, k: int, tries: list[int]) -> list[tuple[int, fl
     return [(n, min(costs[:n])) for n in tries]
 
 
-def _kept(frame: DataFrame) -> tuple[DataFrame, str | None]:
-    """Cuts the lineage: a table in spark.checkpoint.dir if the session names one, else a cache."""
-    folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return frame.cache(), None
-    path = f"{folder}/bioregion-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
-
-
 def spatial_kmeans(points: DataFrame, columns: list[str], k: int, mode: str = "euclidean", weight: float = 0.2, starts: int = 1, rounds: int = 50, tolerance: float = 1e-4, nearest: int = 3, seed: int = 0, cell: str = "cell", x: str = "x", y: str = "y") -> tuple[DataFrame, float]:
     """(cell, cluster) and its inertia: k-means whose distance is that of features over its mean plus ``weight`` times
     that of places over its mean.
@@ -142,7 +132,7 @@ def spatial_kmeans(points: DataFrame, columns: list[str], k: int, mode: str = "e
     """
     if mode not in ("euclidean", "squared", "neighbor"):
         raise ValueError("mode must be euclidean, squared or neighbor")
-    data, _ = _kept(points.select(F.col(cell).alias("cell"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("f")))
+    data = stored(points.select(F.col(cell).alias("cell"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in columns]).alias("f")))
     best: tuple[float, DataFrame] | None = None
     for start in range(starts):
         labels = data.select("cell", (F.pmod(F.xxhash64(F.lit(seed + start), "cell"), F.lit(k)) + 1).cast("int").alias("cluster"))
@@ -155,7 +145,7 @@ def spatial_kmeans(points: DataFrame, columns: list[str], k: int, mode: str = "e
             moved = max((float(np.abs(v[0] - centres[c][0]).max()) for c, v in fresh.items() if c in centres), default=float("inf"))
             centres |= fresh
             scored, total = _assigned(data, both, centres, mode, weight, nearest)
-            kept, _ = _kept(scored)
+            kept = stored(scored)
             same = kept.join(labels.withColumnRenamed("cluster", "old"), "cell").filter("cluster <> old").isEmpty()
             labels = kept.select("cell", "cluster")
             if same or moved < tolerance or abs(last - total) < tolerance:

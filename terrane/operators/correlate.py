@@ -3,14 +3,14 @@ counts as 0 and is never written out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
+from terrane.operators import pair_blocks
+from terrane.operators.stored import stored
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -133,46 +133,22 @@ def tau_b(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
 def correlation_matrix(rows: DataFrame, value: str = "n_obs", clade: str = "species_id", method: str = "pearson", cell: str = "cell") -> DataFrame:
     """species_i, species_j, r for every ordered pair, values averaged by cell; null where a side is constant.
 
-    Sums of products come from an equi-join on the cell; pairs without a common cell are completed from the product of
-    the clades, which is the size of the result.
+    The cells' values are counted once and kept; pairs are taken by blocks of clades (see ``pair_blocks``), each pair of
+    blocks once, for any of the methods.
     """
+    vectors, cells, blocks = _vectors(rows, value, clade, method, cell)
+    return pair_blocks.matrix(vectors, cells, blocks, method)
+
+
+def _vectors(rows: DataFrame, value: str, clade: str, method: str, cell: str) -> tuple[DataFrame, int, int]:
+    """cell, kind, v (mean), w (sum) as a table, the number of cells (with a clade or not), and a number of blocks that fits the values."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    plain, cells = cell_vectors(rows, value, clade, cell, "mean"), _cells(rows, cell)
-    if method == "kendall":
-        return _kendall_matrix(plain, cells)
-    vectors = ranked(plain, cells) if method == "spearman" else plain
-    kinds = plain.select("kind").distinct().join(_moments(vectors), "kind", "left").fillna(0.0, ["s", "q"])
-    left = kinds.select(F.col("kind").alias("species_i"), F.col("s").alias("si"), F.col("q").alias("qi"))
-    right = kinds.select(F.col("kind").alias("species_j"), F.col("s").alias("sj"), F.col("q").alias("qj"))
-    a, b = vectors.select("cell", F.col("kind").alias("species_i"), F.col("v").alias("x")), vectors.select("cell", F.col("kind").alias("species_j"), F.col("v").alias("y"))
-    products = a.join(b, "cell").filter("species_i <= species_j").groupBy("species_i", "species_j").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    upper = left.join(right, F.col("species_i") <= F.col("species_j")).join(products, ["species_i", "species_j"], "left").fillna(0.0, ["sxy"]).join(F.broadcast(cells))
-    r = upper.select("species_i", "species_j", _coefficient(F.col("cells"), F.col("sxy"), F.col("si"), F.col("sj"), F.col("qi"), F.col("qj")).alias("r"))
-    return r.unionAll(r.filter("species_i <> species_j").select(F.col("species_j").alias("species_i"), F.col("species_i").alias("species_j"), "r"))
-
-
-def _kendall_matrix(vectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """Tau-b of all pairs: each pair's values are counted first, zeros implied, then taken in one small group a pair."""
-    kind = vectors.schema["kind"].dataType.simpleString()
-    packed = vectors.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("cell", "v"))).alias("points"))
-    a, b = packed.select(F.col("kind").alias("species_i"), F.col("points").alias("p")), packed.select(F.col("kind").alias("species_j"), F.col("points").alias("q"))
-    pairs = a.join(b, F.col("species_i") <= F.col("species_j")).join(F.broadcast(cells))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for p, q, n in zip(batch["p"], batch["q"], batch["cells"], strict=True):
-                x, y = {d["cell"]: d["v"] for d in p}, {d["cell"]: d["v"] for d in q}
-                at = list(x.keys() | y.keys())
-                v, w, k = np.array([x.get(c, 0.0) for c in at]), np.array([y.get(c, 0.0) for c in at]), np.ones(len(at))
-                if n > len(at):
-                    v, w, k = np.append(v, 0.0), np.append(w, 0.0), np.append(k, n - len(at))
-                out.append(tau_b(v, w, k))
-            yield pd.DataFrame({"species_i": batch["species_i"], "species_j": batch["species_j"], "r": out})
-
-    r = pairs.mapInPandas(run, f"species_i {kind}, species_j {kind}, r double")
-    return r.unionAll(r.filter("species_i <> species_j").select(F.col("species_j").alias("species_i"), F.col("species_i").alias("species_j"), "r"))
+    known = rows.filter(F.col(cell).isNotNull())
+    held = stored(known.groupBy(F.col(cell).alias("cell"), F.col(clade).alias("kind")).agg(F.coalesce(F.avg(value), F.lit(0)).cast("double").alias("v"), F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("w")))
+    values, cells, kinds = held.agg(F.count("kind"), F.count_distinct("cell"), F.count_distinct("kind")).first()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return held.filter("kind IS NOT NULL"), cells, pair_blocks.blocks_for(values, kinds, tasks)
 
 
 def predict_from_subject(rows: DataFrame, coefficients: DataFrame, subject, value: str = "n_obs", with_subject: bool = True, cell: str = "cell", species: str = "species_id") -> DataFrame:
@@ -191,6 +167,14 @@ def predict(rows: DataFrame, matrix: DataFrame, value: str = "n_obs", cell: str
     return rows.join(predicted, [cell, species], "left").fillna(0.0, [f"{value}_predicted"])
 
 
+def predict_all(rows: DataFrame, value: str = "n_obs", clade: str = "species_id", method: str = "pearson", cell: str = "cell") -> DataFrame:
+    """``predict`` with the correlation matrix of the same rows, which is not laid out: pairs of blocks of clades sum for
+    their own rows what their coefficients add to them."""
+    vectors, cells, blocks = _vectors(rows, value, clade, method, cell)
+    found = pair_blocks.predicted(vectors, cells, blocks, method).select(F.col("cell").alias(cell), F.col("kind").alias(clade), F.col("p").alias(f"{value}_predicted"))
+    return rows.join(found, [cell, clade], "left").fillna(0.0, [f"{value}_predicted"])
+
+
 def missing_species(rows: DataFrame, predicted: str, dimension: DataFrame | None = None, value: str = "n_obs", species: str = "species_id") -> DataFrame:
     """Species without an observation, by descending predicted sum."""
     out = rows.filter(F.col(species).isNotNull()).groupBy(species).agg(F.sum(value).alias(value), F.sum(predicted).alias(predicted)).filter(F.col(value) == 0)

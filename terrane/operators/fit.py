@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
 from terrane.functions.laws import COEFFICIENTS, LAWS, inverse_law
-from terrane.operators.bioregion import _kept
+from terrane.operators.stored import stored
 
 #: Distinct values of x that a curve is fitted on in the driver; with more, the fit's sums are taken in Spark.
 MOST_POINTS, STEPS = 20_000, 10_000
@@ -93,7 +93,7 @@ def fit_law(points: DataFrame, law: str, x: str = "x", y: str = "y") -> list[flo
     known = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     groups = known.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
     if groups.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        return least_squares(terms_in_spark(_kept(groups)[0], law), law)
+        return least_squares(terms_in_spark(stored(groups), law), law)
     rows = np.array([tuple(r) for r in groups.orderBy("x").collect()], np.float64).reshape(-1, 3)
     return least_squares(terms_of(rows[:, 0], rows[:, 1], rows[:, 2], law), law)
 

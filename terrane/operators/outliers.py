@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import truth
-from terrane.operators.bioregion import _kept
+from terrane.operators.stored import stored
 
 
 def species_quantile(rows: DataFrame, q: float, value: str = "n_obs", species: str = "species_id") -> DataFrame:
@@ -129,7 +129,7 @@ def forest_vote(rows: DataFrame, value: str = "n_obs", species: str = "species_i
             offsets = pa.array(np.arange(len(at) + 1) * len(planted.value), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat)), batch.column(2)], names=["s", "n"])
 
-    scored, _ = _kept(known.groupBy("species_mean", "v").agg(F.count("*").alias("n")).mapInArrow(scores, "s array<double>, n long"))
+    scored = stored(known.groupBy("species_mean", "v").agg(F.count("*").alias("n")).mapInArrow(scores, "s array<double>, n long"))
     bounds = score_bounds(scored, rounds, 1 - contamination)
     sent = rows.sparkSession.sparkContext.broadcast((forests, bounds))
     names = points.columns

@@ -43,7 +43,22 @@ def _matrix(s, d, method="pearson"):
 
 def _predict(s, d):
     rows = _brands(s, d)
-    return rounded(correlate.predict(rows, correlate.correlation_matrix(rows, clade=CLADE), species=CLADE), "n_obs_predicted", digits=4)
+    return rounded(correlate.predict_all(rows, clade=CLADE), "n_obs_predicted", digits=4)
+
+
+def _well_observed(s, d):
+    """Facts of the parts with 30 observations or more: single species, whose matrix is what costs most."""
+    from terrane.operators.filters import well_observed
+
+    return well_observed(X.facts(s, d), 30)
+
+
+def _species_matrix(method):
+    return lambda s, d: rounded(correlate.correlation_matrix(_well_observed(s, d), method=method), "r")
+
+
+def _species_predicted(s, d):
+    return rounded(correlate.predict_all(_well_observed(s, d), method="kendall"), "n_obs_predicted", digits=4)
 
 
 def _missing(s, d):
@@ -59,7 +74,7 @@ def missing_in_cells(rows, clade):
     """cell, clade, n_obs_predicted: the clades that each cell lacks. rows: cell, clade, n_obs, one row a pair."""
     from terrane.operators.facts import completed
 
-    found = correlate.predict(completed(rows, rows, species=clade), correlate.correlation_matrix(rows, clade=clade), species=clade)
+    found = correlate.predict_all(completed(rows, rows, species=clade), clade=clade)
     return rounded(found.filter("n_obs = 0").select("cell", clade, "n_obs_predicted"), "n_obs_predicted", digits=4)
 
 
@@ -131,13 +146,21 @@ def _digested(by_cell):
     return rounded(by_cell.withColumns({c: F.md5(c) for c in ("species", "class")}), "n_obs")
 
 
+OBSERVED = f"{FACTS}, observed AS (SELECT * FROM facts WHERE species_id IN (SELECT species_id FROM facts GROUP BY 1 HAVING sum(n_obs) > 29)), whole AS (SELECT c.cell, k.species_id AS kind, CAST(coalesce(n_obs, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT cell FROM observed) c CROSS JOIN (SELECT DISTINCT species_id FROM observed) k LEFT JOIN observed o ON o.cell = c.cell AND o.species_id = k.species_id)"
+#: Signs of all pairs of cells, a list a species; tau-b is the product of two lists over those with themselves.
+TAUS = f"{OBSERVED}, signs AS (SELECT a.kind, list(CAST(sign(a.v - b.v) AS FLOAT) ORDER BY a.cell, b.cell) AS s FROM whole a JOIN whole b ON b.kind = a.kind AND a.cell < b.cell GROUP BY a.kind), untied AS (SELECT kind, s, CAST(list_inner_product(s, s) AS DOUBLE) AS u FROM signs), taus AS (SELECT a.kind AS species_i, b.kind AS species_j, list_inner_product(a.s, b.s) / sqrt(a.u * b.u) AS r FROM untied a, untied b)"
+
 QUERIES = {
+    "species_matrix_pearson": (_species_matrix("pearson"), f"WITH {OBSERVED} SELECT a.kind AS species_i, b.kind AS species_j, round(corr(a.v, b.v), 6) + 0.0 AS r FROM whole a JOIN whole b USING (cell) GROUP BY ALL"),
+    "species_matrix_spearman": (_species_matrix("spearman"), f"WITH {OBSERVED}, ranked AS (SELECT cell, kind, rank() OVER (PARTITION BY kind ORDER BY v) + (count(*) OVER (PARTITION BY kind, v) - 1) / 2.0 AS v FROM whole) SELECT a.kind AS species_i, b.kind AS species_j, round(corr(a.v, b.v), 6) + 0.0 AS r FROM ranked a JOIN ranked b USING (cell) GROUP BY ALL"),
+    "species_matrix_kendall": (_species_matrix("kendall"), f"WITH {TAUS} SELECT species_i, species_j, round(r, 6) + 0.0 AS r FROM taus"),
+    "species_predicted": (_species_predicted, f"WITH {TAUS} SELECT o.cell, o.species_id, any_value(o.n_obs) AS n_obs, round(sum(coalesce(r, 0) * p.n_obs), 4) + 0.0 AS n_obs_predicted FROM observed o JOIN observed p ON p.cell = o.cell JOIN taus ON species_i = o.species_id AND species_j = p.species_id GROUP BY o.cell, o.species_id"),
     "correlation_subject_pearson": (_subject("pearson"), f"WITH {DENSE} SELECT a.kind, round(corr(a.v, b.v), 6) + 0.0 AS coefficient FROM dense a JOIN dense b ON a.cell = b.cell AND b.kind = '{SUBJECT}' GROUP BY a.kind"),
     "correlation_subject_spearman": (_subject("spearman"), f"WITH {RANKS} SELECT a.kind, round(corr(a.v, b.v), 6) + 0.0 AS coefficient FROM ranked a JOIN ranked b ON a.cell = b.cell AND b.kind = '{SUBJECT}' GROUP BY a.kind"),
     "correlation_subject_kendall": (_subject("kendall"), f"WITH {DENSE}, p AS (SELECT a.kind, sign(a.v - c.v) AS x, sign(b.v - e.v) AS y FROM dense a JOIN dense b ON a.cell = b.cell AND b.kind = '{SUBJECT}' JOIN dense c ON c.kind = a.kind AND c.cell > a.cell JOIN dense e ON e.cell = c.cell AND e.kind = '{SUBJECT}') SELECT kind, round(sum(x * y) / sqrt(CAST(sum(x * x) AS DOUBLE) * sum(y * y)), 6) + 0.0 AS coefficient FROM p GROUP BY kind"),
     "correlation_matrix_pearson": (lambda s, d: rounded(_matrix(s, d), "r"), f"WITH {MATRIX} SELECT species_i, species_j, round(r, 6) + 0.0 AS r FROM matrix"),
     "correlation_matrix_spearman": (lambda s, d: rounded(_matrix(s, d, "spearman"), "r"), f"WITH {MEANS}, ranked AS (SELECT cell, kind, rank() OVER (PARTITION BY kind ORDER BY v) + (count(*) OVER (PARTITION BY kind, v) - 1) / 2.0 AS v FROM dense) SELECT a.kind AS species_i, b.kind AS species_j, round(corr(a.v, b.v), 6) + 0.0 AS r FROM ranked a JOIN ranked b USING (cell) GROUP BY ALL"),
-    "correlation_matrix_kendall": (lambda s, d: rounded(_matrix(s, d, "kendall"), "r"), None),
+    "correlation_matrix_kendall": (lambda s, d: rounded(_matrix(s, d, "kendall"), "r"), f"WITH {MEANS}, signs AS (SELECT a.kind, a.cell AS c, b.cell AS d, sign(a.v - b.v) AS s FROM dense a JOIN dense b ON b.kind = a.kind AND a.cell < b.cell) SELECT a.kind AS species_i, b.kind AS species_j, round(sum(a.s * b.s) / sqrt(CAST(sum(a.s * a.s) AS DOUBLE) * sum(b.s * b.s)), 6) + 0.0 AS r FROM signs a JOIN signs b USING (c, d) GROUP BY ALL"),
     "predict_from_subject": (lambda s, d: rounded(_predicted(s, d), "n_obs_predicted", digits=4), f"WITH {PREDICTED} SELECT cell, round(p, 4) + 0.0 AS n_obs_predicted FROM pred"),
     "predict": (_predict, f"WITH {MEANS.replace('avg(n_obs)', 'sum(n_obs)')}, {BRANDS}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), m AS (SELECT cell, species_i AS class, sum(r * n_obs) AS p FROM brands JOIN matrix ON species_j = class GROUP BY ALL) SELECT brands.*, round(coalesce(p, 0), 4) + 0.0 AS n_obs_predicted FROM brands LEFT JOIN m USING (cell, class)"),
     "missing_species": (_missing, f"WITH {DENSE}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), l AS (SELECT cell, kind, CASE WHEN kind = 'Brand#33' THEN 0 ELSE v END AS v FROM dense WHERE cell <= 3), p AS (SELECT species_i AS class, sum(r * v) AS p FROM l JOIN matrix ON species_j = kind GROUP BY 1), t AS (SELECT kind AS class, CAST(sum(v) AS BIGINT) AS n_obs FROM l GROUP BY 1) SELECT class, n_obs, round(p, 4) + 0.0 AS n_obs_predicted FROM t JOIN p USING (class) WHERE n_obs = 0"),
