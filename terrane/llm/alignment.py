@@ -19,6 +19,8 @@ read. Texts of any length are taken whole, in runs of words.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 import re
 import tempfile
 from collections.abc import Iterator
@@ -39,15 +41,16 @@ from terrane.llm.tables import bounded_batches, written
 from terrane.llm.text import lean
 
 #: Characters of a block's texts (a longer text is a block), and of the words a worker keeps between blocks.
-BLOCK_CHARS, KEPT_CHARS = 4 << 20, 2 << 20
-#: Characters of a text whose words are looked up at a time.
-RUN_CHARS = 1 << 20
+BLOCK_CHARS, KEPT_CHARS = 4 << 20, 5 << 20
+#: Characters of texts whose words are looked up at a time, and words that are encoded together.
+RUN_CHARS, JOINED = 1 << 20, 64
 #: Partial counts of a task that are merged in memory, keys of a shard, and blocks whose questions one copy of it answers.
 MERGED, SHARD_KEYS, ASKED_BLOCKS = 4 << 20, 1 << 20, 64
 #: Keys in a row of a shard.
 CHUNK = 1 << 16
 #: What may not stand before the space that ends a word: white space under any reading of it.
-_CUT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200f\\u2060\\ufeff])(?= )")
+_SEEN = "[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200f\\u2060\\ufeff]"
+_CUT, _VISIBLE = re.compile(f"(?<={_SEEN})(?= )"), re.compile(f"{_SEEN}\\Z")
 _LOW = np.int64(0xFFFFFFFF)
 
 
@@ -58,45 +61,54 @@ def byte_table() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers, with the bytes of each id's token."""
+    """The two tokenizers, with the bytes and the number of each id's token."""
 
     def __init__(self, byte_path: str, piece_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run beside one another; threads of their own only cost
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
         self.a.no_padding()
         self.a.no_truncation()
         byte = byte_table()
-        self.a_bytes = {i: bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode() for entry, i in self.a.get_vocab().items()}
+        entries = {i: bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode() for entry, i in self.a.get_vocab().items()}
+        self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         model = PieceModel.parse(piece_path)
+        model.check_plain()  # no piece across spaces, a marker before the text
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
         self.marker = self.b.piece_to_id(SPACE)
-        model.check_plain()  # no piece across spaces, a marker before the text
+        self.sizes = [np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes)]
+        # Ids as they are written in a group: within a side, at the end of A's side, at the end of a group.
+        written_as = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], object)
+        self.comma, self.bar, self.semicolon = written_as(max(len(self.a_bytes), len(self.b_bytes)), ","), written_as(len(self.a_bytes), "|"), written_as(len(self.b_bytes), ";")
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and B of texts that begin with a space, which B adds by itself."""
-        first = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        second = self.b.encode([w[1:] for w in words], num_threads=1)
-        return first, [ids if w != " " else [self.marker] for w, ids in zip(words, second, strict=True)]
+        first = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        second = self.b.encode([w[1:] for w in texts], num_threads=1)
+        return first, [ids if w != " " else [self.marker] for w, ids in zip(texts, second, strict=True)]
 
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, str, list[int]] | None:
-        """Tokens of A and B, the groups as text, and the keys of the links; None if the bytes are not the text's."""
+    def gives_back(self, text: str, a: list[int], b: list[int]) -> bool:
         whole = text.encode("utf-8", "surrogatepass")
-        one, two = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(one) != whole or b"".join(two) != whole:
-            return None
-        groups, keys, i, j, at_a, at_b, from_i, from_j = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            at_a += len(one[i])
-            i += 1
-            while at_b < at_a:
-                at_b += len(two[j])
-                j += 1
-            if at_a == at_b:
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                keys.append(a[i - 1] << 32 | b[j - 1])
-                from_i, from_j = i, j
-        return len(a), len(b), ";".join(groups), keys
+        return b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
+
+    def align(self, words: list[str], a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Words whose bytes the tokens, laid end to end, give back, and at whose ends tokens of both end: their numbers of
+        tokens of A and B and of links, the keys of the links, and the groups as text, each with a semicolon behind it."""
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        keys = a[np.searchsorted(ends_a, cuts)] << 32 | b[np.searchsorted(ends_b, cuts)]
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words])
+        count = lambda places: np.diff(np.searchsorted(places, ends, "right"), prepend=0)
+        n_a, n_b, n_links = count(ends_a), count(ends_b), count(cuts)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        text_a = np.where(cuts[group_a] == ends_a, self.bar[a], self.comma[a])
+        text_b = np.where(cuts[group_b] == ends_b, self.semicolon[b], self.comma[b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        tokens = np.concatenate([text_a, text_b])[order].tolist()
+        stops = np.append(0, np.cumsum(n_a + n_b)).tolist()
+        return n_a, n_b, n_links, keys, ["".join(tokens[i:j]) for i, j in zip(stops, stops[1:], strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -104,8 +116,26 @@ def lexicon(byte_path: str, piece_path: str) -> Lexicon:
     return Lexicon(Pair(byte_path, piece_path))
 
 
+class Growing:
+    """An array that is appended to."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(n, 2 * self.n) - self.n, self.held.dtype)])
+        self.held[self.n : n], self.n = values, n
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Lexicon:
-    """Aligned words, numbered in the order they are met; emptied between blocks once it holds enough characters."""
+    """Aligned words, numbered in the order they are met; emptied between blocks once it holds enough characters. A word
+    whose bytes are not given back has -1 tokens of A."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
@@ -113,23 +143,47 @@ class Lexicon:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []
-        self.keys: list[list[int]] = []
-        self.sizes: list[tuple[int, int]] = []
+        self.groups: list[str] = []
+        self.n_a, self.n_b, self.n_links, self.keys = (Growing(k) for k in (np.int32, np.int32, np.int32, np.int64))
         self.chars = 0
 
     def numbers(self, words: list[str]) -> np.ndarray:
         known = self.number
-        fresh = list(dict.fromkeys(w for w in words if w not in known))
+        fresh = sorted(set(words) - known.keys())
         if fresh:
-            for word, a, b in zip(fresh, *self.pair.encode(fresh), strict=True):
-                known[word] = len(known)
-                found = self.pair.align(word, a, b)
-                self.groups.append(found[2] if found else None)
-                self.keys.append(found[3] if found else [])
-                self.sizes.append(found[:2] if found else (0, 0))
-                self.chars += len(word)
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+            # Words that end visibly are encoded some together: they never influence each other.
+            alone = [w for w in fresh if not _VISIBLE.search(w)]
+            joined = [w for w in fresh if _VISIBLE.search(w)] if alone else fresh
+            parts = [*([joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]), *([w] for w in alone)]
+            self._aligned(parts)
+        return np.array(list(map(known.__getitem__, words)), np.int64)
+
+    def _aligned(self, parts: list[list[str]]) -> None:
+        texts = ["".join(p) for p in parts]
+        first, second = self.pair.encode(texts)
+        good = [self.pair.gives_back(t, a, b) for t, a, b in zip(texts, first, second, strict=True)]
+        chain = itertools.chain.from_iterable
+        words = list(chain(itertools.compress(parts, good)))
+        if words:
+            self.add(words, *self.pair.align(words, list(chain(itertools.compress(first, good))), list(chain(itertools.compress(second, good)))))
+        odd = [p for p, g in zip(parts, good, strict=True) if not g]
+        for word in (p[0] for p in odd if len(p) == 1):
+            self.add([word], np.array([-1]), np.zeros(1), np.zeros(1), np.zeros(0, np.int64), [""])
+        if alone := [[w] for p in odd if len(p) > 1 for w in p]:
+            self._aligned(alone)
+
+    def add(self, words: list[str], n_a: np.ndarray, n_b: np.ndarray, n_links: np.ndarray, keys: np.ndarray, groups: list[str]) -> None:
+        self.number.update(zip(words, range(len(self.groups), len(self.groups) + len(words)), strict=True))
+        self.groups += groups
+        for held, values in ((self.n_a, n_a), (self.n_b, n_b), (self.n_links, n_links), (self.keys, keys)):
+            held.append(values)
+        self.chars += sum(map(len, words))
+
+    def keys_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the words one after the other, and how many each has."""
+        n = self.n_links.values.astype(np.int64)
+        starts, sizes = (np.cumsum(n) - n)[numbers], n[numbers]
+        return self.keys.values[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)], sizes
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -167,68 +221,96 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+class Document:
+    """What is known of a document so far."""
+
+    def __init__(self, doc_id: int | None, text: str | None):
+        self.doc_id, self.text, self.odd = doc_id, text, False
+        self.n_a = self.n_b = self.n_groups = 0
+        self.digest = hashlib.sha256()
+        self.words, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting = ""
+
+    def take(self, words: Lexicon, numbers: np.ndarray) -> None:
+        """A run of its words."""
+        n_a = words.n_a.values[numbers]
+        self.odd = self.odd or bool((n_a < 0).any())
+        if self.odd:
+            return
+        which, times = np.unique(numbers, return_counts=True)
+        if len(self.words):
+            which, times = summed(np.append(self.words, which), np.append(self.times, times))
+        self.words, self.times = which, times
+        self.n_a += int(n_a.sum())
+        self.n_b += int(words.n_b.values[numbers].sum())
+        self.n_groups += int(words.n_links.values[numbers].sum())
+        groups = self.waiting + "".join(map(words.groups.__getitem__, numbers.tolist()))
+        self.digest.update(groups[:-1].encode())
+        self.waiting = ";"  # written only if there is more
+
+    def done(self, words: Lexicon) -> None:
+        """A text with a word whose bytes are not given back: its bytes as a whole decide."""
+        if self.odd:
+            odd, self.text = f" {self.text}", None
+            self.__init__(self.doc_id, None)
+            (a,), (b,) = words.pair.encode([odd])
+            if words.pair.gives_back(odd, a, b):
+                words.add([f"\0{odd}"], *words.pair.align([odd], a, b))  # a word of its own, which no text is looked up as
+                self.take(words, np.array([len(words.groups) - 1]))
+        self.text = None
+
+    @property
+    def hash(self) -> str:
+        return self.digest.hexdigest() if self.n_groups else ""
+
+
 class Block:
     """Documents of one task up to a bounded size, and the table rows they make."""
 
     def __init__(self, words: Lexicon):
         self.words, self.docs, self.chars = words, [], 0
+        self.waiting: list[tuple[Document, list[str]]] = []
+        self.wait_chars = 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
+        doc = Document(doc_id, text)
+        self.docs.append(doc)
         self.chars += len(text or "")
-        self.docs.append((doc_id, *(self._aligned(f" {text}") if text else (0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))))
-
-    def _aligned(self, text: str) -> tuple:
-        digest, found, counts, n_a, n_b, n_groups = hashlib.sha256(), [], [], 0, 0, 0
-        groups, sizes = self.words.groups, self.words.sizes
-        for k, run in enumerate(words_of(text)):
-            numbers = self.words.numbers(run)
-            parts = [groups[i] for i in numbers.tolist()]
-            if None in parts:
-                return self._odd(text)
-            joined = ";".join(parts)
-            digest.update((f";{joined}" if k else joined).encode())
-            which, times = np.unique(numbers, return_counts=True)
-            both = np.array([sizes[i] for i in which.tolist()])
-            n_a, n_b = n_a + int(both[:, 0] @ times), n_b + int(both[:, 1] @ times)
-            n_groups += int(np.array([len(self.words.keys[i]) for i in which.tolist()]) @ times)
-            found.append(which)
-            counts.append(times)
-        which, at = np.unique(np.concatenate(found), return_inverse=True)
-        return n_a, n_b, n_groups, digest.hexdigest(), which, np.bincount(at, np.concatenate(counts)).astype(np.int64)
-
-    def _odd(self, text: str) -> tuple:
-        """A text with a word whose bytes are not given back: its bytes as a whole decide."""
-        (a,), (b,) = self.words.pair.encode([text])
-        found = self.words.pair.align(text, a, b)
-        if found is None:
-            return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        number = len(self.words.groups)  # a word of its own, which no other text is looked up as
-        self.words.number[f"\0{number}"] = number
-        self.words.groups.append(found[2])
-        self.words.keys.append(found[3])
-        self.words.sizes.append(found[:2])
-        self.words.chars += len(text)
-        return found[0], found[1], len(found[3]), hashlib.sha256(found[2].encode()).hexdigest(), np.array([number]), np.ones(1, np.int64)
+        for run in words_of(f" {text}") if text else ():
+            self.waiting.append((doc, run))
+            self.wait_chars += RUN_CHARS if len(run) > RUN_CHARS // 8 else len(text)
+            if self.wait_chars >= RUN_CHARS:
+                self.settle()
+
+    def settle(self) -> None:
+        """Looks up the words that wait, of many documents at once."""
+        waiting, self.waiting, self.wait_chars = self.waiting, [], 0
+        numbers = self.words.numbers([w for _, run in waiting for w in run])
+        at = 0
+        for doc, run in waiting:
+            doc.take(self.words, numbers[at : at + len(run)])
+            at += len(run)
 
     def rows(self, number: int) -> pa.Table:
         """A row for the block (its sorted keys, their counts, the keys of each word) and one for each document (its words
         and their counts)."""
-        met = [d[5] for d in self.docs]
+        self.settle()
+        for doc in self.docs:
+            doc.done(self.words)
+        met = [d.words for d in self.docs]
         words, at = np.unique(np.concatenate(met), return_inverse=True)
-        times = np.bincount(at, np.concatenate([d[6] for d in self.docs]), len(words)).astype(np.int64)
-        lists = [self.words.keys[i] for i in words.tolist()]
-        sizes = np.array([len(k) for k in lists], np.int64)
-        flat = np.fromiter((k for keys in lists for k in keys), np.int64, int(sizes.sum()))
+        times = np.bincount(at, np.concatenate([d.times for d in self.docs]), len(words)).astype(np.int64)
+        flat, sizes = self.words.keys_of(words)
         keys, place = np.unique(flat, return_inverse=True)
         counts = np.bincount(place, np.repeat(times, sizes), len(keys)).astype(np.int64)
         ends, n = np.cumsum([len(m) for m in met]), len(self.docs)
         own = np.split(at.astype(np.int32), ends[:-1])
-        column = lambda i, kind: pa.array([None, *[d[i] for d in self.docs]], kind)
+        column = lambda name, kind: pa.array([None, *[getattr(d, name) for d in self.docs]], kind)
         whole = lambda *data: [pa.array([d, *[None] * n], pa.binary()) for d in data]
         return pa.Table.from_arrays(
             [
-                pa.array([number] * (n + 1), pa.int64()), *[column(i, pa.int64()) for i in range(4)], column(4, pa.string()),
-                pa.array([None, *map(packed, own)], pa.binary()), pa.array([None, *[packed(d[6]) for d in self.docs]], pa.binary()),
+                pa.array([number] * (n + 1), pa.int64()), *[column(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups")], column("hash", pa.string()),
+                pa.array([None, *map(packed, own)], pa.binary()), pa.array([None, *[packed(d.times) for d in self.docs]], pa.binary()),
                 *whole(packed(keys), packed(counts), packed(sizes), packed(place.astype(np.int32))),
             ],
             names=[*DOCUMENT, "keys", "counts", "sizes", "places"],
