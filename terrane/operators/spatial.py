@@ -1,7 +1,7 @@
 """Polygons and boxes: areas, clipping, cells of a site, centroids, projections, overlaps.
 
 A polygon is an array of rings of (x, y); outlines and holes turn opposite ways, so signed areas add up. Areas of a
-polygon inside a box come from clipping each ring against the four sides. Rings of one site are taken as disjoint.
+polygon inside a box come from clipping each ring against the four sides; sites cover what the union of their rings holds.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import site_name
+from terrane.operators.cover import RINGS, cover, resolve_polygons
 
 #: Radius of the sphere of web maps, in metres (fixed value).
 EARTH = 6378137.0
@@ -109,15 +110,14 @@ def cells_of_site(grid: DataFrame, sites: DataFrame, name: str, least: float = 0
     contains looks for the name anywhere in the site's, upper and lower case alike; anything else for the same name.
     """
     wanted = F.contains(F.lower(site), F.lit(name.lower())) if how == "contains" else F.col(site) == name
-    chosen = sites.filter(wanted).select("rings")
-    found = overlaps(grid, chosen).groupBy("cell").agg(F.sum("overlap").alias("covered"), F.first(box_area()).alias("area"))
-    return found.filter(F.col("covered") >= least * F.col("area")).select("cell")
+    found = cover(grid, sites.filter(wanted).select("rings"), [])
+    return found.join(grid.select("cell", box_area().alias("area")), "cell").filter(F.col("covered") >= least * F.col("area")).select("cell")
 
 
 def name_sites(rows: DataFrame, grid: DataFrame, sites: DataFrame, least: float = 0.5, site: str = "site", cell: str = "cell") -> DataFrame:
     """The rows with the site of their cell; of several the last in name order. All sites are placed by one join."""
     cleaned = sites.select(site_name(site).alias("site_name"), "rings")
-    found = overlaps(grid, cleaned).groupBy("cell", "site_name").agg(F.sum("overlap").alias("covered"), F.first(box_area()).alias("area"))
+    found = cover(grid, cleaned, ["site_name"]).join(grid.select("cell", box_area().alias("area")), "cell")
     named = found.filter(F.col("covered") >= least * F.col("area")).groupBy(F.col("cell").alias(cell)).agg(F.max("site_name").alias("site_name"))
     return rows.join(named, cell, "left")
 
@@ -168,32 +168,9 @@ def intersecting_pairs(boxes: DataFrame, step: float, key: str = "zone") -> Data
 
 
 def resolve_overlaps(boxes: DataFrame, step: float, key: str = "zone") -> DataFrame:
-    """zone, and the disjoint parts of its box that stay its own: of two zones that meet, the one with the larger hash
-    of the pair keeps what they share."""
-    pairs = intersecting_pairs(boxes, step, key)
-    to_a = F.xxhash64("a", "b") % 2 == 0
-    taken = pairs.select(F.when(to_a, F.col("b")).otherwise(F.col("a")).alias(key), F.struct(F.greatest("a_zx0", "b_zx0").alias("x0"), F.greatest("a_zy0", "b_zy0").alias("y0"), F.least("a_zx1", "b_zx1").alias("x1"), F.least("a_zy1", "b_zy1").alias("y1")).alias("hole"))
-    holes = taken.groupBy(key).agg(F.collect_list("hole").alias("holes"))
-    both = boxes.join(holes, key, "left").select(key, "zx0", "zy0", "zx1", "zy1", F.coalesce("holes", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")).alias("holes"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for zone, x0, y0, x1, y1, holes in b.itertuples(index=False):
-                parts = [(x0, y0, x1, y1)]
-                for h in holes:
-                    parts = [q for p in parts for q in cut_out(p, (h["x0"], h["y0"], h["x1"], h["y1"]))]
-                out += [(zone, *p) for p in parts]
-            yield pd.DataFrame(out, columns=[key, "x0", "y0", "x1", "y1"])
-
-    return both.mapInPandas(run, f"{key} {boxes.schema[key].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double")
-
-
-def cut_out(box: tuple, hole: tuple) -> list[tuple]:
-    """A box without another, as up to four boxes."""
-    x0, y0, x1, y1 = box
-    hx0, hy0, hx1, hy1 = max(hole[0], x0), max(hole[1], y0), min(hole[2], x1), min(hole[3], y1)
-    if hx0 >= hx1 or hy0 >= hy1:
-        return [box]
-    parts = [(x0, y0, hx0, y1), (hx1, y0, x1, y1), (hx0, y0, hx1, hy0), (hx0, hy1, hx1, y1)]
-    return [p for p in parts if p[0] < p[2] and p[1] < p[3]]
+    """zone, x0, y0, x1, y1: ``resolve_polygons`` of boxes (zone, zx0, zy0, zx1, zy1), whose parts are boxes again."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("zx0", "zy0"), corner("zx1", "zy0"), corner("zx1", "zy1"), corner("zx0", "zy1"))
+    parts = resolve_polygons(boxes.select(key, F.array(ring).cast(RINGS).alias("rings")), step, key).select(key, F.explode("rings").alias("r"))
+    ends = lambda f, c: f(F.transform("r", lambda p: p[c]))
+    return parts.select(key, ends(F.array_min, "x").alias("x0"), ends(F.array_min, "y").alias("y0"), ends(F.array_max, "x").alias("x1"), ends(F.array_max, "y").alias("y1"))
