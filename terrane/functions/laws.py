@@ -44,8 +44,14 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series([inverse(v) if v == v and 0 < v < 1 else None for v in p.astype("float64")], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def poisson_sum(x: pd.Series, rate: pd.Series) -> pd.Series:
+    known = {pair: poisson_cdf(*pair) for pair in set(zip(x, rate, strict=True)) if pair[0] == pair[0]}
+    return pd.Series([known.get(pair) for pair in zip(x, rate, strict=True)], dtype="float64")
+
+
 def law(x: Column, name: str, coefficients: list[float]) -> Column:
-    """A law's value as a column expression; the normal law runs in batches of a vectorised function."""
+    """A law's value as a column expression; the normal and Poisson laws run in batches of a function."""
     c = [F.lit(float(v)) for v in coefficients]
     if name == "linear":
         return c[0] * x + c[1]
@@ -57,6 +63,8 @@ def law(x: Column, name: str, coefficients: list[float]) -> Column:
         return c[0] * x * x + c[1] * x + c[2]
     if name == "normal":
         return normal_cdf(x.cast("double"), c[0], c[1])
+    if name == "poisson":
+        return poisson_sum(x.cast("double"), c[0])
     raise ValueError(f"unknown law {name}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
 from terrane.operators import pair_blocks
+from terrane.operators.normalise import per_species
 from terrane.operators.stored import stored
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -140,6 +141,22 @@ def correlation_matrix(rows: DataFrame, value: str = "n_obs", clade: str = "spec
     return pair_blocks.matrix(vectors, cells, blocks, method)
 
 
+def wide_table(rows: DataFrame, kinds: list, value: str = "n_obs", clade: str = "species_id", cell: str = "cell", how: str = "mean") -> DataFrame:
+    """A row a cell and a column for each of ``kinds``, 0 where there is none: for the few clades a person looks at. All
+    else here stays in long form."""
+    fold = F.sum if how == "sum" else F.avg
+    table = rows.dropna(subset=[cell]).groupBy(cell).agg(*[F.coalesce(fold(F.when(F.col(clade) == k, F.col(value))).cast("double"), F.lit(0.0)).alias(str(k)) for k in kinds])
+    return table
+
+
+def normalised_predictions(rows: DataFrame, predictions: DataFrame, value: str = "n_obs", cell: str = "cell", species: str = "species_id", scale: float = 10000.0) -> DataFrame:
+    """The rows with their predicted value merged back (0 where there is none), and its share of the species' predictions
+    times ``scale``."""
+    name = f"{value}_predicted"
+    merged = rows.drop(name).join(predictions.select(cell, species, name), [cell, species], "left").fillna(0.0, [name])
+    return per_species(merged, name, species, scale)
+
+
 def _vectors(rows: DataFrame, value: str, clade: str, method: str, cell: str) -> tuple[DataFrame, int, int]:
     """cell, kind, v (mean), w (sum) as a table, the number of cells (with a clade or not), and a number of blocks that fits the values."""
     if method not in METHODS:

@@ -57,6 +57,11 @@ def well_observed(rows: DataFrame, least: float = 100, value: str = "n_obs", spe
     return rows.join(kept.select(species), species, "left_semi")
 
 
+def well_observed_or(rows: DataFrame, subject, least: float = 100, value: str = "n_obs", species: str = "species_id") -> DataFrame:
+    """The distinct rows of ``well_observed`` and those of a subject, however rare it is."""
+    return well_observed(rows, least, value, species).unionByName(rows.filter(F.col(species) == subject)).distinct()
+
+
 def retained_share(rows: DataFrame, least: float = 100, value: str = "n_obs", species: str = "species_id") -> DataFrame:
     """species_in, species_kept, percent of well_observed."""
     totals = rows.filter(F.col(species).isNotNull()).groupBy(species).agg(F.coalesce(F.sum(value), F.lit(0)).alias("total"))

@@ -6,7 +6,9 @@ polygon inside a box come from clipping each ring against the four sides; sites
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -136,6 +138,72 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / EARTH), F.degrees(2 * F.atan(F.exp(y / EARTH)) - F.lit(np.pi / 2))
 
 
+@dataclass(frozen=True)
+class Conic:
+    """A conformal conic projection with two standard parallels, in degrees, and its ellipsoid."""
+
+    first: float
+    second: float
+    lat: float
+    lon: float
+    false_x: float = 0.0
+    false_y: float = 0.0
+    radius: float = 6378137.0
+    flattening: float = 1 / 298.257222101
+
+    @property
+    def eccentricity(self) -> float:
+        return math.sqrt(self.flattening * (2 - self.flattening))
+
+    def shape(self) -> tuple[float, float, float]:
+        """The cone's constant, its scale, and the distance of the origin from its tip."""
+        e = self.eccentricity
+
+        def narrow(degrees: float) -> float:
+            s = math.sin(math.radians(degrees))
+            return math.tan(math.pi / 4 - math.radians(degrees) / 2) / ((1 - e * s) / (1 + e * s)) ** (e / 2)
+
+        def wide(degrees: float) -> float:
+            return math.cos(math.radians(degrees)) / math.sqrt(1 - (e * math.sin(math.radians(degrees))) ** 2)
+
+        if self.first == self.second:
+            n = math.sin(math.radians(self.first))
+        else:
+            n = math.log(wide(self.first) / wide(self.second)) / math.log(narrow(self.first) / narrow(self.second))
+        scale = wide(self.first) / (n * narrow(self.first) ** n)
+        return n, scale, self.radius * scale * narrow(self.lat) ** n
+
+
+#: The projection of national maps of France, in which the outlines of parks are given (fixed values).
+NATIONAL = Conic(44.0, 49.0, 46.5, 3.0, 700000.0, 6600000.0)
+
+
+def to_conic(lon: Column, lat: Column, conic: Conic = NATIONAL) -> tuple[Column, Column]:
+    """Degrees to metres of a conformal conic projection."""
+    n, scale, tip = conic.shape()
+    e = conic.eccentricity
+    s = F.sin(F.radians(lat)) * e
+    far = conic.radius * scale * F.pow(F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2)), F.lit(n))
+    turn = n * F.radians(lon - conic.lon)
+    return conic.false_x + far * F.sin(turn), conic.false_y + tip - far * F.cos(turn)
+
+
+def from_conic(x: Column, y: Column, conic: Conic = NATIONAL) -> tuple[Column, Column]:
+    """Metres of a conformal conic projection to degrees. The latitude comes from the conformal one by its series in the
+    eccentricity, to its tenth power: the rest is far below a millimetre."""
+    n, scale, tip = conic.shape()
+    across, down = x - conic.false_x, tip - (y - conic.false_y)
+    sign = 1.0 if n > 0 else -1.0
+    far = sign * F.sqrt(across * across + down * down)
+    turn = F.atan2(sign * across, sign * down)
+    round_ = math.pi / 2 - 2 * F.atan(F.pow(far / (conic.radius * scale), F.lit(1 / n)))
+    q = conic.eccentricity**2
+    # Coefficients of the sines of even multiples of the conformal latitude.
+    series = (q / 2 + 5 * q**2 / 24 + q**3 / 12 + 13 * q**4 / 360 + 3 * q**5 / 160, 7 * q**2 / 48 + 29 * q**3 / 240 + 811 * q**4 / 11520 + 81 * q**5 / 2240, 7 * q**3 / 120 + 81 * q**4 / 1120 + 3029 * q**5 / 53760, 4279 * q**4 / 161280 + 883 * q**5 / 20160, 2087 * q**5 / 161280)
+    lat = sum((c * F.sin(2 * (k + 1) * round_) for k, c in enumerate(series)), round_)
+    return F.degrees(turn / n) + conic.lon, F.degrees(lat)
+
+
 def cluster_centroids(grid: DataFrame, labels: DataFrame, cell: str = "cell", cluster: str = "cluster") -> DataFrame:
     """cluster, x, y: centroids of the clusters' cells, weighted by area."""
     x, y, w = (F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2, box_area()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from terrane.operators import bioregion, correlate, explore, fit, species_clusters
+from terrane.operators import bioregion, correlate, explore, fit, sparse_components, species_clusters
 from terrane.plans import fixtures as X
 from terrane.plans.queries_facts import FACTS, NAMED, RECORDS, rounded
 
@@ -123,6 +123,27 @@ def _components(s, d):
     return scores.select("cell", *[F.round(F.abs(f"PC{i}"), 4).alias(f"PC{i}") for i in (1, 2, 3)])
 
 
+def _species_components(s, d):
+    """All parts are columns here; the sign of a component is that of its largest loading."""
+    scores, _, _ = sparse_components.sparse_components(X.facts(s, d), components=3)
+    return rounded(scores, "PC1", "PC2", "PC3", digits=4)
+
+
+def _variance_reached(s, d):
+    """How many components reach nine tenths of the variance, and the running sum of their shares."""
+    _, shares, _ = sparse_components.sparse_components(X.named_facts(s, d), species=CLADE)
+    return s.createDataFrame([(k + 1, float(sum(shares[: k + 1]))) for k in range(len(shares))], "component int, reached double")
+
+
+def _regions(s, d):
+    scores, _, _ = sparse_components.sparse_components(X.named_facts(s, d), components=4, species=CLADE)
+    return bioregion.regions_with_space(scores, X.supplier_grid(s, d), ["PC1", "PC2", "PC3", "PC4"], 5)
+
+
+def _restarts(s, d):
+    return s.createDataFrame([(n, round(v, 3)) for n, v in bioregion.restarts(_embedded(s, d), 4, [1, 2, 4])], "starts int, inertia double")
+
+
 def _spatial(s, d):
     rows = _flat(s, d, 4).filter("PC1 IS NOT NULL")
     return bioregion.spatial_kmeans(rows.withColumns({"x": (F.col("cell") % 25).cast("double"), "y": F.floor(F.col("cell") / 25).cast("double")}), ["PC1", "PC2", "PC3", "PC4"], 4, rounds=6)[0]
@@ -178,6 +199,10 @@ QUERIES = {
     "relabelled": (lambda s, d: bioregion.relabelled(X.cell_labels(s, d)), f"WITH {LABELS}, z AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) AS INTEGER) AS k FROM labels GROUP BY cluster) SELECT cell, k AS cluster FROM labels JOIN z USING (cluster)"),
     "inertia": (lambda s, d: rounded(bioregion.inertia(_flat(s, d).drop("cluster"), _flat(s, d).select("cell", "cluster"), [f"PC{i}" for i in range(1, 9)]), "inertia"), "WITH e AS (SELECT label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(1, 9)) + " FROM embeddings) SELECT round(sum(v), 6) AS inertia FROM (SELECT " + " + ".join(f"var_pop(c{i}) * count(c{i})" for i in range(1, 9)) + " AS v FROM e GROUP BY label)"),
     "principal_components": (_components, None),
+    "species_components": (_species_components, None),
+    "variance_reached": (_variance_reached, None),
+    "regions_with_space": (_regions, None),
+    "restarts": (_restarts, None),
     "cluster_kmeans": (lambda s, d: bioregion.cluster_cells(_embedded(s, d), "kmeans", 6, seeds=2), None),
     "cluster_bisecting": (lambda s, d: bioregion.cluster_cells(_embedded(s, d), "bisecting", 6), None),
     "cluster_ward": (lambda s, d: bioregion.cluster_cells(bioregion.feature_vectors(X.named_facts(s, d), species=CLADE)[0], "ward", 6), None),

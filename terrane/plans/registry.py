@@ -9,13 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.plans import queries_clusters, queries_facts, queries_spatial
+from terrane.plans import queries_clusters, queries_facts, queries_sources, queries_spatial
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    return queries_facts.QUERIES | queries_clusters.QUERIES | queries_spatial.QUERIES
+    return queries_facts.QUERIES | queries_clusters.QUERIES | queries_spatial.QUERIES | queries_sources.QUERIES
 
 
 def queries() -> dict[str, Query]:
