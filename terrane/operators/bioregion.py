@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
 from terrane.operators.linkage import cut_into, linkage, ward_by_sums
+from terrane.operators.spectral import spectral_clusters
 from terrane.operators.stored import stored
 
 #: Rows of which linkage methods make a table of distances on the driver (it grows with the square); ward takes more.
@@ -80,26 +81,10 @@ def cluster_cells(vectors: DataFrame, method: str, k: int, seeds: int = 5, cell:
         out = vectors.sparkSession.createDataFrame(pd.DataFrame({cell: rows[cell], "cluster": labels}))
         return relabelled(out, cell)
     if method == "spectral":
-        return _spectral(vectors, k, cell, neighbours)
+        return relabelled(spectral_clusters(vectors, k, cell, neighbours, seeds)[0], cell)
     raise ValueError(f"unknown method {method}")
 
 
-def _spectral(vectors: DataFrame, k: int, cell: str, neighbours: int) -> DataFrame:
-    """Power iteration over similarities 1 / (1 + distance) of cells that lie in common random-projection buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    numbered = vectors.withColumn("id", F.row_number().over(Window.orderBy(cell)).cast("long"))
-    size = F.sqrt(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x))
-    scale = max(numbered.agg(F.avg(size)).first()[0] or 1.0, 1e-9)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2 * scale, numHashTables=4, seed=0).fit(numbered)
-    pairs = lsh.approxSimilarityJoin(numbered, numbered, 4 * scale, "d").filter("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (1 / (1 + F.col("d") / scale)).alias("weight"))
-    near = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    kept = pairs.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= neighbours).drop("r")
-    found = PowerIterationClustering(k=k, maxIter=30, weightCol="weight", initMode="degree").assignClusters(kept)
-    labels = numbered.join(found.select("id", "cluster"), "id", "left").select(cell, F.coalesce("cluster", F.lit(k)).alias("cluster"))
-    return relabelled(labels, cell)
-
-
 def inertia(points: DataFrame, labels: DataFrame, columns: list[str], cell: str = "cell", cluster: str = "cluster") -> DataFrame:
     """One row: squared distances to the clusters' centres, from sums alone."""
     both = points.join(labels, cell)
