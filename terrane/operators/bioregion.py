@@ -3,8 +3,6 @@ constraint, and what clusters are made of."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.columns import ratio
 from terrane.operators.linkage import cut_into, linkage, ward_by_sums
+from terrane.operators.near import near_members
 from terrane.operators.spectral import spectral_clusters
 from terrane.operators.stored import stored
 
@@ -150,7 +149,7 @@ def _assigned(data: DataFrame, members: DataFrame, centres: dict, mode: str, wei
     far = data.join(table).withColumn("d_feature", F.sqrt(squares))
     flat = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
     if mode == "neighbor":
-        far = far.drop("cx", "cy").join(_near_members(data, members, nearest), ["cell", "cluster"], "left").fillna(0.0, ["d_place"])
+        far = far.drop("cx", "cy").join(near_members(data, members, nearest), ["cell", "cluster"], "left").fillna(0.0, ["d_place"])
     else:
         far = far.withColumn("d_place", F.sqrt(flat) if mode == "euclidean" else flat)
     means = F.broadcast(far.agg(F.avg("d_feature").alias("mf"), F.avg("d_place").alias("mp")))
@@ -160,28 +159,6 @@ def _assigned(data: DataFrame, members: DataFrame, centres: dict, mode: str, wei
     return out, float(out.agg(F.sum("cost")).first()[0] or 0.0)
 
 
-def _near_members(data: DataFrame, members: DataFrame, nearest: int) -> DataFrame:
-    """cell, cluster, d_place: sum of the ``nearest`` smallest distances to a cluster's members (itself left out).
-
-    Members are gathered in blocks of a hashed part of each cluster, each block keeps its nearest, and the blocks' best
-    are merged: no cluster is gathered whole.
-    """
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("cell"), F.lit(64))).groupBy("cluster", "block").agg(F.collect_list(F.struct("cell", "x", "y")).alias("held"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for cell, px, py, cluster, held in zip(b["cell"], b["x"], b["y"], b["cluster"], b["held"], strict=True):
-                d = sorted(((h["x"] - px) ** 2 + (h["y"] - py) ** 2) ** 0.5 for h in held if h["cell"] != cell)[:nearest]
-                out += [(cell, cluster, v) for v in d]
-            yield pd.DataFrame(out, columns=["cell", "cluster", "d"])
-
-    kind = data.schema["cell"].dataType.simpleString()
-    near = data.select("cell", "x", "y").join(blocks).mapInPandas(run, f"cell {kind}, cluster int, d double")
-    order = Window.partitionBy("cell", "cluster").orderBy("d")
-    return near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= nearest).groupBy("cell", "cluster").agg(F.sum("d").alias("d_place"))
-
-
 def regions_with_space(points: DataFrame, grid: DataFrame, columns: list[str], k: int, cell: str = "cell", **options) -> DataFrame:
     """spatial_kmeans with the centres of grid cells as places."""
     places = grid.select(cell, ((F.col("min_lon") + F.col("max_lon")) / 2).alias("x"), ((F.col("min_lat") + F.col("max_lat")) / 2).alias("y"))
