@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from terrane.operators import bioregion, correlate, explore, fit, sparse_components, species_clusters
+from terrane.operators import bioregion, correlate, explore, fit, near, sparse_components, species_clusters
 from terrane.plans import fixtures as X
 from terrane.plans.queries_facts import FACTS, NAMED, RECORDS, rounded
 
@@ -123,6 +123,11 @@ def _components(s, d):
     return scores.select("cell", *[F.round(F.abs(f"PC{i}"), 4).alias(f"PC{i}") for i in (1, 2, 3)])
 
 
+def _centres(s, d):
+    """Cells with their centres as places."""
+    return X.supplier_grid(s, d).select("cell", (F.col("min_lon") + 0.5).alias("x"), (F.col("min_lat") + 0.5).alias("y"))
+
+
 def _species_components(s, d):
     """All parts are columns here; the sign of a component is that of its largest loading."""
     scores, _, _ = sparse_components.sparse_components(X.facts(s, d), components=3)
@@ -199,6 +204,7 @@ QUERIES = {
     "relabelled": (lambda s, d: bioregion.relabelled(X.cell_labels(s, d)), f"WITH {LABELS}, z AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) AS INTEGER) AS k FROM labels GROUP BY cluster) SELECT cell, k AS cluster FROM labels JOIN z USING (cluster)"),
     "inertia": (lambda s, d: rounded(bioregion.inertia(_flat(s, d).drop("cluster"), _flat(s, d).select("cell", "cluster"), [f"PC{i}" for i in range(1, 9)]), "inertia"), "WITH e AS (SELECT label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(1, 9)) + " FROM embeddings) SELECT round(sum(v), 6) AS inertia FROM (SELECT " + " + ".join(f"var_pop(c{i}) * count(c{i})" for i in range(1, 9)) + " AS v FROM e GROUP BY label)"),
     "principal_components": (_components, None),
+    "nearest_members": (lambda s, d: rounded(near.near_members(_centres(s, d), _centres(s, d).join(X.cell_labels(s, d), "cell"), 3), "d_place"), f"WITH grid AS (SELECT s_suppkey AS cell, s_suppkey % 50 + 0.5 AS x, floor(s_suppkey / 50) + 0.5 AS y FROM supplier), {LABELS}, m AS (SELECT * FROM grid JOIN labels USING (cell)), p AS (SELECT a.cell, b.cluster, sqrt(CAST(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS DOUBLE)) AS d FROM grid a JOIN m b ON a.cell <> b.cell), r AS (SELECT *, row_number() OVER (PARTITION BY cell, cluster ORDER BY d) AS r FROM p) SELECT cell, cluster, round(sum(d), 6) AS d_place FROM r WHERE r <= 3 GROUP BY ALL"),
     "species_components": (_species_components, None),
     "variance_reached": (_variance_reached, None),
     "regions_with_space": (_regions, None),

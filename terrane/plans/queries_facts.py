@@ -78,18 +78,15 @@ def _streamed(s, d):
     """The stream's table of counts; the batch count of the same rows is its SQL."""
     import uuid
 
-    from terrane.streaming.counts import keep_table, occurrence_stream, streamed_counts
-
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="terrane-stream-")
-    where = f"{base}/stream-{uuid.uuid4().hex}"
-    X.records(s, d).write.parquet(f"{where}/in")
-    rows = occurrence_stream(s, f"{where}/in", s.read.parquet(f"{where}/in").schema)
-    keep_table(streamed_counts(rows, THREE), f"{where}/out", f"{where}/state").awaitTermination()
-    return s.read.parquet(f"{where}/out")
+    from terrane.operators.stored import folder
+    from terrane.streaming.counts import keep_table, kept_table, occurrence_stream, streamed_counts
+
+    where = f"{folder(s)}/stream-{uuid.uuid4().hex}"
+    X.records(s, d).repartition(4).write.parquet(f"{where}/in")
+    rows = occurrence_stream(s, f"{where}/in", s.read.parquet(f"{where}/in").schema, per_batch=2)
+    counts = streamed_counts(rows, THREE)
+    keep_table(counts, f"{where}/out", f"{where}/state", ["cell", "species_id", "period"], buckets=16).awaitTermination()
+    return kept_table(s, f"{where}/out", counts.schema)
 
 
 _SHARE = "round({v} / sum({v}) OVER (PARTITION BY {k}) * {t}, 6)"

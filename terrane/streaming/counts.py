@@ -28,10 +28,63 @@ def streamed_windows(rows: DataFrame, time: str, length: str, late: str, keys: l
     return rows.withWatermark(time, late).groupBy(F.window(time, length), *keys).agg(F.count("*").alias("n"))
 
 
-def keep_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the whole table of counts anew with every batch, until the files that are there are used up."""
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, list[int]]:
+    """For each bucket the numbers of the finished batches that wrote it, in order; those before ``below`` if given."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for one in files.globStatus(hadoop.Path(f"{path}/batch=*/bucket=*")) or []:
+        where = one.getPath()
+        number, bucket = int(where.getParent().getName().split("=")[1]), int(where.getName().split("=")[1])
+        if (below is None or number < below) and files.exists(hadoop.Path(where.getParent(), "_SUCCESS")):
+            found.setdefault(bucket, []).append(number)
+    return {b: sorted(n) for b, n in found.items()}
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, chosen: dict[int, int]) -> DataFrame:
+    paths = [f"{path}/batch={n}/bucket={b}" for b, n in sorted(chosen.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def kept_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table as the last finished batches left it: of each bucket its newest version."""
+    return _read(spark, path, schema, {b: n[-1] for b, n in _versions(spark, path).items()})
+
+
+def merge_batch(batch: DataFrame, number: int, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Puts a batch of new totals into the table: only buckets that hold a key of it are written, as versions with the
+    batch's number.
+
+    A batch is visible when its folder is complete, and reads versions of smaller numbers only; so one that is run again,
+    after a failure or not, leaves the same table. The version before the newest is kept for readers, older ones go.
+    """
+    spark = batch.sparkSession
+    schema = batch.schema
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+    try:
+        touched = [r[0] for r in held.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        if not touched:
+            return
+        before = _versions(spark, path, number)
+        old = _read(spark, path, schema, {b: before[b][-1] for b in touched if b in before})
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        rest = old.join(held.select(*keys), keys, "left_anti").select(*schema.names, bucket)
+        rest.unionByName(held).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        for b in touched:
+            for n in before.get(b, [])[:-1]:
+                files.delete(hadoop.Path(f"{path}/batch={n}/bucket={b}"), True)
+    finally:
+        held.unpersist()
+
+
+def keep_table(counts: DataFrame, path: str, checkpoint: str, keys: list[str], buckets: int = 64) -> StreamingQuery:
+    """Keeps the table of counts (see ``kept_table``) by the keys that each batch changes, until the files that are there
+    are used up. Keys must not be null."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        merge_batch(batch, number, path, keys, buckets)
 
-    return counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
