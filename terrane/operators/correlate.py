@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrane.functions.columns import ratio
 from terrane.operators import pair_blocks
 from terrane.operators.normalise import per_species
+from terrane.operators.quantiles import exact_quantiles
 from terrane.operators.stored import stored
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -209,7 +210,9 @@ def threshold(rows: DataFrame, predictions: DataFrame, subject, predicted: str,
 def quantile_threshold(rows: DataFrame, predictions: DataFrame, subject, predicted: str, q: float = 0.2, least: float = 1, value: str = "n_obs", cell: str = "cell", species: str = "species_id") -> DataFrame:
     """One row: a quantile of the predictions where the subject was seen."""
     seen = rows.filter((F.col(species) == subject) & (F.col(value) >= least)).select(cell)
-    return predictions.join(seen, cell, "left_semi").agg(F.percentile(predicted, F.lit(q)).alias("threshold"))
+    found = exact_quantiles(predictions.join(seen, cell, "left_semi").withColumn("_all", F.lit(1)), ["_all"], predicted, [q])
+    # One row, null without a prediction.
+    return found.agg(F.max("q0").alias("threshold"))
 
 
 def presence_zone(predictions: DataFrame, bound: DataFrame, predicted: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import truth
+from terrane.operators.quantiles import exact_quantiles
 from terrane.operators.stored import stored
 
 
 def species_quantile(rows: DataFrame, q: float, value: str = "n_obs", species: str = "species_id") -> DataFrame:
-    """species, bound: the exact quantile, rounded half to even. Percentiles are sums of counted values, in parts."""
-    return rows.filter(F.col(species).isNotNull()).groupBy(species).agg(F.bround(F.percentile(value, F.lit(q)), 0).alias("bound"))
+    """species, bound: the exact quantile, rounded half to even; a species with very many values is narrowed down."""
+    return exact_quantiles(rows, [species], value, [q]).select(species, F.bround("q0", 0).alias("bound"))
 
 
 def winsorised(rows: DataFrame, q: float = 0.98, value: str = "n_obs", species: str = "species_id") -> DataFrame:
