@@ -93,13 +93,17 @@ def tiff_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
 
 def stored_features(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored files of store_documents hold, read back a page at a time: sizes, hashes, the tail's crc, a feature."""
+    """What the stored files of store_documents hold, read back a page at a time: sizes, hashes, the tail's crc, a feature;
+    all null for a null file, ValueError for a broken one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for media in batch.column(2):
                 raw = media.as_py()
+                if raw is None:
+                    rows.append((None,) * 6)
+                    continue
                 pages = [p.pixels.reshape(-1) for p in read_pages(raw)]
                 payload = np.concatenate(pages)
                 data = payload.tobytes()

@@ -33,9 +33,10 @@ class Page:
     pixels: np.ndarray  # height x width x samples
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """Runs and literals, until ``most`` bytes are there."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         at += 1
         if n < 128:
@@ -80,8 +81,8 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, widening one code early."""
+def unpack_lzw(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bit first, widening one code early, until ``most`` bytes are there."""
     out, table, previous = bytearray(), [], b""
     held = bits = 0
     width = 9
@@ -89,6 +90,8 @@ def unpack_lzw(data: bytes) -> bytes:
         held, bits = (held << 8) | byte, bits + 8
         if bits < width:
             continue
+        if most is not None and len(out) >= most:
+            break
         bits -= width
         code = held >> bits
         held &= (1 << bits) - 1
@@ -150,16 +153,21 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+#: How many bytes a byte of compressed data can stand for at most.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2736, DEFLATE: 1033, OLD_DEFLATE: 1033}
+
+
+def _unpack(data: bytes, compression: int, need: int) -> bytes:
+    """The first ``need`` bytes that the data stands for, or fewer if there are fewer: no more than is asked for is made."""
     if compression == NONE:
-        return data
+        return data[:need]
     try:
         if compression in (DEFLATE, OLD_DEFLATE):
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, need)
         if compression == PACKBITS:
-            return unpack_bits(data)
+            return unpack_bits(data, need)
         if compression == LZW:
-            return unpack_lzw(data)
+            return unpack_lzw(data, need)
     except (zlib.error, IndexError) as e:
         raise ValueError(f"broken data: {e}") from e
     raise ValueError(f"compression {compression} is not read")
@@ -195,14 +203,16 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
 def read_pages(data: bytes) -> Iterator[Page]:
     """The pages in file order; ValueError for what is broken or not read (such as samples of unequal or odd size)."""
     for index, (order, tags) in enumerate(_directories(data)):
-        one = lambda tag, other, tags=tags: tags.get(tag, [other])[0]
+        one = lambda tag, other, tags=tags: (tags.get(tag) or [other])[0]
+        if any(v < 0 for values in tags.values() for v in values):
+            raise ValueError("a tag with a negative value")
         width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         bits, compression, predictor, planes = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), 1
         if set(tags.get(BITS, [1])) not in ({8}, {16}) or predictor not in (1, 2) or one(FORMAT, 1) != 1:
             raise ValueError("only unsigned samples of 8 or 16 bits are read")
         tiled = TILE_OFFSETS in tags
         across, down = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS, height), height))
-        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_SIZES]) if tiled else (tags.get(STRIP_OFFSETS, []), tags.get(STRIP_SIZES, []))
+        offsets, sizes = (tags[TILE_OFFSETS], tags.get(TILE_SIZES, [])) if tiled else (tags.get(STRIP_OFFSETS, []), tags.get(STRIP_SIZES, []))
         depth = samples
         if one(PLANAR, 1) == 2:
             planes, depth = samples, 1
@@ -212,6 +222,14 @@ def read_pages(data: bytes) -> Iterator[Page]:
         if len(offsets) < planes * columns * lines or len(sizes) < len(offsets):
             raise ValueError("a page lacks strips or tiles")
         kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+        # Before a page is made room for, whether the file can hold it at all.
+        held = sum(min(size, len(data)) for size in sizes[: planes * columns * lines])
+        if compression not in EXPANSION:
+            raise ValueError(f"compression {compression} is not read")
+        if width * height * samples * kind.itemsize > held * EXPANSION[compression]:
+            raise ValueError("a page is larger than its data can be")
+        if across * down * depth * kind.itemsize > len(data) * EXPANSION[compression]:
+            raise ValueError("a tile is larger than its data can be")
         pixels = np.empty((height, width, samples), kind.newbyteorder("="))
         for k in range(planes * columns * lines):
             plane, rest = divmod(k, columns * lines)
@@ -219,7 +237,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
             top, left = line * down, column * across
             rows = down if tiled else min(down, height - top)
             need = rows * across * depth * kind.itemsize
-            got = _unpack(data[offsets[k] : offsets[k] + sizes[k]], compression)
+            got = _unpack(data[offsets[k] : offsets[k] + sizes[k]], compression, need)
             if len(got) < need:
                 raise ValueError("a strip or tile is too short")
             part = np.frombuffer(got[:need], kind).reshape(rows, across, depth)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -73,3 +74,37 @@ def test_media_query(spark):
     joined = b"".join(bytes(p.pixels) for p in sorted((p for p in pages if p.doc_id == 5), key=lambda p: p.page))
     assert hashlib.sha256(joined).hexdigest() == got[5].payload_sha256
     assert media.stored_features(media.store_documents(docs.filter("false"))).collect() == []
+
+
+def header(entries, order="<"):
+    """A file of one directory with these (tag, kind, count, value) entries."""
+    body = b"".join(struct.pack(order + "HHII", *e) for e in entries)
+    return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries)) + body + struct.pack("<I", 0)
+
+
+@pytest.mark.parametrize(
+    "entries",
+    [
+        [(256, 4, 1, 4_000_000), (257, 4, 1, 1_000_000), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, 1, 8), (278, 4, 1, 1_000_000), (279, 4, 1, 4_000_000_000)],
+        [(256, 4, 1, 4), (257, 4, 1, 4), (258, 3, 1, 8), (322, 4, 1, 4), (323, 4, 1, 4), (324, 4, 1, 8)],  # tiles without sizes
+        [(256, 4, 0, 0), (257, 4, 1, 4), (258, 3, 1, 8)],  # a width of no value
+        [(256, 9, 1, 0xFFFFFFFF), (257, 4, 1, 4), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 4)],  # a negative width
+        [(256, 4, 1, 4), (257, 4, 1, 4), (258, 3, 1, 8), (259, 3, 1, 99), (273, 4, 1, 8), (279, 4, 1, 40)],  # an unknown compression
+        [(256, 4, 1, 1), (257, 4, 1, 1), (258, 3, 1, 8), (322, 4, 1, 1 << 20), (323, 4, 1, 1 << 20), (324, 4, 1, 8), (325, 4, 1, 16)],  # a vast tile
+    ],
+)
+def test_malformed_files_raise_only_value_errors(entries):
+    with pytest.raises(ValueError):
+        list(tiff.read_pages(header(entries)))
+
+
+def test_no_more_is_unpacked_than_a_page_needs():
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    assert len(tiff._unpack(bomb, tiff.DEFLATE, 100)) == 100
+    assert len(tiff._unpack(tiff.pack_bits(bytes(100_000)), tiff.PACKBITS, 100)) <= 300
+    assert len(tiff._unpack(tiff.pack_lzw(bytes(1_000_000)), tiff.LZW, 100)) < 5_000
+
+
+def test_features_of_a_null_file(spark):
+    files = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert [tuple(r) for r in media.stored_features(files).collect()] == [(1, 0, *[None] * 6)]
