@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import degrees_per_km
+from terrane.operators.boxes import level_of, step_of
 
 
 def cell_name(lon: Column, lat: Column, km: int, scale: int = 100, digits: int = 3) -> Column:
@@ -68,18 +69,22 @@ def merged_grids(land: DataFrame, sea: DataFrame, cell: str = "cell") -> DataFra
 def to_cells(points: DataFrame, grid: DataFrame, lon: str = "decimalLongitude", lat: str = "decimalLatitude", cell: str = "cell") -> DataFrame:
     """The points with the first cell, in grid order, whose closed bounds hold them, null if there is none.
 
-    Buckets are as wide as the widest box and as high as the highest, so a point's boxes start in its own bucket or in
-    one before; each box is in the one bucket of its lower left corner.
+    Boxes of a size have buckets just large enough for them, so at each level of size a point's boxes start in its own
+    bucket or in one before; each box is in the one bucket of its lower left corner. A country and cells of a kilometre can
+    be in one grid: a point looks at a few buckets for each level of size that occurs (``boxes.FINEST`` at most).
     """
-    size = grid.agg(F.max(F.col("max_lon") - F.col("min_lon")), F.max(F.col("max_lat") - F.col("min_lat"))).first()
-    wide, high = float(size[0] or 1.0), float(size[1] or 1.0)
+    wide, high = F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")
+    largest = float(grid.agg(F.max(F.greatest(wide, high))).first()[0] or 1.0)
     order = F.col("ord") if "ord" in grid.columns else F.struct("min_lon", "min_lat", cell)
-    boxes = grid.select(F.floor(F.col("min_lon") / wide).alias("bi"), F.floor(F.col("min_lat") / high).alias("bj"), F.struct(order.alias("o"), F.col(cell).alias("name"), "min_lon", "min_lat", "max_lon", "max_lat").alias("box"))
-    packed = boxes.groupBy("bi", "bj").agg(F.collect_list("box").alias("boxes"))
+    level = level_of(wide, high, largest)
+    bucket = lambda c, at: F.floor(F.col(c) / step_of(at, largest)).cast("long")
+    boxes = grid.select(level.alias("level"), bucket("min_lon", level).alias("bi"), bucket("min_lat", level).alias("bj"), F.struct(order.alias("o"), F.col(cell).alias("name"), "min_lon", "min_lat", "max_lon", "max_lat").alias("box"))
+    levels = sorted(r[0] for r in boxes.select("level").distinct().collect() if r[0] is not None) or [0]
+    packed = boxes.groupBy("level", "bi", "bj").agg(F.collect_list("box").alias("boxes"))
     # Each distinct place is looked up once; rows of one place get the answer back by an equi-join.
     places = points.select(F.col(lon).alias("px"), F.col(lat).alias("py")).dropna().distinct()
-    near = lambda c, step: F.array(F.floor(F.col(c) / step), F.floor(F.col(c) / step) - 1)
-    looked = places.withColumn("bi", F.explode(near("px", wide))).withColumn("bj", F.explode(near("py", high))).join(packed, ["bi", "bj"])
+    near = lambda c: F.array(bucket(c, F.col("level")), bucket(c, F.col("level")) - 1)
+    looked = places.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("bi", F.explode(near("px"))).withColumn("bj", F.explode(near("py"))).join(packed, ["level", "bi", "bj"])
     inside = F.filter("boxes", lambda b: (b["min_lon"] <= F.col("px")) & (F.col("px") <= b["max_lon"]) & (b["min_lat"] <= F.col("py")) & (F.col("py") <= b["max_lat"]))
     first = looked.select("px", "py", F.array_min(F.transform(inside, lambda b: F.struct(b["o"].alias("o"), b["name"].alias("name")))).alias("hit")).groupBy("px", "py").agg(F.min("hit").getField("name").alias(cell))
     out = points.drop(cell) if cell in points.columns else points

@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import site_name
+from terrane.operators.boxes import meeting
 from terrane.operators.cover import RINGS, cover, resolve_polygons
+from terrane.operators.stored import stored
 
 #: Radius of the sphere of web maps, in metres (fixed value).
 EARTH = 6378137.0
@@ -75,18 +77,17 @@ def _bounded(zones: DataFrame, rings: str = "rings") -> DataFrame:
     return zones.withColumns({"zx0": F.array_min(x), "zx1": F.array_max(x), "zy0": F.array_min(y), "zy1": F.array_max(y)})
 
 
-def overlaps(grid: DataFrame, zones: DataFrame, step: float | None = None) -> DataFrame:
+def overlaps(grid: DataFrame, zones: DataFrame) -> DataFrame:
     """Cells and zones whose boxes meet, with ``overlap``: the zone's area inside the cell.
 
-    Zones are dealt to buckets of the size of a cell and cells looked up by an equi-join; areas run in Arrow batches.
+    Boxes of any sizes find each other by buckets of the coarser one's size (see ``boxes``); rings are joined by the zone's
+    number only once pairs are known, and areas run in Arrow batches.
     """
-    size = grid.agg(F.max(F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")))).first()[0]
-    step = step or float(size or 1.0)
-    box = lambda c: F.floor(F.col(c) / step)
-    span = lambda a, b: F.explode(F.sequence(a, b))
-    near = _bounded(zones).filter("zx0 IS NOT NULL").withColumn("bi", span(box("zx0") - 1, box("zx1"))).withColumn("bj", span(box("zy0") - 1, box("zy1")))
-    cells = grid.withColumns({"bi": box("min_lon"), "bj": box("min_lat")})
-    both = cells.join(near, ["bi", "bj"]).filter("zx0 <= max_lon AND zx1 >= min_lon AND zy0 <= max_lat AND zy1 >= min_lat").drop("bi", "bj", "zx0", "zx1", "zy0", "zy1")
+    numbered = stored(_bounded(zones).filter("zx0 IS NOT NULL").withColumn("_zone", F.monotonically_increasing_id()))
+    cells = grid.withColumns({"lx0": F.col("min_lon"), "ly0": F.col("min_lat"), "lx1": F.col("max_lon"), "ly1": F.col("max_lat")})
+    outlines = numbered.select("_zone", F.col("zx0").alias("rx0"), F.col("zy0").alias("ry0"), F.col("zx1").alias("rx1"), F.col("zy1").alias("ry1"))
+    pairs = meeting(cells, outlines).select("_zone", *[F.col(f"`{c}`") for c in grid.columns])
+    both = pairs.join(numbered.drop("zx0", "zx1", "zy0", "zy1"), "_zone").drop("_zone")
     names = both.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
