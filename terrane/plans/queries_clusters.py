@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from terrane.operators import bioregion, correlate, explore, fit, near, sparse_components, species_clusters
+from terrane.operators import bioregion, correlate, explore, filters, fit, near, sparse_components, species_clusters
 from terrane.plans import fixtures as X
 from terrane.plans.queries_facts import FACTS, NAMED, RECORDS, rounded
 
@@ -62,12 +62,13 @@ def _species_predicted(s, d):
 
 
 def _missing(s, d):
+    """Parts that nobody has in the cells of a region, given by its bounds, by what the parts that are there predict."""
     from terrane.operators.facts import completed
 
-    rows = _brands(s, d)
-    local = completed(rows.filter("cell <= 3 AND class <> 'Brand#33'"), rows, species=CLADE)
-    found = correlate.predict(local, correlate.correlation_matrix(rows, clade=CLADE), species=CLADE)
-    return rounded(correlate.missing_species(found, "n_obs_predicted", species=CLADE), "n_obs_predicted", digits=4)
+    rows = _well_observed(s, d)
+    local = completed(filters.in_area(rows, X.supplier_grid(s, d), 5, 20, 0, 1), rows)
+    found = correlate.predict(local, correlate.correlation_matrix(rows))
+    return rounded(correlate.missing_species(found, "n_obs_predicted"), "n_obs_predicted", digits=4)
 
 
 def missing_in_cells(rows, clade):
@@ -189,7 +190,7 @@ QUERIES = {
     "correlation_matrix_kendall": (lambda s, d: rounded(_matrix(s, d, "kendall"), "r"), f"WITH {MEANS}, signs AS (SELECT a.kind, a.cell AS c, b.cell AS d, sign(a.v - b.v) AS s FROM dense a JOIN dense b ON b.kind = a.kind AND a.cell < b.cell) SELECT a.kind AS species_i, b.kind AS species_j, round(sum(a.s * b.s) / sqrt(CAST(sum(a.s * a.s) AS DOUBLE) * sum(b.s * b.s)), 6) + 0.0 AS r FROM signs a JOIN signs b USING (c, d) GROUP BY ALL"),
     "predict_from_subject": (lambda s, d: rounded(_predicted(s, d), "n_obs_predicted", digits=4), f"WITH {PREDICTED} SELECT cell, round(p, 4) + 0.0 AS n_obs_predicted FROM pred"),
     "predict": (_predict, f"WITH {MEANS.replace('avg(n_obs)', 'sum(n_obs)')}, {BRANDS}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), m AS (SELECT cell, species_i AS class, sum(r * n_obs) AS p FROM brands JOIN matrix ON species_j = class GROUP BY ALL) SELECT brands.*, round(coalesce(p, 0), 4) + 0.0 AS n_obs_predicted FROM brands LEFT JOIN m USING (cell, class)"),
-    "missing_species": (_missing, f"WITH {DENSE}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), l AS (SELECT cell, kind, CASE WHEN kind = 'Brand#33' THEN 0 ELSE v END AS v FROM dense WHERE cell <= 3), p AS (SELECT species_i AS class, sum(r * v) AS p FROM l JOIN matrix ON species_j = kind GROUP BY 1), t AS (SELECT kind AS class, CAST(sum(v) AS BIGINT) AS n_obs FROM l GROUP BY 1) SELECT class, n_obs, round(p, 4) + 0.0 AS n_obs_predicted FROM t JOIN p USING (class) WHERE n_obs = 0"),
+    "missing_species": (_missing, f"WITH {OBSERVED}, matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM whole a JOIN whole b USING (cell) GROUP BY ALL), t AS (SELECT kind, sum(v) AS s FROM whole WHERE cell % 50 + 0.5 BETWEEN 5 AND 20 AND floor(cell / 50) + 0.5 BETWEEN 0 AND 1 GROUP BY kind), p AS (SELECT species_i AS kind, sum(coalesce(r, 0) * s) AS p FROM matrix JOIN t ON t.kind = species_j GROUP BY 1) SELECT t.kind AS species_id, CAST(s AS BIGINT) AS n_obs, round(p, 4) + 0.0 AS n_obs_predicted FROM t JOIN p USING (kind) WHERE s = 0"),
     "missing_in_cells": (lambda s, d: missing_in_cells(X.named_facts(s, d).groupBy("cell", F.concat_ws(" ", "kingdom", "class").alias("clade")).agg(F.sum("n_obs").alias("n_obs")), "clade"), f"WITH {NAMED}, dense AS (SELECT cell, kind, coalesce(sum(n_obs), 0) AS v FROM (SELECT DISTINCT cell FROM named) CROSS JOIN (SELECT DISTINCT concat(kingdom, ' ', class) AS kind FROM named) LEFT JOIN (SELECT cell, concat(kingdom, ' ', class) AS kind, n_obs FROM named) USING (cell, kind) GROUP BY ALL), matrix AS (SELECT a.kind AS species_i, b.kind AS species_j, corr(a.v, b.v) AS r FROM dense a JOIN dense b USING (cell) GROUP BY ALL), p AS (SELECT cell, species_i AS kind, sum(r * v) AS p FROM dense JOIN matrix ON species_j = kind WHERE v > 0 GROUP BY ALL) SELECT dense.cell, dense.kind AS clade, round(coalesce(p, 0), 4) + 0.0 AS n_obs_predicted FROM dense LEFT JOIN p USING (cell, kind) WHERE v = 0"),
     "threshold": (_threshold(False), f"WITH {PREDICTED} SELECT round(avg(p) - 2 * stddev_samp(p), 4) AS threshold FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}')"),
     "quantile_threshold": (_threshold(True), f"WITH {PREDICTED} SELECT round(quantile_cont(p, 0.2), 4) AS threshold FROM pred WHERE cell IN (SELECT cell FROM named WHERE class = '{SUBJECT}')"),
@@ -202,7 +203,7 @@ QUERIES = {
     "cluster_summary": (lambda s, d: explore.cluster_summary(X.facts(s, d), X.cell_labels(s, d)), f"WITH {FACTS}, {LABELS}, c AS (SELECT cell, cluster, sum(n_obs) AS o, count(*) FILTER (n_obs > 0) AS s FROM facts JOIN labels USING (cell) GROUP BY ALL) SELECT cluster, " + ", ".join(f"CAST(trunc({e}) AS BIGINT) AS {n}_{k}" for n, v in (("observations", "o"), ("species", "s")) for k, e in (("mean", f"avg({v})"), ("median", f"quantile_cont({v}, 0.5)"), ("p10", f"quantile_cont({v}, 0.1)"), ("p90", f"quantile_cont({v}, 0.9)"))) + " FROM c GROUP BY cluster"),
     "composition": (lambda s, d: bioregion.composition(X.facts(s, d), X.cell_labels(s, d)), f"WITH {FACTS}, {LABELS}, c AS (SELECT cluster, species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM facts JOIN labels USING (cell) GROUP BY ALL), t AS (SELECT *, CAST(sum(n_obs) OVER (PARTITION BY cluster) AS BIGINT) AS total FROM c) SELECT *, CAST(1 AS INTEGER) AS present, round_even(n_obs * 100 / total, 1) AS percent FROM t"),
     "relabelled": (lambda s, d: bioregion.relabelled(X.cell_labels(s, d)), f"WITH {LABELS}, z AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) AS INTEGER) AS k FROM labels GROUP BY cluster) SELECT cell, k AS cluster FROM labels JOIN z USING (cluster)"),
-    "inertia": (lambda s, d: rounded(bioregion.inertia(_flat(s, d).drop("cluster"), _flat(s, d).select("cell", "cluster"), [f"PC{i}" for i in range(1, 9)]), "inertia"), "WITH e AS (SELECT label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(1, 9)) + " FROM embeddings) SELECT round(sum(v), 6) AS inertia FROM (SELECT " + " + ".join(f"var_pop(c{i}) * count(c{i})" for i in range(1, 9)) + " AS v FROM e GROUP BY label)"),
+    "inertia": (lambda s, d: rounded(bioregion.inertia(_flat(s, d, 64).drop("cluster"), _flat(s, d, 64).select("cell", "cluster"), [f"PC{i}" for i in range(1, 65)]), "inertia"), "WITH e AS (SELECT label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(1, 65)) + " FROM embeddings) SELECT round(sum(v), 6) AS inertia FROM (SELECT " + " + ".join(f"var_pop(c{i}) * count(c{i})" for i in range(1, 65)) + " AS v FROM e GROUP BY label)"),
     "principal_components": (_components, None),
     "nearest_members": (lambda s, d: rounded(near.near_members(_centres(s, d), _centres(s, d).join(X.cell_labels(s, d), "cell"), 3), "d_place"), f"WITH grid AS (SELECT s_suppkey AS cell, s_suppkey % 50 + 0.5 AS x, floor(s_suppkey / 50) + 0.5 AS y FROM supplier), {LABELS}, m AS (SELECT * FROM grid JOIN labels USING (cell)), p AS (SELECT a.cell, b.cluster, sqrt(CAST(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS DOUBLE)) AS d FROM grid a JOIN m b ON a.cell <> b.cell), r AS (SELECT *, row_number() OVER (PARTITION BY cell, cluster ORDER BY d) AS r FROM p) SELECT cell, cluster, round(sum(d), 6) AS d_place FROM r WHERE r <= 3 GROUP BY ALL"),
     "species_components": (_species_components, None),
@@ -223,5 +224,5 @@ QUERIES = {
     "local_cluster": (lambda s, d: species_clusters.local_cluster(X.facts(s, d), X.species_labels(s, d), 2, CELLS), f"WITH {FACTS}, {CLUSTERS} SELECT species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs_total, CAST(coalesce(sum(n_obs) FILTER (WHERE cell BETWEEN 1 AND 10), 0) AS BIGINT) AS n_obs FROM facts JOIN clusters USING (species_id) WHERE cluster_corr = 2 GROUP BY species_id"),
     "absent_species": (lambda s, d: species_clusters.absent_species(X.facts(s, d), X.species_labels(s, d), [1, 2], 4), f"WITH {FACTS}, {CLUSTERS}, h AS (SELECT species_id, sum(n_obs) FILTER (WHERE cell IN (1, 2)) AS here, CAST(sum(n_obs) AS BIGINT) AS n_obs_total FROM facts GROUP BY 1), c AS (SELECT cluster_corr, CAST(sum(here) AS BIGINT) AS cluster_here FROM h JOIN clusters USING (species_id) WHERE here > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4) SELECT cluster_corr, cluster_here, species_id, n_obs_total FROM c JOIN clusters USING (cluster_corr) JOIN h USING (species_id) WHERE coalesce(here, 0) = 0"),
     "zones_of_cluster": (lambda s, d: _digested(species_clusters.zones_of_cluster(_by_cell(s, d), X.species_labels(s, d), 7)), f"WITH {NAMED}, {CLUSTERS}, {CLUSTER_NAMES}, k AS (SELECT cluster_corr, count(DISTINCT species_id) AS n_species FROM clusters GROUP BY 1) SELECT cell, cluster_corr, round(sum(n_obs) / any_value(n_species), 6) AS n_obs, any_value(n_species) AS n_species, any_value(species) AS species, any_value(class) AS class FROM facts JOIN clusters USING (species_id) JOIN k USING (cluster_corr) JOIN listed USING (cluster_corr) WHERE cluster_corr = (SELECT cluster_corr FROM clusters WHERE species_id = 7) GROUP BY cell, cluster_corr"),
-    "best_of_cluster": (lambda s, d: species_clusters.best_of_each(species_clusters.species_in_cluster(X.facts(s, d), X.species_labels(s, d), 1).withColumn("cluster_corr", F.lit(1)), "n_obs"), f"WITH {RECORDS}, {CLUSTERS}, t AS (SELECT species_id, count(*) AS n_obs FROM records JOIN clusters USING (species_id) WHERE cluster_corr = 1 GROUP BY 1) SELECT species_id, n_obs, CAST(1 AS INTEGER) AS cluster_corr, CAST(row_number() OVER (ORDER BY n_obs DESC, species_id) AS INTEGER) AS rank FROM t ORDER BY rank LIMIT 5"),
+    "best_of_cluster": (lambda s, d: species_clusters.best_of_each(X.facts(s, d).groupBy("species_id").agg(F.sum("n_obs").alias("n_obs")).join(X.species_labels(s, d), "species_id"), "n_obs"), f"WITH {RECORDS}, {CLUSTERS}, t AS (SELECT species_id, cluster_corr, count(*) AS n_obs FROM records JOIN clusters USING (species_id) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_corr ORDER BY n_obs DESC, species_id) AS INTEGER) AS rank FROM t) SELECT species_id, n_obs, cluster_corr, rank FROM r WHERE rank <= 5"),
 }

@@ -106,7 +106,6 @@ QUERIES = {
     "merge_counts": (lambda s, d: facts.merge_counts([facts.count_cells(X.records(s, d).filter(f"cell % 3 = {k}"), bounds=THREE, with_taxonomy=False) for k in range(3)], ["cell", "species_id", "period"]), f"WITH {PERIODS} SELECT cell, species_id, period, n_obs FROM periods"),
     "without_period": (lambda s, d: facts.without_period(X.facts_by_period(s, d), X.dimension(s, d)), f'WITH {PERIODS}, {DIM} SELECT cell, species_id, CAST(sum(n_obs) AS BIGINT) AS n_obs, kingdom, class, "order", species FROM periods LEFT JOIN dim USING (species_id) GROUP BY ALL'),
     "taxonomy": (lambda s, d: facts.taxonomy(X.observations(s, d).withColumn("class", F.when(F.col("cell") % 2 == 0, F.col("class"))), columns=["kingdom", "class", "species"]), f'WITH {RECORDS}, {DIM}, o AS (SELECT species_id, kingdom, CASE WHEN cell % 2 = 0 THEN class END AS class, species FROM records JOIN dim USING (species_id)) SELECT species_id, kingdom, class, species FROM (SELECT *, row_number() OVER (PARTITION BY species_id ORDER BY class IS NULL, kingdom, class, species) AS r FROM o) WHERE r = 1'),
-    "completed": (lambda s, d: facts.completed(X.facts(s, d).filter("cell <= 20"), X.facts(s, d)), f"WITH {FACTS} SELECT c.cell, k.species_id, coalesce(f.n_obs, 0) AS n_obs FROM (SELECT DISTINCT cell FROM facts WHERE cell <= 20) c CROSS JOIN (SELECT DISTINCT species_id FROM facts) k LEFT JOIN facts f ON f.cell = c.cell AND f.species_id = k.species_id"),
     "completed_all": (lambda s, d: facts.completed(X.facts(s, d), X.facts(s, d)), f"WITH {FACTS} SELECT c.cell, k.species_id, coalesce(f.n_obs, 0) AS n_obs FROM (SELECT DISTINCT cell FROM facts) c CROSS JOIN (SELECT DISTINCT species_id FROM facts) k LEFT JOIN facts f ON f.cell = c.cell AND f.species_id = k.species_id"),
     "first_by": (lambda s, d: facts.first_by(X.facts(s, d), ["cell"], [F.desc("n_obs"), F.col("species_id")]), f"WITH {FACTS} SELECT cell, species_id, n_obs FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n_obs DESC, species_id) AS r FROM facts) WHERE r = 1"),
     "duplicates": (lambda s, d: facts.duplicates(X.records(s, d), ["cell", "species_id", "year"]), f"WITH {RECORDS} SELECT cell, species_id, year, count(*) AS n FROM records GROUP BY ALL HAVING count(*) > 1"),

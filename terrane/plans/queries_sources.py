@@ -91,6 +91,14 @@ def _shapes(s, d):
 SHAPES = "shapes AS (SELECT n_name AS name, n_regionkey AS region, n_nationkey * 2.0 AS x, n_regionkey * 3.0 AS y, 1.0 + n_nationkey % 3 AS w, 0.5 + n_regionkey % 2 AS h FROM nation)"
 
 
+def _zone_grid(s, d):
+    """Cells of fifty kilometres that meet a nation's shape."""
+    return grid.zone_grid(_shapes(s, d), 50).select("cell", "i", "j", F.round("min_lon", 6).alias("min_lon"), F.round("min_lat", 6).alias("min_lat"))
+
+
+ZONE_GRID = f"WITH {SHAPES}, b AS (SELECT min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM shapes), g AS (SELECT *, 50 / 111.32::DOUBLE AS dy, 50 / 111.32::DOUBLE / cos(radians((y0 + y1) / 2)) AS dx FROM b), o AS (SELECT *, floor(x0 / dx) * dx AS gx, floor(y0 / dy) * dy AS gy FROM g), c AS (SELECT i, j, gx + i * dx AS lon, gy + j * dy AS lat, dx, dy FROM o, range(0, 400) r1(i), range(0, 400) r2(j) WHERE i < ceil((x1 - gx) / dx - 1e-12) AND j < ceil((y1 - gy) / dy - 1e-12)) SELECT '50km' || CASE WHEN lon + dx / 2 >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(CAST(floor(abs(lon + lon + dx) / 2 * 100) AS BIGINT) AS VARCHAR), CAST(greatest(3, length(CAST(CAST(floor(abs(lon + lon + dx) / 2 * 100) AS BIGINT) AS VARCHAR))) AS INTEGER), '0') || CASE WHEN lat + dy / 2 >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(CAST(floor(abs(lat + lat + dy) / 2 * 100) AS BIGINT) AS VARCHAR), CAST(greatest(3, length(CAST(CAST(floor(abs(lat + lat + dy) / 2 * 100) AS BIGINT) AS VARCHAR))) AS INTEGER), '0') AS cell, i, j, round(lon, 6) AS min_lon, round(lat, 6) AS min_lat FROM c WHERE EXISTS (FROM shapes WHERE x < lon + dx AND lon < x + w AND y < lat + dy AND lat < y + h)"
+
+
 def _settings(s, d):
     """Bounds of each region's nations as settings, which the driver writes and reads: a handful of numbers."""
     found = X.table(s, d, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("low"), F.max("n_nationkey").alias("high")).collect()
@@ -236,6 +244,7 @@ QUERIES = {
     "zones_read": (lambda s, d: rounded(_shapes(s, d).select("name", spatial.polygon_area(F.col("rings")).alias("area")), "area"), f"WITH {SHAPES} SELECT name, round(CAST(w * h AS DOUBLE), 6) AS area FROM shapes"),
     "zones_dissolved": (lambda s, d: rounded(spatial.dissolve(_shapes(s, d), "region").select("region", F.size("rings").alias("n_rings"), spatial.polygon_area(F.col("rings")).alias("area")), "area"), f"WITH {SHAPES} SELECT region, CAST(count(*) AS INTEGER) AS n_rings, round(CAST(sum(w * h) AS DOUBLE), 6) AS area FROM shapes GROUP BY region"),
     "site_labels": (lambda s, d: rounded(layers.site_labels(_shapes(s, d), "name"), "x", "y"), f"WITH {SHAPES} SELECT name, round(CAST(x + 2 * w / 5 AS DOUBLE), 6) AS x, round(CAST(y + 2 * h / 5 AS DOUBLE), 6) AS y FROM shapes"),
+    "zone_grid": (_zone_grid, ZONE_GRID),
     "settings_kept": (_settings, "SELECT n_regionkey AS region, min(n_nationkey) AS low, max(n_nationkey) AS high FROM nation GROUP BY n_regionkey"),
     "many_files": (_many, "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size <= 25 THEN p_name END AS p_name, CASE WHEN p_size > 25 THEN p_brand END AS p_brand FROM part"),
     "matrix_stored": (_matrix_back, f"WITH {MATRIX} SELECT species_i, species_j, round(r, 6) + 0.0 AS r FROM matrix"),

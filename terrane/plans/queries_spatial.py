@@ -77,7 +77,7 @@ QUERIES = {
     "resolve_polygons": (lambda s, d: cover.resolve_polygons(_stars(s, d), 20.0), None),
     "resolve_overlaps": (lambda s, d: spatial.resolve_overlaps(_boxes(s, d), 5.0), None),
     "continuous_layer": (lambda s, d: layers.continuous_layer(X.facts(s, d), X.supplier_grid(s, d), low=50, high=650)[0], f"WITH {FACTS}, {GRID}, t AS (SELECT cell, CAST(sum(n_obs) AS DOUBLE) AS v FROM facts GROUP BY cell) SELECT grid.*, CAST(CASE WHEN v < 50 THEN 50 WHEN v > 650 THEN 650 ELSE v END AS DOUBLE) AS n_obs FROM grid LEFT JOIN t USING (cell)"),
-    "discrete_layer": (lambda s, d: layers.discrete_layer(X.cell_labels(s, d).filter("cell % 4 <> 0"), X.supplier_grid(s, d))[0].select("cell", "min_lon", F.col("cluster").cast("string").alias("cluster")), f"WITH {GRID}, {LABELS} SELECT cell, min_lon, CAST(CASE WHEN cell % 4 <> 0 THEN cluster END AS VARCHAR) AS cluster FROM grid LEFT JOIN labels USING (cell)"),
+    "discrete_layer": (lambda s, d: layers.discrete_layer(X.cell_labels(s, d), X.supplier_grid(s, d))[0].select("cell", "min_lon", F.col("cluster").cast("string").alias("cluster")), f"WITH {GRID}, {LABELS} SELECT cell, min_lon, CAST(cluster AS VARCHAR) AS cluster FROM grid LEFT JOIN labels USING (cell)"),
     "point_layer": (lambda s, d: layers.point_layer(X.facts(s, d), X.supplier_grid(s, d)), f"WITH {FACTS}, {GRID} SELECT cell, CAST(sum(n_obs) AS BIGINT) AS n_obs, any_value(min_lon) + 0.5 AS x, any_value(min_lat) + 0.5 AS y FROM facts LEFT JOIN grid USING (cell) GROUP BY cell"),
     "status_layer": (_status, None),
     "geojson_features": (lambda s, d: geojson_features(X.supplier_grid(s, d), ["cell"]), None),
