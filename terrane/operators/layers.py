@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from terrane.functions.columns import clamped
 from terrane.operators.normalise import logarithm
 
+#: Labels of a legend.
+MOST_LABELS = 10_000
+
 
 def rounded(x: float | None, digits: int = 3, direction: str = "nearest") -> float:
     """A number to its significant digits; ValueError for none and for an unknown direction."""
@@ -37,8 +40,10 @@ def continuous_layer(rows: DataFrame, grid: DataFrame, value: str = "n_obs", log
 
 
 def discrete_layer(labels: DataFrame, grid: DataFrame, column: str = "cluster", cell: str = "cell") -> tuple[DataFrame, dict]:
-    """The grid with labels, and their range and distinct values (few, as they are a legend)."""
-    values = [r[0] for r in labels.select(column).distinct().dropna().orderBy(column).limit(10_000).collect()]
+    """The grid with labels, and their range and distinct values: a legend, so ValueError beyond MOST_LABELS of them."""
+    values = [r[0] for r in labels.select(column).distinct().dropna().orderBy(column).limit(MOST_LABELS + 1).collect()]
+    if len(values) > MOST_LABELS:
+        raise ValueError(f"a legend holds at most {MOST_LABELS} labels")
     return grid.join(labels.select(cell, column), cell, "left"), {"min": values[0] if values else None, "max": values[-1] if values else None, "labels": values}
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,3 +26,13 @@ def stored(frame: DataFrame) -> DataFrame:
     path = f"{folder(frame.sparkSession)}/stored-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def numbered(frame: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows numbered from 0 in an order that must tell all rows apart: sorted by ranges, and each range starts where those
+    before it end; no window over all rows."""
+    rows = stored(frame.orderBy(*order).withColumn("_mark", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_mark", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.col("_mark").bitwiseAND((1 << 33) - 1)
+    return stored(rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_mark", "_part", "_start"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from terrane.operators import bioregion, correlate, explore, filters, fit, near, sparse_components, species_clusters
+from terrane.operators import bioregion, correlate, explore, filters, fit, mutual, near, sparse_components, species_clusters
 from terrane.plans import fixtures as X
 from terrane.plans.queries_facts import FACTS, NAMED, RECORDS, rounded
 
@@ -150,6 +150,17 @@ def _restarts(s, d):
     return s.createDataFrame([(n, round(v, 3)) for n, v in bioregion.restarts(_embedded(s, d), 4, [1, 2, 4])], "starts int, inertia double")
 
 
+def _cell_points(s, d):
+    """Cells by the sums of their brands, zeros filled in."""
+    wide = correlate.wide_table(_brands(s, d), [f"Brand#{i}" for i in range(1, 26)], clade=CLADE, how="sum")
+    return wide.select(F.col("cell").alias("id"), F.array(*[F.col(f"`Brand#{i}`") for i in range(1, 26)]).alias("f"))
+
+
+def _species_tree(s, d):
+    """Ward's tree of single parts by the rows of their correlation matrix."""
+    return rounded(mutual.tree_rows(mutual.matrix_points(correlate.correlation_matrix(_well_observed(s, d)))), "height")
+
+
 def _spatial(s, d):
     rows = _flat(s, d, 4).filter("PC1 IS NOT NULL")
     return bioregion.spatial_kmeans(rows.withColumns({"x": (F.col("cell") % 25).cast("double"), "y": F.floor(F.col("cell") / 25).cast("double")}), ["PC1", "PC2", "PC3", "PC4"], 4, rounds=6)[0]
@@ -206,6 +217,9 @@ QUERIES = {
     "inertia": (lambda s, d: rounded(bioregion.inertia(_flat(s, d, 64).drop("cluster"), _flat(s, d, 64).select("cell", "cluster"), [f"PC{i}" for i in range(1, 65)]), "inertia"), "WITH e AS (SELECT label, " + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(1, 65)) + " FROM embeddings) SELECT round(sum(v), 6) AS inertia FROM (SELECT " + " + ".join(f"var_pop(c{i}) * count(c{i})" for i in range(1, 65)) + " AS v FROM e GROUP BY label)"),
     "principal_components": (_components, None),
     "nearest_members": (lambda s, d: rounded(near.near_members(_centres(s, d), _centres(s, d).join(X.cell_labels(s, d), "cell"), 3), "d_place"), f"WITH grid AS (SELECT s_suppkey AS cell, s_suppkey % 50 + 0.5 AS x, floor(s_suppkey / 50) + 0.5 AS y FROM supplier), {LABELS}, m AS (SELECT * FROM grid JOIN labels USING (cell)), p AS (SELECT a.cell, b.cluster, sqrt(CAST(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS DOUBLE)) AS d FROM grid a JOIN m b ON a.cell <> b.cell), r AS (SELECT *, row_number() OVER (PARTITION BY cell, cluster ORDER BY d) AS r FROM p) SELECT cell, cluster, round(sum(d), 6) AS d_place FROM r WHERE r <= 3 GROUP BY ALL"),
+    "species_tree": (_species_tree, None),
+    "cells_tree": (lambda s, d: rounded(mutual.tree_rows(_cell_points(s, d)), "height"), None),
+    "cells_tree_clusters": (lambda s, d: mutual.tree_clusters(_cell_points(s, d), 6, "maxclust"), None),
     "species_components": (_species_components, None),
     "variance_reached": (_variance_reached, None),
     "regions_with_space": (_regions, None),

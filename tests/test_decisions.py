@@ -55,3 +55,14 @@ def test_logarithms_start_at_the_smallest_share(spark, value):
     rows = spark.createDataFrame([(1, 1, value, "k"), (1, 2, 3 * value, "k")], "cell int, species_id int, n_obs long, kingdom string")
     got = sorted(r.n_obs_per_cell_and_kingdom_log for r in normalise.all_in_one(rows).collect())
     assert got[0] == 0 and math.isclose(got[1], math.log10(3))
+
+
+def test_a_legend_is_never_cut_silently(spark, monkeypatch):
+    from terrane.operators import layers
+
+    monkeypatch.setattr(layers, "MOST_LABELS", 3)
+    grid = spark.createDataFrame([(i, 0.0) for i in range(5)], "cell int, min_lon double")
+    labels = lambda n: spark.createDataFrame([(i, i % n) for i in range(5)], "cell int, cluster int")
+    assert layers.discrete_layer(labels(3), grid)[1] == {"min": 0, "max": 2, "labels": [0, 1, 2]}
+    with pytest.raises(ValueError, match="at most 3"):
+        layers.discrete_layer(labels(4), grid)
