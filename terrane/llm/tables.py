@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Tables that are there: what results may still read is deleted when the driver ends.
 _there: dict[str, None] = {}
+#: Tables written since the innermost ``scratch`` of this thread began; another thread's are its own.
+_within: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("within", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +39,8 @@ def written(frame: DataFrame) -> tuple[DataFrame, str]:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/terrane-{uuid.uuid4().hex}"
     _there[path] = None
+    if (within := _within.get()) is not None:
+        within.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path), path
 
@@ -50,10 +55,17 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession, *keep: str) -> Iterator[list[str]]:
-    """Deletes the tables written within when the block ends, but for those whose paths are put in the list it gives."""
-    before, kept = set(_there), list(keep)
-    yield kept
-    dropped(spark, *[p for p in _there if p not in before and p not in kept])
+    """Deletes the tables that this thread writes within when the block ends, but for those whose paths are put in the list it
+    gives; a block around it takes those for its own. After an error the tables stay until the driver ends."""
+    around, kept, own = _within.get(), list(keep), []
+    token = _within.set(own)
+    try:
+        yield kept
+    finally:
+        _within.reset(token)
+        if around is not None:
+            around += [p for p in own if p in kept]
+    dropped(spark, *[p for p in own if p in _there and p not in kept])
     settled(spark)
 
 
