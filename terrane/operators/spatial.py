@@ -223,17 +223,30 @@ def nearest_cluster(grid: DataFrame, labels: DataFrame, squared: bool = False, c
     return labels.select(cell, cluster).unionByName(near)
 
 
+#: Comparisons of one part of a bucket and of one task on average, and tasks at most.
+COMPARED, BY_TASK, MOST_TASKS = 4_000_000, 20_000_000, 20_000
+
+
 def intersecting_pairs(boxes: DataFrame, step: float, key: str = "zone") -> DataFrame:
-    """a, b (a < b): boxes (zone, zx0, zy0, zx1, zy1) that meet, each pair once, found through buckets of ``step``."""
+    """a, b (a < b): boxes (zone, zx0, zy0, zx1, zy1) that meet, each pair once, found through buckets of ``step``.
+
+    Boxes of a crowded bucket are dealt to parts, each of which meets the whole bucket; tasks go by comparisons, as pairs
+    may be far more than boxes.
+    """
     span = lambda c0, c1: F.explode(F.sequence(F.floor(F.col(c0) / step), F.floor(F.col(c1) / step)))
     dealt = boxes.withColumn("bi", span("zx0", "zx1")).withColumn("bj", span("zy0", "zy1"))
-    cols = ("zx0", "zy0", "zx1", "zy1")
-    one = dealt.select("bi", "bj", F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    two = dealt.select("bi", "bj", F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    size = F.count("*").cast("double")
+    counts = stored(dealt.groupBy("bi", "bj").agg((size * size).alias("work")))
+    tasks = int(min(MOST_TASKS, max(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), (counts.agg(F.sum("work")).first()[0] or 0) // BY_TASK)))
+    dealt = dealt.join(counts.select("bi", "bj", F.ceil(F.col("work") / COMPARED).cast("int").alias("parts")), ["bi", "bj"])
+    cols, place = ("zx0", "zy0", "zx1", "zy1"), ["bi", "bj", "part"]
+    one = dealt.select("bi", "bj", F.pmod(F.xxhash64(key), "parts").cast("int").alias("part"), F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    two = dealt.select("bi", "bj", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
     # A pair is counted in the bucket that holds the lower left corner of what both share.
     home = (F.col("bi") == F.floor(F.greatest("a_zx0", "b_zx0") / step)) & (F.col("bj") == F.floor(F.greatest("a_zy0", "b_zy0") / step))
     meets = "a < b AND a_zx0 < b_zx1 AND b_zx0 < a_zx1 AND a_zy0 < b_zy1 AND b_zy0 < a_zy1"
-    return one.join(two, ["bi", "bj"]).filter(meets).filter(home).select("a", "b", *[f"a_{c}" for c in cols], *[f"b_{c}" for c in cols])
+    met = one.repartition(tasks, *place).join(two.repartition(tasks, *place).hint("merge"), place)
+    return met.filter(meets).filter(home).select("a", "b", *[f"a_{c}" for c in cols], *[f"b_{c}" for c in cols])
 
 
 def resolve_overlaps(boxes: DataFrame, step: float, key: str = "zone") -> DataFrame:
