@@ -24,7 +24,9 @@ members: the class that leads all those whose least member in one range of the h
 one component, so a group of n near copies costs about n checks, and signatures within one component go no further. All
 other groups are searched for pairs of classes of different components: classes carry the parities of hashed buckets of
 their members, of which no more can differ than members do, and only pairs that this does not rule out leave the group,
-to be checked exactly on their texts. No pair that shares a signature is left untested; leads decide on cost alone.
+to be checked exactly on their texts. A group of many such pairs gives a few of each class at a time; what they link is one
+component then, and the last turn gives all that are left. No pair of different components that shares a signature is left
+untested; leads decide on cost alone.
 
 A signature that very many classes share does not gather them in one task: a task that has signed more than LOCAL
 classes alike sends one of them to where signatures meet, and the others, known to be crowded, their own way.
@@ -61,6 +63,8 @@ SEEN, CROWDED, HELD = 500_000, 8, 1 << 18
 RANGES = 8
 #: Classes of a group that are compared in one task, and pairs of one class; larger ones are cut to blocks.
 BLOCK = 256
+#: Pairs that a class leaves a group with in one turn, and turns; the last one holds nothing back.
+EACH, TURNS = 2, 4
 #: Parts that the crowded groups of one lead are dealt to.
 DEALT = 4
 #: Low bits of a signature that hold its band.
@@ -436,9 +440,21 @@ def open_groups(first: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
-def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def first_of_each(left: np.ndarray, right: np.ndarray, n: int, each: int, turn: int) -> np.ndarray:
+    """Places of pairs of n classes that leave in a turn: each class with its ``each`` first partners ahead of it, in an
+    order that is another one in each turn."""
+    order = np.random.default_rng(turn).permutation(n) if turn else np.arange(n)
+    high, low = np.maximum(order[left], order[right]), np.minimum(order[left], order[right])
+    at = np.lexsort((low, high))
+    first = np.flatnonzero(np.append(True, np.diff(high[at]) != 0))
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return np.sort(at[rank < each])
+
+
+def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int], each: int | None = None, turn: int = 0) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a group and are not ruled out. groups: signature,
-    class, root."""
+    class, root. With ``each``, a group of many pairs gives those of ``first_of_each`` and a pair of a class with itself, which
+    says that others wait: most are of one component once these have been checked."""
     # Groups with one first class mostly hold the same pairs: they meet in one place, where each pair is tested once.
     facts = groups.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min(F.xxhash64("class")).alias("lead")).filter("low < high")
     rows = groups.join(facts.select("signature", "n", "lead"), "signature")
@@ -475,8 +491,13 @@ def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int]) -
             return found, found
         left, right = found // len(rows), found % len(rows)
         keep = near_pairs([r[9] for r in rows], sizes, left, right, similarity)
-        a, b = names[left[keep]], names[right[keep]]
-        return np.minimum(a, b), np.maximum(a, b)
+        left, right = left[keep], right[keep]
+        wait = names[:0]
+        if each is not None and len(left) > each * len(rows):
+            chosen = first_of_each(left, right, len(rows), each, turn)
+            left, right, wait = left[chosen], right[chosen], names[:1]
+        a, b = names[left], names[right]
+        return np.append(np.minimum(a, b), wait), np.append(np.maximum(a, b), wait)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,12 +530,20 @@ def class_links(texts: DataFrame, classes: DataFrame, words: int, similarity: tu
     open_, open_at = open_groups(first, roots)
     dropped(spark, first_at)
     settled(spark)
-    pairs, pairs_at = written(crossing(open_, known, similarity))
-    dropped(spark, open_at)
-    if not pairs.isEmpty():
-        links = links.unionAll(linked(pairs, known, texts, words, similarity))
-        roots = components(links).select(F.col("node").alias("class"), "root")
-    dropped(spark, pairs_at, known_at)
+    for turn in range(TURNS):
+        met, met_at = written(crossing(open_, known, similarity, EACH if turn < TURNS - 1 else None, turn))
+        pairs, wait = met.filter("a <> b"), not met.filter("a = b").isEmpty()
+        if not pairs.isEmpty():
+            links = links.unionAll(linked(pairs, known, texts, words, similarity))
+            roots = components(links).select(F.col("node").alias("class"), "root")
+        dropped(spark, met_at)
+        if not wait:
+            break
+        settled(spark)
+        joined_, there = written(rooted(open_.select("signature", "class"), roots).select("signature", "class", "root"))
+        dropped(spark, open_at)
+        open_, open_at = joined_, there
+    dropped(spark, open_at, known_at)
     return roots
 
 
