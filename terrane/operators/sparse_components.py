@@ -6,12 +6,13 @@ the products are summed by species. Centring is implied: the means' part is take
 
 The subspace starts at random and grows by the residuals of its best vectors; when it is wide it is cut to them. It ends when
 the residuals are small against the largest variance, so the error is measured and not assumed from a number of rounds.
-The driver holds species x columns numbers, all of them sums over cells, and checks their size first.
+The driver holds species x columns numbers, all of them sums over cells, and checks their size first; where cells are fewer
+than species it holds cells x columns, and the tasks have lists by species.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,10 @@ SLOTS = 4096
 
 @dataclass
 class SparseTable:
-    """Cells as (cell, slots, values), species by slot, and how many there are of both."""
+    """Lists of one side (``<key>``, slots, values), the other side by slot (kind, slot), and how many there are of both.
+
+    As made by ``sparse_table`` the lists are those of cells and the slots are species; ``turned`` is the other way round.
+    """
 
     rows: DataFrame
     species: DataFrame
@@ -37,21 +41,38 @@ class SparseTable:
     width: int
 
 
-def sparse_table(rows: DataFrame, value: str = "n_obs", cell: str = "cell", species: str = "species_id") -> SparseTable:
-    """Mean values by cell and species; slots number the species in ascending order, without a window over all of them."""
-    values = stored(rows.dropna(subset=[cell, species]).groupBy(F.col(cell).alias("cell"), F.col(species).alias("kind")).agg(F.avg(value).cast("double").alias("v")))
-    sorted_ = stored(values.select("kind").distinct().orderBy("kind").withColumn("mark", F.monotonically_increasing_id()))
+def _slots(values: DataFrame, key: str) -> DataFrame:
+    """(kind, slot): the distinct keys, numbered in ascending order without a window over all of them."""
+    sorted_ = stored(values.select(F.col(key).alias("kind")).distinct().orderBy("kind").withColumn("mark", F.monotonically_increasing_id()))
     part = F.shiftright("mark", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = stored(sorted_.withColumn("part", part).join(F.broadcast(starts), "part").select("kind", (F.col("start") + F.col("mark").bitwiseAND((1 << 33) - 1)).cast("int").alias("slot")))
-    entries = values.join(numbered, "kind").withColumn("e", F.when(F.col("v") != 0, F.struct("slot", "v")))
-    # A cell's list is as long as its species are many; nulls, for zeros, are not collected.
-    packed = entries.groupBy("cell").agg(F.array_sort(F.collect_list("e")).alias("e")).select("cell", F.col("e.slot").alias("slots"), F.col("e.v").alias("values"))
-    held = stored(packed)
+    return stored(sorted_.withColumn("part", part).join(F.broadcast(starts), "part").select("kind", (F.col("start") + F.col("mark").bitwiseAND((1 << 33) - 1)).cast("int").alias("slot")))
+
+
+def _means(rows: DataFrame, value: str, cell: str, species: str) -> DataFrame:
+    return stored(rows.dropna(subset=[cell, species]).groupBy(F.col(cell).alias("cell"), F.col(species).alias("kind")).agg(F.avg(value).cast("double").alias("v")))
+
+
+def _lists(values: DataFrame, key: str, other: str, numbered: DataFrame) -> DataFrame:
+    """Of each key the slots and values of the other side; as long as these are many, nulls, for zeros, are not collected."""
+    entries = values.join(numbered.withColumnRenamed("kind", other), other).withColumn("e", F.when(F.col("v") != 0, F.struct("slot", "v")))
+    packed = entries.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return stored(packed.select(key, F.col("e.slot").alias("slots"), F.col("e.v").alias("values")))
+
+
+def _table(values: DataFrame, turned: bool) -> SparseTable:
+    key, other = ("kind", "cell") if turned else ("cell", "kind")
+    numbered = _slots(values, other)
+    held = _lists(values, key, other, numbered)
     return SparseTable(held, numbered, held.count(), numbered.count())
 
 
+def sparse_table(rows: DataFrame, value: str = "n_obs", cell: str = "cell", species: str = "species_id") -> SparseTable:
+    """Mean values by cell and species."""
+    return _table(_means(rows, value, cell, species), False)
+
+
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, slots and values of a batch's entries, one after the other."""
     slots, values = batch.column("slots"), batch.column("values")
@@ -127,13 +148,19 @@ def sparse_components(rows: DataFrame, components: int | None = None, variance:
     positive. Cells whose values are all 0 count. ArithmeticError if the residuals do not fall below ``tolerance`` times the
     largest variance in ``rounds``; ValueError for a table without a cell or with too many species to hold.
     """
-    table = sparse_table(rows, value, cell, species)
-    if not table.cells:
+    values = _means(rows, value, cell, species)
+    cells, kinds = (int(v) for v in values.agg(F.count_distinct("cell"), F.count_distinct("kind")).first())
+    if not cells:
         raise ValueError("there is no cell")
-    wanted = min(components or most, table.width)
+    wanted = min(components or most, kinds)
+    # The driver holds the shorter side: vectors over cells and over species have the same variances.
+    turned = kinds > cells > 2 * (wanted + 10)
+    table = _table(values, turned)
     block = min(table.width, wanted + 10)
     if 8 * block * table.width > MOST_HELD:
         raise ValueError("too many species for the subspace to be held")
+    if turned:
+        return _from_cells(table, cells, kinds, wanted, components, variance, tolerance, rounds, seed, cell, species)
     figures = table.rows.select(F.posexplode(F.arrays_zip("slots", "values"))).select("col.slots", "col.values").groupBy("slots").agg(F.sum("values").alias("s"), F.sum(F.col("values") * F.col("values")).alias("q")).toArrow()
     sums, squares = np.zeros(table.width), 0.0
     if len(figures):
@@ -142,10 +169,51 @@ def sparse_components(rows: DataFrame, components: int | None = None, variance:
     means = sums / table.cells
     total = squares - table.cells * float(means @ means)
     if table.width <= 2 * block:
-        basis = np.eye(table.width)
+        start = np.eye(table.width)
     else:
-        basis = _orthonormal(np.random.default_rng(seed).normal(size=(table.width, block)), np.zeros((table.width, 0)))
-    held = image(table, basis, means)
+        start = _orthonormal(np.random.default_rng(seed).normal(size=(table.width, block)), np.zeros((table.width, 0)))
+    found, best = _settled(lambda b: image(table, b, means), start, np.zeros((table.width, 0)), wanted, block, tolerance, 1e-14 * squares, rounds)
+    shares, k = _shares(found, wanted, total, components, variance)
+    loadings = best[:, :k] * np.where(best[np.abs(best[:, :k]).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
+    names = [f"PC{i + 1}" for i in range(k)]
+    return _of_lists(table, "cell", loadings, means @ loadings, cell, names), shares[:k], _of_slots(table, loadings, species, names)
+
+
+def _from_cells(table: SparseTable, cells: int, kinds: int, wanted: int, components: int | None, variance: float, tolerance: float, rounds: int, seed: int, cell: str, species: str) -> tuple[DataFrame, list[float], DataFrame]:
+    """``sparse_components`` by vectors over the cells, from lists by species: what is held is as long as cells are many.
+
+    Vectors stay centred, so the means fall away; a component's scores are its vector times the root of its variance, its
+    loadings the lists' products with the vector over that root.
+    """
+    v = F.col("values")
+    per = table.rows.select(F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("s"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x).alias("q"))
+    squares, centre = (float(x or 0.0) for x in per.agg(F.sum("q"), F.sum(F.col("s") * F.col("s"))).first())
+    none = np.zeros(cells)
+
+    def centred(block: np.ndarray) -> np.ndarray:
+        return block - block.mean(0)
+
+    block = wanted + 10
+    constant = np.full((cells, 1), cells**-0.5)
+    start = _orthonormal(np.random.default_rng(seed).normal(size=(cells, block)), constant)
+    low = 1e-14 * squares
+    found, best = _settled(lambda b: centred(image(table, b, none)), start, constant, wanted, block, tolerance, low, rounds)
+    shares, k = _shares(found, wanted, squares - centre / cells, components, variance)
+    names = [f"PC{i + 1}" for i in range(k)]
+    roots = np.sqrt(np.maximum(found[:k], 0))
+    turned = np.where(found[:k] > low, 1 / np.where(found[:k] > low, roots, 1), 0)
+    free = _of_lists(table, "kind", best[:, :k] * turned, np.zeros(k), species, names)
+    largest = free.agg(*[F.min(F.struct((-F.abs(n)).alias("far"), F.col(f"`{species}`"), F.col(n).alias("v"))).alias(n) for n in names]).first()
+    signs = np.array([-1.0 if largest[n]["v"] < 0 else 1.0 for n in names])
+    scores = _of_slots(table, best[:, :k] * roots * signs, cell, names)
+    return scores, shares[:k], free.select(F.col(f"`{species}`"), *[(F.col(n) * sign).alias(n) for n, sign in zip(names, signs.tolist(), strict=True)])
+
+
+def _settled(times: Callable[[np.ndarray], np.ndarray], basis: np.ndarray, beside: np.ndarray, wanted: int, block: int, tolerance: float, low: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest values and their vectors, whose residuals are below ``tolerance`` times the largest value, or ``low``; the
+    subspace stays apart from the columns of ``beside``."""
+    width = len(basis) - beside.shape[1]
+    held = times(basis)
     for _ in range(rounds):
         inner = basis.T @ held
         found, turn = np.linalg.eigh((inner + inner.T) / 2)
@@ -153,48 +221,50 @@ def sparse_components(rows: DataFrame, components: int | None = None, variance:
         found, turn = found[order], turn[:, order]
         best, best_image = basis @ turn[:, :block], held @ turn[:, :block]
         residual = best_image - best * found[:block]
-        open_ = np.linalg.norm(residual[:, :wanted], axis=0) > tolerance * max(found[0], 1e-300)
-        if not open_.any() or basis.shape[1] >= table.width:
-            break
+        open_ = np.linalg.norm(residual[:, :wanted], axis=0) > max(tolerance * found[0], low, 1e-300)
+        if not open_.any() or basis.shape[1] >= width:
+            return found, best
         if basis.shape[1] + block > 4 * block:
             basis, held = basis @ turn[:, : 2 * block], held @ turn[:, : 2 * block]
-        fresh = _orthonormal(residual[:, np.append(open_, np.ones(block - wanted, bool))], basis)
+        fresh = _orthonormal(residual[:, np.append(open_, np.ones(block - wanted, bool))], np.hstack([beside, basis]))
         if not fresh.shape[1]:
-            break
-        basis, held = np.hstack([basis, fresh]), np.hstack([held, image(table, fresh, means)])
-    else:
-        raise ArithmeticError(f"the components have not settled in {rounds} rounds")
+            return found, best
+        basis, held = np.hstack([basis, fresh]), np.hstack([held, times(fresh)])
+    raise ArithmeticError(f"the components have not settled in {rounds} rounds")
+
+
+def _shares(found: np.ndarray, wanted: int, total: float, components: int | None, variance: float) -> tuple[list[float], int]:
+    """The components' shares of the variance, and how many are asked for."""
     shares = (np.maximum(found[:wanted], 0) / total if total > 0 else np.zeros(wanted)).tolist()
-    k = wanted
-    if components is None:
-        reached = np.flatnonzero(np.cumsum(shares) >= variance - 1e-12)
-        k = int(reached[0]) + 1 if len(reached) else wanted
-    loadings = best[:, :k] * np.where(best[np.abs(best[:, :k]).argmax(0), np.arange(k)] < 0, -1.0, 1.0)
-    names = [f"PC{i + 1}" for i in range(k)]
-    return _scores(table, loadings, means, cell, names), shares[:k], _loadings(table, loadings, species, names)
+    if components is not None:
+        return shares, wanted
+    reached = np.flatnonzero(np.cumsum(shares) >= variance - 1e-12)
+    return shares, int(reached[0]) + 1 if len(reached) else wanted
 
 
-def _scores(table: SparseTable, loadings: np.ndarray, means: np.ndarray, cell: str, names: list[str]) -> DataFrame:
-    sent = table.rows.sparkSession.sparkContext.broadcast((loadings, means @ loadings))
+def _of_lists(table: SparseTable, key: str, matrix: np.ndarray, offset: np.ndarray, name: str, names: list[str]) -> DataFrame:
+    """Each list times the matrix, less the offset."""
+    sent = table.rows.sparkSession.sparkContext.broadcast((matrix, offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loadings, offset = sent.value
+        matrix, offset = sent.value
         for batch in batches:
             for part in _chunks(batch):
-                scores = _products(*_arrays(part), part.num_rows, loadings, offset)
-                yield pa.record_batch([part.column("cell"), *[pa.array(scores[:, i]) for i in range(len(names))]], [cell, *names])
+                scores = _products(*_arrays(part), part.num_rows, matrix, offset)
+                yield pa.record_batch([part.column(key), *[pa.array(scores[:, i]) for i in range(len(names))]], [name, *names])
 
-    kind = table.rows.schema["cell"].dataType.simpleString()
-    return table.rows.mapInArrow(run, ", ".join([f"`{cell}` {kind}", *[f"{n} double" for n in names]]))
+    kind = table.rows.schema[key].dataType.simpleString()
+    return table.rows.mapInArrow(run, ", ".join([f"`{name}` {kind}", *[f"{n} double" for n in names]]))
 
 
-def _loadings(table: SparseTable, loadings: np.ndarray, species: str, names: list[str]) -> DataFrame:
-    sent = table.rows.sparkSession.sparkContext.broadcast(loadings)
+def _of_slots(table: SparseTable, matrix: np.ndarray, name: str, names: list[str]) -> DataFrame:
+    """The matrix's rows by the keys of their slots."""
+    sent = table.rows.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = sent.value[batch.column("slot").to_numpy()]
-            yield pa.record_batch([batch.column("kind"), *[pa.array(own[:, i]) for i in range(len(names))]], [species, *names])
+            yield pa.record_batch([batch.column("kind"), *[pa.array(own[:, i]) for i in range(len(names))]], [name, *names])
 
     kind = table.species.schema["kind"].dataType.simpleString()
-    return table.species.mapInArrow(run, ", ".join([f"`{species}` {kind}", *[f"{n} double" for n in names]]))
+    return table.species.mapInArrow(run, ", ".join([f"`{name}` {kind}", *[f"{n} double" for n in names]]))

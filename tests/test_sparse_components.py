@@ -72,3 +72,19 @@ def test_constant_and_empty_tables(spark):
     assert shares == [0.0, 0.0] and all(abs(v) < 1e-9 for r in scores.collect() for v in r[1:])
     with pytest.raises(ValueError, match="no cell"):
         S.sparse_components(same.limit(0))
+
+
+def test_the_shorter_side_is_held(spark, monkeypatch):
+    """Twelve hundred species on sixty cells: no vector over the species comes to the driver."""
+    lengths = []
+    plain_image = S.image
+    monkeypatch.setattr(S, "image", lambda table, basis, means: lengths.append(basis.shape[0]) or plain_image(table, basis, means))
+    table = wide(60, 1200, 5)
+    table = table[table.any(1)][:, table.any(0)]
+    scores, shares, loadings = S.sparse_components(frame(spark, table), components=3)
+    want, want_shares, want_loadings = plain(table, 3)
+    assert set(lengths) == {len(table)}
+    own = np.array([r[1:] for r in loadings.orderBy("species_id").collect()])
+    signs = np.sign((own * want_loadings).sum(0))
+    assert np.allclose(np.array([r[1:] for r in scores.orderBy("cell").collect()]), want * signs, atol=1e-4 * np.abs(want).max())
+    assert np.allclose(shares, want_shares, atol=1e-9) and np.allclose(own, want_loadings * signs, atol=1e-4)
