@@ -29,6 +29,8 @@ RUN, DIRECTIONS, ROUNDS, TRIES = 128, 3, 12, 5
 SAMPLE, PARTS = 200, 16
 #: Steps of a filter, filters at most, and the residual at which the vectors are good.
 STEPS, FILTERS, RESIDUAL = 8, 30, 1e-3
+#: The bound below which a filter damps, at most: nearer to 1 it would damp next to nothing, however good the subspace is.
+DAMPED = 0.95
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -237,7 +239,7 @@ def laplacian_vectors(links: DataFrame, k: int, seed: int = 0) -> tuple[DataFram
             scaled = chosen.join(degrees.withColumnRenamed("src", "id"), "id").select("id", *[(F.col(c) / F.sqrt("degree")).alias(c) for c in columns[:k]])
             return scaled, (1 - found[:k]).tolist()
         # Chebyshev steps: what lies below the subspace's least value stays small, the rest grows.
-        low, high = -1.0, min(float(found[-1]), 0.999)
+        low, high = -1.0, min(float(found[-1]), DAMPED)
         middle, half = (low + high) / 2, max((high - low) / 2, 1e-3)
         columns, images = columns[: len(found)], images[: len(found)]
         m = len(found)

@@ -65,3 +65,13 @@ def test_a_graph_that_cannot_be_found_raises(spark, monkeypatch):
     monkeypatch.setattr(spectral, "TRIES", 1)
     with pytest.raises(ArithmeticError):
         spectral.neighbour_graph(frame(spark, rings(60, 1)), 5, least=1.01)
+
+
+def test_parts_without_links_between_them_settle(spark, monkeypatch):
+    """Sixty parts of six tight groups each: the largest value comes more often than the subspace is wide, the next are near it."""
+    monkeypatch.setattr(spectral, "FILTERS", 8)
+    points = spark.range(60 * 36).selectExpr("id", "id div 36 AS part", "id div 6 AS tight")
+    two = points.selectExpr("id AS other", "part", "tight AS beside")
+    links = points.join(two, "part").filter("id <> other").selectExpr("id AS src", "other AS dst", "if(tight = beside, 1.0D, 0.01D) AS w")
+    got, values = spectral.laplacian_vectors(spectral.stored(links), 4)
+    assert got.count() == 60 * 36 and np.allclose(values, 0, atol=1e-3)
