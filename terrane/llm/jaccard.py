@@ -24,8 +24,8 @@ members: the class that leads all those whose least member in one range of the h
 one component, so a group of n near copies costs about n checks, and signatures within one component go no further. All
 other groups are searched for pairs of classes of different components: classes carry the parities of hashed buckets of
 their members, of which no more can differ than members do, and only pairs that this does not rule out leave the group,
-to be checked exactly on their texts. A group of many such pairs gives a few of each class at a time; what they link is one
-component then, and the last turn gives all that are left. No pair of different components that shares a signature is left
+to be checked exactly on their texts. A place of many such pairs gives a few of each class at a time; what they link is one
+component then, only places that hold pairs back have another turn, and the last turn gives all that are left. No pair of different components that shares a signature is left
 untested; leads decide on cost alone.
 
 A signature that very many classes share does not gather them in one task: a task that has signed more than LOCAL
@@ -451,24 +451,33 @@ def first_of_each(left: np.ndarray, right: np.ndarray, n: int, each: int, turn:
     return np.sort(at[rank < each])
 
 
-def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int], each: int | None = None, turn: int = 0) -> DataFrame:
+#: Where classes of crowded groups meet.
+PLACE = ["lead", "part", "i", "j"]
+
+
+def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int], each: int | None = None, turn: int = 0, waiting: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a group and are not ruled out. groups: signature,
-    class, root. With ``each``, a group of many pairs gives those of ``first_of_each`` and a pair of a class with itself, which
-    says that others wait: most are of one component once these have been checked."""
+    class, root. With ``each``, a place of many pairs gives those of ``first_of_each`` and a row of its own without a pair, which
+    says that others wait: most are of one component once these have been checked. ``waiting``: such rows of the turn before;
+    all other places have given their pairs."""
     # Groups with one first class mostly hold the same pairs: they meet in one place, where each pair is tested once.
     facts = groups.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min(F.xxhash64("class")).alias("lead")).filter("low < high")
     rows = groups.join(facts.select("signature", "n", "lead"), "signature")
     # Groups of more than BLOCK classes are dealt to blocks; a class meets each block of its group, one pair of blocks a task.
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / BLOCK, F.lit(1.0))))).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     part = F.when(F.col("n") > CROWDED, F.pmod("signature", F.lit(DEALT))).otherwise(F.lit(0)).cast("int")
-    place = ["lead", "part", "i", "j"]
-    keyed = dealt.select("lead", part.alias("part"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "class", "root", "signature")
-    gathered = keyed.groupBy(*place, "side", "class", "root").agg(F.collect_set("signature").alias("signatures"))
-    full = gathered.join(known.select("class", "n", "parities"), "class").select(*place, "side", "class", "root", "signatures", "n", "parities")
-
-    def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    placed = rows.select("lead", part.alias("part"), blocks.alias("blocks"), "class", "root", "signature")
+    if waiting is not None:
+        placed = placed.join(waiting.select("lead", "part").distinct(), ["lead", "part"], "left_semi")
+    gathered = placed.groupBy("lead", "part", "blocks", "class", "root").agg(F.collect_set("signature").alias("signatures"))
+    # Members are looked up once a class and place, before blocks repeat them.
+    full = gathered.join(known.select("class", "n", "parities"), "class").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    if waiting is not None:
+        dealt = dealt.join(waiting.select(*PLACE), PLACE, "left_semi")
+    full = dealt.select(*PLACE, "side", "class", "root", "signatures", "n", "parities")
+
+    def pairs_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, bool]:
         names, roots, sides, sizes = (np.array([r[k] for r in rows]) for k in (5, 6, 4, 8))
         signs = np.concatenate([np.asarray(r[7], np.int64) for r in rows])
         holder = np.repeat(np.arange(len(rows)), [len(r[7]) for r in rows])
@@ -488,32 +497,38 @@ def crossing(groups: DataFrame, known: DataFrame, similarity: tuple[int, int], e
             out.append(np.unique(x[ok] * len(rows) + y[ok]))
         found = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
         if not len(found):
-            return found, found
+            return found, found, False
         left, right = found // len(rows), found % len(rows)
         keep = near_pairs([r[9] for r in rows], sizes, left, right, similarity)
         left, right = left[keep], right[keep]
-        wait = names[:0]
+        wait = False
         if each is not None and len(left) > each * len(rows):
             chosen = first_of_each(left, right, len(rows), each, turn)
-            left, right, wait = left[chosen], right[chosen], names[:1]
+            left, right, wait = left[chosen], right[chosen], True
         a, b = names[left], names[right]
-        return np.append(np.minimum(a, b), wait), np.append(np.maximum(a, b), wait)
+        return np.minimum(a, b), np.maximum(a, b), wait
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        made = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def made() -> pa.RecordBatch:
+            a, b, wait = pairs_of(held)
+            none = pa.nulls(len(a), pa.int64()).to_pylist()
+            columns = [[*a.tolist(), None], [*b.tolist(), None], *[[*none, v] for v in held[0][:4]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(),) * 3 + (pa.int32(),) * 3, strict=True)], names=["a", "b", *PLACE]).slice(0, len(a) + wait)
+
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and row[:4] != held[0][:4]:
                     if len(held) > 1:
-                        yield made(*pairs_of(held))
+                        yield made()
                     held = []
                 held.append(row)
         if len(held) > 1:
-            yield made(*pairs_of(held))
+            yield made()
 
-    return full.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+    return full.repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, "a long, b long, lead long, part int, i int, j int").distinct()
 
 
 def class_links(texts: DataFrame, classes: DataFrame, words: int, similarity: tuple[int, int], shared: frozenset[int] = frozenset()) -> DataFrame:
@@ -530,19 +545,22 @@ def class_links(texts: DataFrame, classes: DataFrame, words: int, similarity: tu
     open_, open_at = open_groups(first, roots)
     dropped(spark, first_at)
     settled(spark)
+    waiting, waiting_at = None, []
     for turn in range(TURNS):
-        met, met_at = written(crossing(open_, known, similarity, EACH if turn < TURNS - 1 else None, turn))
-        pairs, wait = met.filter("a <> b"), not met.filter("a = b").isEmpty()
+        met, met_at = written(crossing(open_, known, similarity, EACH if turn < TURNS - 1 else None, turn, waiting))
+        pairs = met.filter("a IS NOT NULL").select("a", "b")
         if not pairs.isEmpty():
             links = links.unionAll(linked(pairs, known, texts, words, similarity))
             roots = components(links).select(F.col("node").alias("class"), "root")
-        dropped(spark, met_at)
-        if not wait:
+        dropped(spark, *waiting_at)
+        waiting, waiting_at = met.filter("a IS NULL"), [met_at]
+        if waiting.isEmpty():
             break
         settled(spark)
         joined_, there = written(rooted(open_.select("signature", "class"), roots).select("signature", "class", "root"))
         dropped(spark, open_at)
         open_, open_at = joined_, there
+    dropped(spark, *waiting_at)
     dropped(spark, open_at, known_at)
     return roots
 
