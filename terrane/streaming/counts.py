@@ -80,11 +80,27 @@ def merge_batch(batch: DataFrame, number: int, path: str, keys: list[str], bucke
         held.unpersist()
 
 
-def keep_table(counts: DataFrame, path: str, checkpoint: str, keys: list[str], buckets: int = 64) -> StreamingQuery:
+#: Rows of a part of the state, or of a bucket: nearly every row may be a key of its own, which takes some 300 bytes.
+PART = 500_000
+
+
+def parts_for(rows: int, least: int) -> int:
+    """How many parts of the state, or buckets, so many rows call for."""
+    return max(least, -(-rows // PART))
+
+
+def keep_table(counts: DataFrame, path: str, checkpoint: str, keys: list[str], buckets: int = 64, parts: int | None = None) -> StreamingQuery:
     """Keeps the table of counts (see ``kept_table``) by the keys that each batch changes, until the files that are there
-    are used up. Keys must not be null."""
+    are used up. Keys must not be null. A stream keeps the number of its state's parts for good: ``parts``, or else as many as
+    the session shuffles to."""
 
     def put(batch: DataFrame, number: int) -> None:
         merge_batch(batch, number, path, keys, buckets)
 
-    return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, name = counts.sparkSession.conf, "spark.sql.shuffle.partitions"
+    own = conf.get(name)
+    conf.set(name, parts or own)
+    try:
+        return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, own)
