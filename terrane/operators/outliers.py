@@ -37,6 +37,10 @@ def put_back(rows: DataFrame, corrected: DataFrame, keys: list[str], value: str
     return rows.join(corrected.select(*keys, F.col(value).alias("corrected")), keys, "left").withColumn(value, F.coalesce(F.col("corrected"), F.col(value).cast("double"))).drop("corrected")
 
 
+#: Points that are sent to all tasks (16 bytes each); where more are strange, tasks score their rows themselves.
+MOST_POINTS = 1_000_000
+
+
 class IsolationForest:
     """Trees of random cuts over (species code, value); points that few cuts isolate are outliers."""
 
@@ -111,10 +115,11 @@ def forest_vote(rows: DataFrame, value: str = "n_obs", species: str = "species_i
 
     Trees are drawn from the at most ``sample`` rows of least hash, so from the same ones however rows are dealt; each
     bound is the quantile of the scores of all rows. A species enters as the rank of its mean value, so one axis orders
-    all of them.
+    all of them. Rows of one mean and value are one point, which is scored once and has the votes of all of them.
     """
+    rows = stored(rows)
     means = rows.filter(F.col(species).isNotNull() & F.col(value).isNotNull()).groupBy(species).agg(F.avg(value).alias("species_mean"))
-    points = rows.join(means, species, "left")
+    points = stored(rows.join(means, species, "left"))
     known = points.select("species_mean", F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), *rows.columns).alias("hash")).dropna()
     drawn = known.orderBy("hash", "species_mean", "v").limit(sample).select("species_mean", "v").toPandas().sort_values(["species_mean", "v"]).to_numpy()
     if len(drawn) < 2:
@@ -128,10 +133,18 @@ def forest_vote(rows: DataFrame, value: str = "n_obs", species: str = "species_i
             at = np.stack([np.asarray(batch.column(k)) for k in (0, 1)], 1)
             flat = np.stack([f.score(at) for f in planted.value], 1).reshape(-1)
             offsets = pa.array(np.arange(len(at) + 1) * len(planted.value), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat)), batch.column(2)], names=["s", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(offsets, pa.array(flat)), batch.column(2)], names=["species_mean", "v", "s", "n"])
 
-    scored = stored(known.groupBy("species_mean", "v").agg(F.count("*").alias("n")).mapInArrow(scores, "s array<double>, n long"))
+    # The shuffle that counts points puts many of them into a task, though scoring one takes far longer: they are dealt anew.
+    counted = stored(known.groupBy("species_mean", "v").agg(F.count("*").alias("n")))
+    scored = stored(counted.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(scores, "species_mean double, v double, s array<double>, n long"))
     bounds = score_bounds(scored, rounds, 1 - contamination)
+    votes = sum((F.col("s")[k] > limit).cast("int") for k, limit in enumerate(bounds))
+    strange = stored(scored.filter(votes >= share * rounds).select("species_mean", "v"))
+    if strange.count() <= MOST_POINTS:
+        near = F.broadcast(strange.select(F.col("species_mean").alias("_mean"), F.col("v").alias("_v"), F.lit(True).alias("_strange")))
+        found = points.join(near, (F.col("species_mean") == F.col("_mean")) & (F.col(value).cast("double") == F.col("_v")), "left")
+        return found.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("_strange", F.lit(False)).alias("outlier"))
     sent = rows.sparkSession.sparkContext.broadcast((forests, bounds))
     names = points.columns
 
