@@ -4,7 +4,7 @@ A cell is the list of its species' slots and values. The covariance of the centr
 vectors (species x a few columns) goes to the tasks, each multiplies its cells by it and the result by its cells again, and
 the products are summed by species. Centring is implied: the means' part is taken off each cell's product.
 
-The subspace starts at random and grows by the residuals of its best vectors; when it is wide it is cut to them. It ends when
+The subspace starts at random and grows by the residuals of its best vectors; when it is wide it is cut to its best part. It ends when
 the residuals are small against the largest variance, so the error is measured and not assumed from a number of rounds.
 The driver holds species x columns numbers, all of them sums over cells, and checks their size first; where cells are fewer
 than species it holds cells x columns, and the tasks have lists by species.
@@ -26,6 +26,9 @@ from terrane.operators.stored import stored
 MOST_HELD, LAID_OUT = 1 << 27, 1 << 22
 #: Rows of species that one row of sums holds.
 SLOTS = 4096
+#: Blocks of the subspace before it is cut, and those that stay: the values of a large table lie so close that a narrow
+#: subspace, cut often, needs several times as many rounds. Where its numbers (with its image's) would be more than WIDE, fewer.
+BLOCKS, KEPT, WIDE = 20, 8, 1 << 25
 
 
 @dataclass
@@ -213,6 +216,8 @@ def _settled(times: Callable[[np.ndarray], np.ndarray], basis: np.ndarray, besid
     """The largest values and their vectors, whose residuals are below ``tolerance`` times the largest value, or ``low``; the
     subspace stays apart from the columns of ``beside``."""
     width = len(basis) - beside.shape[1]
+    most = max(4, min(BLOCKS, WIDE // (2 * block * len(basis))))
+    kept = KEPT if most == BLOCKS else most // 2
     held = times(basis)
     for _ in range(rounds):
         inner = basis.T @ held
@@ -224,8 +229,8 @@ def _settled(times: Callable[[np.ndarray], np.ndarray], basis: np.ndarray, besid
         open_ = np.linalg.norm(residual[:, :wanted], axis=0) > max(tolerance * found[0], low, 1e-300)
         if not open_.any() or basis.shape[1] >= width:
             return found, best
-        if basis.shape[1] + block > 4 * block:
-            basis, held = basis @ turn[:, : 2 * block], held @ turn[:, : 2 * block]
+        if basis.shape[1] + block > most * block:
+            basis, held = basis @ turn[:, : kept * block], held @ turn[:, : kept * block]
         fresh = _orthonormal(residual[:, np.append(open_, np.ones(block - wanted, bool))], np.hstack([beside, basis]))
         if not fresh.shape[1]:
             return found, best
